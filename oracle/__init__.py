@@ -1,0 +1 @@
+"""Independent DuckDB SQL for every exactly-checkable query (the correctness oracle)."""

@@ -1,0 +1,8 @@
+"""Oracle SQL per registered query (DuckDB; tables pre-registered as views)."""
+
+from oracle import sqlparts as S
+from claimlens import constants as K
+
+Q: dict[str, str] = {}
+
+Q["features"] = S.features_with() + "SELECT * FROM feat"
