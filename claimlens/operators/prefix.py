@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +87,8 @@ def hash_rank(df: DataFrame, key: Column, groups: Sequence[str] = (), rank_col:
     return out.withColumnRenamed("_cum_one", rank_col).drop("_one", "_h")
 
 
-def exact_medians(long: DataFrame, name: str = "name", value: str = "x") -> DataFrame:
+def exact_medians(long: DataFrame, name: str = "name", value: str = "x",
+                  persist: bool = True) -> DataFrame:
     """Exact median per ``name`` (middle two averaged), nulls and NaN ignored.
 
     Input is long form (name, value). Values are first counted per distinct
@@ -97,6 +99,10 @@ def exact_medians(long: DataFrame, name: str = "name", value: str = "x") -> Data
     vc = (long.select(F.col(name).alias("name"), v.alias("x"))
           .where(F.col("x").isNotNull() & ~F.isnan("x"))
           .groupBy("name", "x").agg(F.count(F.lit(1)).alias("n")))
+    if persist:
+        # read twice (quantile sketch, then ranking): keep the distinct-value
+        # counts instead of recomputing the upstream plan
+        vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
     vc = with_quantile_bucket(vc, "x")
     rs = running_sums(vc, ["x"], ["n"], groups=["name"])
     tot = vc.groupBy("name").agg(F.sum("n").alias("n_total"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,8 @@ def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> FeatureParams:
     main = clean_main(claims)
     mode_cols = [c for c in K.MODE_COLUMNS if c in main.columns]
     # all modes in one job: main-table columns plus the primary-diagnosis letter
-    j = joined_diag(main.select("id"), diag)
+    # the joined diagnosis parts feed both the modes and the medians
+    j = joined_diag(main.select("id"), diag).persist(StorageLevel.MEMORY_AND_DISK)
     long_modes = stack(main, mode_cols, cast="string").unionByName(
         stack(j, ["diagfkrtl_letter"], cast="string"))
     m = collect_params(modes(long_modes), "mode")
@@ -92,6 +94,7 @@ def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> FeatureParams:
         stack(j, ["diagfkrtl_num", "diagfkrtl_sekunder_counts"], cast="double", value="x"))
     med = collect_params(exact_medians(long_med), "median")
     vocab = [r[0] for r in main.select("typefaskes").distinct().orderBy("typefaskes").collect()]
+    j.unpersist()
     return FeatureParams(
         modes={c: m.get(c) for c in mode_cols},
         medians={c: med.get(c) for c in K.MEDIAN_COLUMNS},

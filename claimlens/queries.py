@@ -2,7 +2,8 @@
 
 Each reads the driver tables (through the claims-shaped views) so its work
 grows with the data. Computed columns carry fixed names that the oracle SQL
-repeats.
+repeats. Fitted feature parameters are memoised per input folder within the
+process (they are a handful of scalars).
 """
 
 from __future__ import annotations
@@ -10,16 +11,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimlens import constants as K
+from claimlens.functions.codes import kdsa_severity, split_code, split_code_columns
+from claimlens.functions.dates import stay_days
+from claimlens.functions.diagnosis import clean_diag, code_letter, code_number, icd_chapter
+from claimlens.functions.scoring import reason_codes
+from claimlens.functions.text import clean_text, null_tokens
+from claimlens.operators import children as CH
+from claimlens.operators import encoding as EN
+from claimlens.operators import metrics as ME
+from claimlens.operators import overview as OV
+from claimlens.operators import quality as QA
+from claimlens.operators import sampling as SA
+from claimlens.operators.impute import median_table, mode_table
+from claimlens.operators.prefix import exact_medians, modes, stack
 from claimlens.plans import features as FE
+from claimlens.plans import scoring as SC
 from claimlens.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_PARAMS: dict[str, FE.FeatureParams] = {}
+
+EVAL_THRESHOLDS = (0.5, K.DEFAULT_THRESHOLD)
+TARGET_PRECISIONS = (0.9, 0.5, 0.1, 0.02, 0.01)
+
+
+# Computed double columns are reported rounded to 6 places (the oracle SQL
+# rounds the same columns), so engine-level last-bit differences (exp, sum
+# order) cannot change a report.
+ROUND6: dict[str, list[str]] = {
+    "fit_medians": ["median"], "impute": ["biaya"], "features": ["biaya"], "label_share": ["share"],
+    "metrics": ["precision", "recall", "f1_score", "specificity"],
+    "metrics_by_split": ["precision", "recall", "f1_score", "specificity"],
+    "roc_curve": ["threshold", "fpr", "tpr"], "pr_curve": ["threshold", "precision", "recall"],
+    "roc_auc": ["roc_auc"], "pr_auc": ["pr_auc"], "tune_threshold": ["threshold", "precision", "recall"],
+    "score_batch": ["fraud_probability", "confidence_score"],
+    "overview_demographics": ["avg_cost", "avg_stay"],
+    "overview_cost": ["total_cost", "min_cost", "max_cost", "avg_cost"],
+    "overview_imbalance": ["fraud_rate"],
+}
 
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        cols = ROUND6.get(name)
+        if cols:
+            def wrapped(spark, sf, _fn=fn, _cols=cols):
+                df = _fn(spark, sf)
+                return df.withColumns({c: F.round(F.col(c), 6) for c in _cols})
+            wrapped.__name__ = fn.__name__
+            wrapped.__doc__ = fn.__doc__
+            QUERIES[name] = wrapped
+        else:
+            QUERIES[name] = fn
         return fn
     return deco
 
@@ -28,8 +74,304 @@ def _tables(spark, sf):
     return FX.fixture_tables(spark, sf)
 
 
+def feature_params(spark: SparkSession, sf: str) -> FE.FeatureParams:
+    if sf not in _PARAMS:
+        _PARAMS[sf] = FE.fit(*_tables(spark, sf))
+    return _PARAMS[sf]
+
+
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    return FE.transform(*_tables(spark, sf), feature_params(spark, sf))
+
+
+def split_features(spark: SparkSession, sf: str) -> DataFrame:
+    return SA.stratified_split(feature_table(spark, sf))
+
+
+def eval_set(spark: SparkSession, sf: str) -> DataFrame:
+    """(split, id, label, score) for the validation and test splits."""
+    f = split_features(spark, sf)
+    return (f.where(F.col("split").isin("val", "test"))
+            .select("split", "id", "label", SC.fixed_logit(f).alias("score")))
+
+
+# --- scans and text ----------------------------------------------------------
+@query("scan_claims")
+def q_scan_claims(spark, sf):
+    c = FX.claims(spark, sf)
+    return c.withColumns({"tgldatang": F.col("tgldatang").cast("string"),
+                          "tglpulang": F.col("tglpulang").cast("string")})
+
+
+@query("clean_text")
+def q_clean_text(spark, sf):
+    c = FX.claims(spark, sf)
+    return c.select("id", *[clean_text(x).alias(x) for x in K.TEXT_COLUMNS])
+
+
+@query("null_tokens")
+def q_null_tokens(spark, sf):
+    c = FX.claims(spark, sf)
+    return c.select("id", *[null_tokens(x).alias(x) for x in K.SCORING_TOKEN_COLUMNS])
+
+
+@query("cbg_split")
+def q_cbg_split(spark, sf):
+    c = FX.claims(spark, sf)
+    parts = split_code(clean_text("cbg"))
+    return c.select("id", *[parts[p].alias(f"cbg_{p}") for p in ["CMG", "tipekasus", "spesifikkasus", "severity"]])
+
+
+@query("kds_split")
+def q_kds_split(spark, sf):
+    c = FX.claims(spark, sf)
+    cols = [x for x, _ in K.CODE_PARTS if x != "cbg"]
+    df = c.select("id", *[clean_text(x).alias(x) for x in cols])
+    return split_code_columns(df, [lp for lp in K.CODE_PARTS if lp[0] != "cbg"])
+
+
+@query("kdsa_severity")
+def q_kdsa_severity(spark, sf):
+    c = FX.claims(spark, sf)
+    sev = split_code(clean_text("kdsa"))["severity"]
+    return c.select("id", sev.alias("kdsa_part"), kdsa_severity(sev).alias("kdsa_severity"))
+
+
+@query("stay_days")
+def q_stay_days(spark, sf):
+    c = FX.claims(spark, sf)
+    return c.select("id", stay_days("tgldatang", "tglpulang").alias("lama_rawat"))
+
+
+# --- diagnosis codes -----------------------------------------------------------
+@query("clean_diag")
+def q_clean_diag(spark, sf):
+    d = FX.diagnoses(spark, sf)
+    return d.select("id", "ord", "diag", clean_diag("diag").alias("diag_clean"))
+
+
+@query("icd_parts")
+def q_icd_parts(spark, sf):
+    d = FX.diagnoses(spark, sf).withColumn("code", clean_diag("diag"))
+    return d.select("id", "ord", code_letter(F.col("code")).alias("letter"),
+                    code_number(F.col("code")).alias("number"))
+
+
+@query("icd_chapter")
+def q_icd_chapter(spark, sf):
+    d = FX.diagnoses(spark, sf).withColumn("code", clean_diag("diag"))
+    num = F.coalesce(code_number(F.col("code")), F.lit(0))
+    return d.select("id", "ord", icd_chapter(code_letter(F.col("code")), num).alias("chapter"))
+
+
+# --- child tables ---------------------------------------------------------------
+@query("diag_dedup")
+def q_diag_dedup(spark, sf):
+    return CH.dedupe_rows(FX.diagnoses(spark, sf))
+
+
+@query("diag_primary")
+def q_diag_primary(spark, sf):
+    return CH.primary_diagnosis(CH.dedupe_rows(FX.diagnoses(spark, sf)))
+
+
+@query("diag_secondary")
+def q_diag_secondary(spark, sf):
+    return CH.secondary_counts(CH.dedupe_rows(FX.diagnoses(spark, sf)))
+
+
+@query("diag_prepared")
+def q_diag_prepared(spark, sf):
+    dp = CH.diag_prepared(FX.diagnoses(spark, sf))
+    return dp.withColumn("diag", clean_diag("diag"))
+
+
+@query("proc_count")
+def q_proc_count(spark, sf):
+    return CH.proc_counts(FX.procedures(spark, sf))
+
+
+# --- imputation and vocabulary ---------------------------------------------------
+@query("fit_modes")
+def q_fit_modes(spark, sf):
+    c, d, _ = _tables(spark, sf)
+    main = FE.clean_main(c)
+    j = FE.joined_diag(main.select("id"), d)
+    long = stack(main, K.MODE_COLUMNS, cast="string").unionByName(stack(j, ["diagfkrtl_letter"], cast="string"))
+    return modes(long).select("name", "mode")
+
+
+@query("fit_medians")
+def q_fit_medians(spark, sf):
+    c, d, _ = _tables(spark, sf)
+    main = FE.clean_main(c)
+    j = FE.joined_diag(main.select("id"), d)
+    long = stack(main, K.MEDIAN_COLUMNS, cast="double", value="x").unionByName(
+        stack(j, ["diagfkrtl_num", "diagfkrtl_sekunder_counts"], cast="double", value="x"))
+    return exact_medians(long).select("name", "median")
+
+
+@query("impute")
+def q_impute(spark, sf):
+    p = feature_params(spark, sf)
+    main = FE.clean_main(FX.claims(spark, sf))
+    out = main.select("id", "jenispulang", "pisat", "biaya")
+    return out.select("id",
+                      F.coalesce("jenispulang", F.lit(p.modes["jenispulang"])).alias("jenispulang"),
+                      F.coalesce("pisat", F.lit(p.modes["pisat"])).alias("pisat"),
+                      F.coalesce("biaya", F.lit(p.medians["biaya"]).cast("double")).alias("biaya"))
+
+
+@query("fit_vocab")
+def q_fit_vocab(spark, sf):
+    return EN.vocab_table(FE.clean_main(FX.claims(spark, sf)), "typefaskes")
+
+
 @query("features")
-def q_features(spark: SparkSession, sf: str) -> DataFrame:
+def q_features(spark, sf):
+    return feature_table(spark, sf)
+
+
+# --- quality ---------------------------------------------------------------------
+@query("validate")
+def q_validate(spark, sf):
+    c, d, p = _tables(spark, sf)
+    return (QA.validate(c, "claims")
+            .unionByName(QA.validate(d.drop("ord"), "diagnoses"))
+            .unionByName(QA.validate(p, "procedures")))
+
+
+@query("missing")
+def q_missing(spark, sf):
+    return QA.missing_values(FX.claims(spark, sf))
+
+
+@query("duplicates")
+def q_duplicates(spark, sf):
+    _, d, p = _tables(spark, sf)
+    return (QA.duplicate_rows(d.drop("ord")).select(F.lit("diagnoses").alias("table_name"), "duplicate_records")
+            .unionByName(QA.duplicate_rows(p).select(F.lit("procedures").alias("table_name"), "duplicate_records")))
+
+
+@query("label_share")
+def q_label_share(spark, sf):
+    return QA.label_share(FX.claims(spark, sf))
+
+
+# --- sampling and splits -----------------------------------------------------------
+@query("sample_exact")
+def q_sample_exact(spark, sf):
+    return SA.sample_exact(FX.claims(spark, sf).select("id", "label"))
+
+
+@query("sample_children")
+def q_sample_children(spark, sf):
+    c, d, _ = _tables(spark, sf)
+    return SA.sample_children(d, SA.sample_exact(c.select("id")))
+
+
+@query("split")
+def q_split(spark, sf):
+    return split_features(spark, sf).select("id", "label", "split")
+
+
+@query("eval_subsample")
+def q_eval_subsample(spark, sf):
+    tr = split_features(spark, sf).where(F.col("split") == "train").select("id", "label")
+    return SA.eval_subsample(tr)
+
+
+@query("undersample")
+def q_undersample(spark, sf):
+    tr = split_features(spark, sf).where(F.col("split") == "train").select("id", "label")
+    return SA.undersample(tr)
+
+
+# --- metrics ------------------------------------------------------------------------
+@query("confusion")
+def q_confusion(spark, sf):
+    return ME.confusion(eval_set(spark, sf), EVAL_THRESHOLDS, groups=["split"])
+
+
+@query("metrics")
+def q_metrics(spark, sf):
+    return ME.metrics(eval_set(spark, sf), (K.DEFAULT_THRESHOLD,), groups=["split"])
+
+
+@query("metrics_by_split")
+def q_metrics_by_split(spark, sf):
+    return ME.metrics(eval_set(spark, sf), EVAL_THRESHOLDS, groups=["split"])
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf):
+    return ME.roc_curve(ME.curve_points(eval_set(spark, sf), groups=["split"]), groups=["split"])
+
+
+@query("pr_curve")
+def q_pr_curve(spark, sf):
+    return ME.pr_curve(ME.curve_points(eval_set(spark, sf), groups=["split"]), groups=["split"])
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    return ME.roc_auc(ME.curve_points(eval_set(spark, sf), groups=["split"]), groups=["split"])
+
+
+@query("pr_auc")
+def q_pr_auc(spark, sf):
+    return ME.pr_auc(ME.curve_points(eval_set(spark, sf), groups=["split"]), groups=["split"])
+
+
+@query("tune_threshold")
+def q_tune_threshold(spark, sf):
+    pts = ME.curve_points(eval_set(spark, sf), groups=["split"])
+    pts = pts.withColumn("target_precision", F.explode(F.array(*[F.lit(t) for t in TARGET_PRECISIONS])))
+    return ME.tune_threshold_for_targets(pts, groups=["split"])
+
+
+# --- encoding -------------------------------------------------------------------------
+@query("onehot")
+def q_onehot(spark, sf):
+    return EN.onehot_long(feature_table(spark, sf), K.KNOWN_CAT_VOCAB)
+
+
+@query("onehot_open")
+def q_onehot_open(spark, sf):
+    p = feature_params(spark, sf)
+    return EN.onehot_long(feature_table(spark, sf), {"typefaskes": p.facility_vocab})
+
+
+@query("ordinal")
+def q_ordinal(spark, sf):
+    return EN.ordinal_columns(feature_table(spark, sf))
+
+
+# --- scoring ----------------------------------------------------------------------------
+@query("score_batch")
+def q_score_batch(spark, sf):
     c, d, p = _tables(spark, sf)
-    df, _ = FE.build(c, d, p)
-    return df
+    return SC.score_batch(c, d, p, feature_params(spark, sf))
+
+
+@query("reasons")
+def q_reasons(spark, sf):
+    s = SC.scored_features(feature_table(spark, sf))
+    r = reason_codes(F.col("biaya"), F.col("lama_rawat"), F.col("diagfkrtl_sekunder_counts"), F.col("proc_count"))
+    return s.select("id", "is_fraud", F.array_join(r, ",").alias("reasons"), F.size(r).alias("n_reasons"))
+
+
+# --- overview -------------------------------------------------------------------------
+@query("overview_demographics")
+def q_overview_demographics(spark, sf):
+    return OV.demographics(feature_table(spark, sf))
+
+
+@query("overview_cost")
+def q_overview_cost(spark, sf):
+    return OV.cost_by_age(feature_table(spark, sf))
+
+
+@query("overview_imbalance")
+def q_overview_imbalance(spark, sf):
+    return OV.imbalance(feature_table(spark, sf))

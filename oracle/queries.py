@@ -1,8 +1,241 @@
-"""Oracle SQL per registered query (DuckDB; tables pre-registered as views)."""
+"""Oracle SQL per registered query (DuckDB; driver tables pre-registered as views)."""
 
-from oracle import sqlparts as S
 from claimlens import constants as K
+from oracle import sqlparts as S
 
 Q: dict[str, str] = {}
+W = S.with_fixtures
+T = K.DEFAULT_THRESHOLD
+
+# --- scans and text ---------------------------------------------------------
+Q["scan_claims"] = W() + ("SELECT * REPLACE (CAST(tgldatang AS VARCHAR) AS tgldatang, "
+                          "CAST(tglpulang AS VARCHAR) AS tglpulang) FROM claims")
+Q["clean_text"] = W() + "SELECT id, " + ", ".join(f"{S.clean_text(c)} AS {c}" for c in K.TEXT_COLUMNS) + " FROM claims"
+Q["null_tokens"] = W() + "SELECT id, " + ", ".join(
+    f"{S.null_tokens(c)} AS {c}" for c in K.SCORING_TOKEN_COLUMNS) + " FROM claims"
+Q["cbg_split"] = W() + "SELECT id, " + ", ".join(
+    f"{S.code_part(S.clean_text('cbg'), p)} AS cbg_{p}" for p in ["CMG", "tipekasus", "spesifikkasus", "severity"]
+) + " FROM claims"
+
+
+def _kds():
+    out = []
+    for col, keep in K.CODE_PARTS:
+        if col == "cbg":
+            continue
+        for p in keep:
+            e = S.code_part(S.clean_text(col), p)
+            if col == "kdsa" and p == "severity":
+                e = S.kdsa_sev(e)
+            out.append(f"{e} AS {col}_{p}")
+    return ", ".join(out)
+
+
+Q["kds_split"] = W() + "SELECT id, " + _kds() + " FROM claims"
+_sev = S.code_part(S.clean_text("kdsa"), "severity")
+Q["kdsa_severity"] = W() + f"SELECT id, {_sev} AS kdsa_part, {S.kdsa_sev(_sev)} AS kdsa_severity FROM claims"
+Q["stay_days"] = W() + f"SELECT id, {S.stay('tgldatang', 'tglpulang')} AS lama_rawat FROM claims"
+
+# --- diagnosis codes ----------------------------------------------------------
+_code = S.clean_diag("diag")
+Q["clean_diag"] = W() + f"SELECT id, ord, diag, {_code} AS diag_clean FROM diagnoses"
+Q["icd_parts"] = W() + f"SELECT id, ord, {S.letter(_code)} AS letter, {S.number(_code)} AS number FROM diagnoses"
+Q["icd_chapter"] = W() + (f"SELECT id, ord, {S.chapter(S.letter(_code), f'coalesce({S.number(_code)}, 0)')} AS chapter "
+                          "FROM diagnoses")
 
+# --- child tables ---------------------------------------------------------------
+Q["diag_dedup"] = W(S.DD) + "SELECT * FROM dd"
+Q["diag_primary"] = W(S.DD, S.PRIM) + "SELECT * FROM prim"
+Q["diag_secondary"] = W(S.DD, S.SEC) + "SELECT * FROM sec"
+Q["diag_prepared"] = W(S.DD, S.PRIM, S.SEC, S.DP) + "SELECT * FROM dp"
+Q["proc_count"] = W(S.PC) + "SELECT * FROM pc"
+
+# --- imputation and vocabulary -----------------------------------------------------
+_base = [S.MAIN, S.DD, S.PRIM, S.SEC, S.DP, S.DPARTS, S.JD]
+Q["fit_modes"] = W(*_base) + " UNION ALL ".join(
+    [f"SELECT '{c}' AS name, {S.mode_sql('main', c)} AS mode" for c in K.MODE_COLUMNS]
+    + [f"SELECT 'diagfkrtl_letter' AS name, {S.mode_sql('jd', 'diagfkrtl_letter')} AS mode"])
+Q["fit_medians"] = W(*_base) + " UNION ALL ".join(
+    [f"SELECT 'biaya' AS name, {S.median_sql('main', 'biaya')} AS median",
+     f"SELECT 'diagfkrtl_num' AS name, {S.median_sql('jd', 'diagfkrtl_num')} AS median",
+     f"SELECT 'diagfkrtl_sekunder_counts' AS name, {S.median_sql('jd', 'diagfkrtl_sekunder_counts')} AS median"])
+Q["impute"] = S.features_with() + ("SELECT m.id, coalesce(m.jenispulang, pm.m_jenispulang) AS jenispulang, "
+                                   "coalesce(m.pisat, pm.m_pisat) AS pisat, coalesce(m.biaya, pm.med_biaya) AS biaya "
+                                   "FROM main m CROSS JOIN pm")
+Q["fit_vocab"] = W(S.MAIN) + ("SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS index "
+                              "FROM (SELECT DISTINCT typefaskes AS value FROM main WHERE typefaskes IS NOT NULL)")
 Q["features"] = S.features_with() + "SELECT * FROM feat"
+
+# --- quality -----------------------------------------------------------------------
+def _validate(name, table, cols):
+    c = ", ".join(cols)
+    return (f"SELECT '{name}' AS table_name, CAST(sum(n) AS BIGINT) AS num_rows, CAST({len(cols)} AS INTEGER) AS num_cols, "
+            f"CAST(sum(n - 1) AS BIGINT) AS duplicate_records FROM (SELECT {c}, count(*) AS n FROM {table} GROUP BY ALL)")
+
+
+_claim_cols = ["id", "id_peserta", "jenispulang", "jenkel", "pisat", "diagfktp", "biaya", "dati2", "typefaskes",
+               "usia", "tgldatang", "tglpulang", "jenispel", "politujuan", "cbg", "kelasrawat", "kdsa", "kdsp",
+               "kdsr", "kdsi", "kdsd", "label"]
+Q["validate"] = W() + " UNION ALL ".join([
+    _validate("claims", "claims", _claim_cols),
+    _validate("diagnoses", "diagnoses", ["id", "diag", "levelid"]),
+    _validate("procedures", "procedures", ["id", "proc"])])
+Q["missing"] = W() + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL"
+    + (f" OR isnan({c})" if c == "biaya" else "") + f") AS BIGINT) AS missing FROM claims"
+    for c in _claim_cols) + ") WHERE missing > 0"
+Q["duplicates"] = W() + (
+    "SELECT 'diagnoses' AS table_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_records "
+    "FROM (SELECT id, diag, levelid, count(*) AS n FROM diagnoses GROUP BY ALL) "
+    "UNION ALL SELECT 'procedures', CAST(coalesce(sum(n - 1), 0) AS BIGINT) "
+    "FROM (SELECT id, proc, count(*) AS n FROM procedures GROUP BY ALL)")
+Q["label_share"] = W() + ("SELECT label, count(*) AS count, count(*) / sum(count(*)) OVER () AS share "
+                          "FROM claims WHERE label IS NOT NULL GROUP BY label")
+
+# --- sampling and splits -------------------------------------------------------------
+MD5 = "md5(CAST(id AS VARCHAR) || ':42')"
+SAMPLE = ("samp AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (ORDER BY " + MD5 + ") AS rk, "
+          "count(*) OVER () AS n FROM claims) WHERE rk <= round_even(CAST(0.02 AS DOUBLE) * n, 0))")
+Q["sample_exact"] = W(SAMPLE) + "SELECT id, label FROM samp"
+Q["sample_children"] = W(SAMPLE) + "SELECT d.* FROM diagnoses d SEMI JOIN samp ON d.id = samp.id"
+SPLIT = ("spl AS (SELECT id, label, CASE WHEN rk <= t THEN 'test' WHEN rk <= t + v THEN 'val' ELSE 'train' END AS split "
+         "FROM (SELECT *, ceil(CAST(n AS DOUBLE) * CAST(0.2 AS DOUBLE)) AS t, "
+         "ceil((CAST(n AS DOUBLE) - ceil(CAST(n AS DOUBLE) * CAST(0.2 AS DOUBLE))) * CAST(0.25 AS DOUBLE)) AS v "
+         "FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY " + MD5 + ") AS rk, "
+         "count(*) OVER (PARTITION BY label) AS n FROM feat)))")
+Q["split"] = S.features_with(SPLIT) + "SELECT * FROM spl"
+TRAIN = "tr AS (SELECT id, label FROM spl WHERE split = 'train')"
+Q["eval_subsample"] = S.features_with(SPLIT, TRAIN) + (
+    "SELECT id, label FROM (SELECT id, label, row_number() OVER (ORDER BY " + MD5 + ") AS rk FROM tr) WHERE rk <= 10000")
+Q["undersample"] = S.features_with(SPLIT, TRAIN) + (
+    "SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY " + MD5 + ") AS rk, "
+    "count(*) OVER (PARTITION BY label) AS n FROM tr) x, "
+    "(SELECT arg_min(label, struct_pack(c := c, l := label)) AS minority, min(c) AS m "
+    " FROM (SELECT label, count(*) AS c FROM tr GROUP BY label)) mm "
+    "WHERE label = minority OR rk <= floor(m / CAST(" + repr(K.UNDERSAMPLE_RATIO) + " AS DOUBLE))")
+
+# --- metrics ---------------------------------------------------------------------------
+def _logit():
+    terms = {
+        "stay": "CAST(coalesce(lama_rawat, 0) AS BIGINT)",
+        "kdsa_flag": "CAST(kdsa_CMG <> '-' AS BIGINT)",
+        "kdsp_flag": "CAST(kdsp_spesifikkasus <> '-' AS BIGINT)",
+        "sev3": "CAST(cbg_severity = 'III' AS BIGINT)",
+    }
+    from claimlens.plans.scoring import LOGIT_BIAS, LOGIT_TERMS
+    z = f"CAST('{LOGIT_BIAS!r}' AS DECIMAL(10,4))"
+    for w, name in LOGIT_TERMS:
+        t = terms.get(name, f"CAST({name} AS BIGINT)")
+        z = f"({z} + CAST('{w!r}' AS DECIMAL(10,4)) * {t})"
+    return f"(1.0 / (1.0 + exp(-CAST({z} AS DOUBLE))))"
+
+
+LOGIT = _logit()
+EV = ("ev AS (SELECT s.split, f.id, f.label, " + LOGIT + " AS score FROM feat f JOIN spl s ON f.id = s.id "
+      "WHERE s.split IN ('val', 'test'))")
+THR = f"thr AS (SELECT * FROM (VALUES (CAST(0.5 AS DOUBLE)), (CAST({T!r} AS DOUBLE))) v(threshold))"
+CONF = ("conf AS (SELECT split, threshold, count(*) FILTER (WHERE label = 0 AND score < threshold) AS tn, "
+        "count(*) FILTER (WHERE label = 0 AND score >= threshold) AS fp, "
+        "count(*) FILTER (WHERE label = 1 AND score < threshold) AS fn, "
+        "count(*) FILTER (WHERE label = 1 AND score >= threshold) AS tp FROM ev CROSS JOIN thr GROUP BY split, threshold)")
+Q["confusion"] = S.features_with(SPLIT, EV, THR, CONF) + "SELECT * FROM conf"
+
+
+def _r(a, b):
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+MET = (f"SELECT split, threshold, tn, fp, fn, tp, {_r('tp', 'tp + fp')} AS precision, {_r('tp', 'tp + fn')} AS recall, "
+       f"{_r('2 * tp', '2 * tp + fp + fn')} AS f1_score, {_r('tn', 'tn + fp')} AS specificity FROM conf")
+Q["metrics_by_split"] = S.features_with(SPLIT, EV, THR, CONF) + MET
+Q["metrics"] = S.features_with(SPLIT, EV, THR, CONF) + MET + f" WHERE threshold = CAST({T!r} AS DOUBLE)"
+PTS = ("pts AS (SELECT split, score AS threshold, pos, neg, "
+       "sum(pos) OVER (PARTITION BY split ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tps, "
+       "sum(neg) OVER (PARTITION BY split ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fps, "
+       "sum(pos) OVER (PARTITION BY split) AS P, sum(neg) OVER (PARTITION BY split) AS N "
+       "FROM (SELECT split, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg "
+       "FROM ev GROUP BY split, score))")
+CURVE = S.features_with(SPLIT, EV, PTS)
+Q["roc_curve"] = CURVE + (f"SELECT split, threshold, CAST(tps AS BIGINT) AS tps, CAST(fps AS BIGINT) AS fps, "
+                          f"{_r('fps', 'N')} AS fpr, {_r('tps', 'P')} AS tpr FROM pts")
+PR = (f"prc AS (SELECT split, threshold, CAST(tps AS BIGINT) AS tps, CAST(fps AS BIGINT) AS fps, "
+      f"{_r('tps', 'tps + fps')} AS precision, CASE WHEN P = 0 THEN 1.0 ELSE tps / P END AS recall FROM pts)")
+Q["pr_curve"] = S.features_with(SPLIT, EV, PTS, PR) + "SELECT * FROM prc"
+Q["roc_auc"] = CURVE + (
+    "SELECT split, CASE WHEN max(P) = 0 OR max(N) = 0 THEN 0.5 ELSE "
+    "CAST(sum(CAST(neg AS HUGEINT) * CAST(2 * tps - pos AS HUGEINT)) AS DOUBLE) / "
+    "(2.0 * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)) END AS roc_auc FROM pts GROUP BY split")
+Q["pr_auc"] = CURVE + (
+    "SELECT split, sum((rec - prev_rec) * (prec + prev_prec) / 2) AS pr_auc FROM ("
+    "SELECT split, CASE WHEN P = 0 THEN 1.0 ELSE tps / P END AS rec, "
+    "CASE WHEN tps - pos + fps - neg = 0 THEN 0.0 WHEN P = 0 THEN 1.0 ELSE (tps - pos) / P END AS prev_rec, "
+    "tps / (tps + fps) AS prec, "
+    "CASE WHEN tps - pos + fps - neg = 0 THEN 1.0 ELSE (tps - pos) / (tps - pos + fps - neg) END AS prev_prec "
+    "FROM pts) GROUP BY split")
+TGT = "tgt AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in (0.9, 0.5, 0.1, 0.02, 0.01)) + ") v(target_precision))"
+Q["tune_threshold"] = S.features_with(SPLIT, EV, PTS, PR, TGT) + (
+    "SELECT split, target_precision, arg_max(threshold, struct_pack(r := recall, t := threshold)) AS threshold, "
+    "arg_max(precision, struct_pack(r := recall, t := threshold)) AS precision, "
+    "arg_max(recall, struct_pack(r := recall, t := threshold)) AS recall "
+    "FROM prc CROSS JOIN tgt WHERE precision >= target_precision GROUP BY split, target_precision")
+
+# --- encoding -------------------------------------------------------------------------------
+def _onehot(vocab):
+    parts = []
+    for col, cats in vocab.items():
+        lst = ", ".join(f"'{c}'" for c in cats)
+        parts.append(f"SELECT id, '{col}_' || {col} AS feature, 1.0 AS value FROM feat WHERE {col} IN ({lst})")
+    return " UNION ALL ".join(parts)
+
+
+Q["onehot"] = S.features_with() + _onehot(K.KNOWN_CAT_VOCAB)
+Q["onehot_open"] = S.features_with() + (
+    "SELECT f.id, 'typefaskes_' || f.typefaskes AS feature, 1.0 AS value FROM feat f "
+    "WHERE f.typefaskes IN (SELECT DISTINCT typefaskes FROM main)")
+Q["ordinal"] = S.features_with() + "SELECT id, " + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(coalesce(list_position([{', '.join(repr(v) for v in K.ORDINAL_VOCAB[c])}], {c}) - 1, -1) AS INTEGER) END AS {c}"
+    for c in K.ORDINAL_COLUMNS) + " FROM feat"
+
+# --- scoring ----------------------------------------------------------------------------------
+def _conf(p):
+    t = f"CAST({T!r} AS DOUBLE)"
+    return (f"CASE WHEN {p} >= {t} THEN 0.5 + 0.5 * ({p} - {t}) / (1.0 - {t} + CAST(1e-06 AS DOUBLE)) "
+            f"ELSE 1.0 - 0.5 * {p} / ({t} + CAST(1e-06 AS DOUBLE)) END")
+
+
+_tok_cols = set(K.SCORING_TOKEN_COLUMNS)
+CLAIMS_P4 = ("claims_p4 AS (SELECT * REPLACE (" + ", ".join(f"{S.null_tokens(c)} AS {c}" for c in K.SCORING_TOKEN_COLUMNS)
+             + ") FROM claims)")
+MAIN2 = S.MAIN.replace("main AS (", "main2 AS (").replace("FROM claims)", "FROM claims_p4)")
+FEAT2 = S.FEAT.replace("feat AS (", "feat2 AS (").replace("FROM main m CROSS JOIN pm", "FROM main2 m CROSS JOIN pm")
+Q["score_batch"] = S.features_with(CLAIMS_P4, MAIN2, FEAT2) + (
+    f"SELECT id, {LOGIT} AS fraud_probability, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, "
+    f"{_conf(LOGIT)} AS confidence_score FROM feat2")
+_reasons = ("list_filter([CASE WHEN biaya > 10000000 THEN 'high_cost' END, CASE WHEN lama_rawat > 10 THEN 'long_stay' END, "
+            "CASE WHEN diagfkrtl_sekunder_counts > 4 THEN 'many_secondary_diagnoses' END, "
+            "CASE WHEN proc_count > 5 THEN 'many_procedures' END], lambda x: x IS NOT NULL)")
+Q["reasons"] = S.features_with() + (
+    f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, array_to_string({_reasons}, ',') AS reasons, "
+    f"CAST(len({_reasons}) AS INTEGER) AS n_reasons FROM feat")
+
+# --- overview -----------------------------------------------------------------------------------
+Q["overview_demographics"] = S.features_with() + (
+    "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "
+    "avg(lama_rawat) AS avg_stay FROM feat GROUP BY jenkel, kelasrawat")
+Q["overview_cost"] = S.features_with() + (
+    "SELECT CAST(floor(usia / 10) * 10 AS INTEGER) AS age_band, count(*) AS claims, sum(biaya) AS total_cost, "
+    "min(biaya) AS min_cost, max(biaya) AS max_cost, avg(biaya) AS avg_cost FROM feat GROUP BY 1")
+Q["overview_imbalance"] = S.features_with() + (
+    "SELECT typefaskes, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, sum(label) / count(*) AS fraud_rate "
+    "FROM feat GROUP BY typefaskes")
+
+
+def _rounded():
+    from claimlens.queries import ROUND6
+    for name, cols in ROUND6.items():
+        if name in Q:
+            rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+            Q[name] = f"SELECT * REPLACE ({rep}) FROM ({Q[name]}) AS q"
+
+
+_rounded()
