@@ -9,27 +9,30 @@ from claimlens import constants as K
 from claimlens.functions.text import strip_upper
 
 
+# a valid code: empty; or a non-digit then at most one character; or a
+# non-digit followed by two digits and anything after
+VALID_CODE = r"(?s)^(|[^0-9].?|[^0-9][0-9]{2}.*)$"
+
+
 def clean_diag(c: Column | str) -> Column:
     """Normalised three-character diagnosis code.
 
-    Text form of a missing value (``NAN``) is treated like any other text.
-    Whole-value typo fixes first; then a leading digit, or (three or more
-    characters) a second/third character pair that is not two digits, marks
-    the code invalid (``Z09.8``). The result keeps the first three characters.
+    The text form of a missing value (``NAN``) is treated like any other text.
+    Whole-value typo fixes come first (their results are valid codes); then a
+    leading digit, or (three or more characters) a second/third character pair
+    that is not two digits, marks the code invalid (``Z09.8``). The result
+    keeps the first three characters.
+
+    Written as one CASE whose first condition already evaluates the cleaned
+    text, so code generation computes it once per row.
     """
     s = F.coalesce(strip_upper(c), F.lit(K.MISSING_TEXT))
-    fixed = s
-    for bad, good in K.DIAG_WHOLE_VALUE_FIXES.items():
-        fixed = F.when(s == bad, F.lit(good)).otherwise(fixed)
-    fixes = list(K.DIAG_WHOLE_VALUE_FIXES.values())
-    first_digit = F.substring(fixed, 1, 1).rlike("^[0-9]$")
-    pair_digits = F.substring(fixed, 2, 2).rlike("^[0-9]{2}$")
-    n = F.length(fixed)
-    cleaned = (F.when(fixed.isin(*fixes), fixed)
-               .when((n >= 3) & (first_digit | ~pair_digits), F.lit(K.DIAG_INVALID))
-               .when((n > 0) & (n < 3) & first_digit, F.lit(K.DIAG_INVALID))
-               .otherwise(fixed))
-    return F.substring(cleaned, 1, K.DIAG_LEN)
+    fixes = list(K.DIAG_WHOLE_VALUE_FIXES.items())
+    out = F.when(s == fixes[0][0], F.lit(fixes[0][1][:K.DIAG_LEN]))
+    for bad, good in fixes[1:]:
+        out = out.when(s == bad, F.lit(good[:K.DIAG_LEN]))
+    return (out.when(s.rlike(VALID_CODE), F.substring(s, 1, K.DIAG_LEN))
+            .otherwise(F.lit(K.DIAG_INVALID[:K.DIAG_LEN])))
 
 
 def code_letter(c: Column) -> Column:

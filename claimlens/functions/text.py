@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from claimlens import constants as K
 
 
+# whitespace stripped from both ends (space, tab, newline, vertical tab, form feed, return)
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
+def strip(c: Column) -> Column:
+    """Strip surrounding whitespace (not only blanks, unlike ``trim``)."""
+    return F.btrim(c.cast("string"), F.lit(WHITESPACE))
+
+
 def strip_upper(c: Column | str) -> Column:
-    """Strip surrounding whitespace (any kind, not only blanks) and upper-case."""
+    """Strip surrounding whitespace and upper-case."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.upper(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
+    return F.upper(strip(c))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -27,7 +36,7 @@ def clean_text_columns(df: DataFrame, columns=K.TEXT_COLUMNS) -> DataFrame:
 def null_tokens(c: Column | str) -> Column:
     """Scoring-time rule: strip, and map the missing tokens (or null) to ``NAN``."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    s = strip(c)
     return F.when(s.isNull() | s.isin(*K.SCORING_MISSING_TOKENS), F.lit(K.MISSING_TEXT)).otherwise(s)
 
 

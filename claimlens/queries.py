@@ -29,6 +29,7 @@ from claimlens.operators.impute import median_table, mode_table
 from claimlens.operators.prefix import exact_medians, modes, stack
 from claimlens.plans import features as FE
 from claimlens.plans import scoring as SC
+from claimlens.session import tune_session
 from claimlens.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,18 +60,25 @@ def query(name: str):
         cols = ROUND6.get(name)
         if cols:
             def wrapped(spark, sf, _fn=fn, _cols=cols):
+                tune_session(spark)
                 df = _fn(spark, sf)
                 return df.withColumns({c: F.round(F.col(c), 6) for c in _cols})
             wrapped.__name__ = fn.__name__
             wrapped.__doc__ = fn.__doc__
             QUERIES[name] = wrapped
         else:
-            QUERIES[name] = fn
+            def plain(spark, sf, _fn=fn):
+                tune_session(spark)
+                return _fn(spark, sf)
+            plain.__name__ = fn.__name__
+            plain.__doc__ = fn.__doc__
+            QUERIES[name] = plain
         return fn
     return deco
 
 
 def _tables(spark, sf):
+    tune_session(spark)
     return FX.fixture_tables(spark, sf)
 
 

@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    tune_session(spark)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -44,3 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="claimlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def tune_session(spark: SparkSession) -> None:
+    """Session SQL settings the claims plans rely on (runtime-settable).
+
+    The feature projections fuse into generated methods larger than the
+    JVM's JIT limit (8000 bytes); Spark's default fallback threshold is 64 KB,
+    so such stages would run in the bytecode interpreter. Lowering the limit
+    makes Spark split them into JIT-compilable pieces instead.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
