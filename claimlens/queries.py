@@ -383,3 +383,111 @@ def q_overview_cost(spark, sf):
 @query("overview_imbalance")
 def q_overview_imbalance(spark, sf):
     return OV.imbalance(feature_table(spark, sf))
+
+
+# --- training (rows-only checks: model output cannot be reproduced in SQL) ----
+# Registered training runs at a reduced size (30 rounds, depth 6) so the check
+# stays quick on one machine; TrainConfig() holds the full settings.
+from claimlens.plans import training as TR  # noqa: E402
+from claimlens.sources import sinks as SK  # noqa: E402
+
+CHECK_TRAIN = TR.TrainConfig(max_iter=30, max_depth=6)
+_TRAINED: dict[str, TR.TrainResult] = {}
+
+
+def trained(spark: SparkSession, sf: str) -> TR.TrainResult:
+    if sf not in _TRAINED:
+        _TRAINED[sf] = TR.train(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)
+    return _TRAINED[sf]
+
+
+@query("encode")
+def q_encode(spark, sf):
+    p = feature_params(spark, sf)
+    f = feature_table(spark, sf)
+    enc = EN.encode(EN.fit_encoder(f, p.facility_vocab), f)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return enc.select("id", "label", F.size(arr).alias("width"),
+                      F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"))
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf):
+    return TR.evaluation(trained(spark, sf).eval_scores)
+
+
+@query("partial_scores")
+def q_partial_scores(spark, sf):
+    r = trained(spark, sf)
+    enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
+    val = enc.where(F.col("split") == "val").select("id", "label", "features")
+    return TR.partial_scores(r.model, val, TR.curve_iterations(r.model.getNumTrees))
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf):
+    r = trained(spark, sf)
+    enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
+    cols = ["id", "label", "features"]
+    sets = {"train": SA.eval_subsample(enc.where(F.col("split") == "train").select(*cols)),
+            "val": SA.eval_subsample(enc.where(F.col("split") == "val").select(*cols))}
+    return TR.learning_curve(r.model, sets)
+
+
+@query("round_loss")
+def q_round_loss(spark, sf):
+    r = trained(spark, sf)
+    enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
+    val = TR.with_weight(enc.where(F.col("split") == "val"), CHECK_TRAIN)
+    return TR.round_loss(spark, r.model, {"train": r.train_rows, "val": val})
+
+
+@query("round_auc")
+def q_round_auc(spark, sf):
+    r = trained(spark, sf)
+    enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
+    return TR.round_auc(r.model, enc.where(F.col("split") == "val").select("id", "label", "features"))
+
+
+@query("run_record")
+def q_run_record(spark, sf):
+    r = trained(spark, sf)
+    rec = TR.run_record(spark, r, TR.evaluation(r.eval_scores), CHECK_TRAIN)
+    path = SK.append_run_record(rec, SK.work_dir(spark, "runs"))
+    return SK.read_run_records(spark, path)
+
+
+@query("eval_sink")
+def q_eval_sink(spark, sf):
+    r = trained(spark, sf)
+    path = SK.write_report(r.eval_scores, SK.work_dir(spark, "eval"))
+    return SK.read_report(spark, path, r.eval_scores.schema)
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Saved and re-loaded model scores the evaluation rows identically."""
+    r = trained(spark, sf)
+    path = SK.save_model(r.model, SK.work_dir(spark, "model"))
+    m2 = SK.load_gbt(path)
+    enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
+    ev = enc.where(F.col("split").isin("val", "test"))
+    from pyspark.ml.functions import vector_to_array
+    a = r.model.transform(ev).select("id", vector_to_array("probability")[1].alias("p_saved"))
+    b = m2.transform(ev).select("id", vector_to_array("probability")[1].alias("p_loaded"))
+    return a.join(b, "id").withColumn("same", F.col("p_saved") == F.col("p_loaded"))
+
+
+@query("prep_roundtrip")
+def q_prep_roundtrip(spark, sf):
+    """Fitted parameters and encoder saved, re-loaded and re-applied."""
+    p = feature_params(spark, sf)
+    path = SK.save_params(spark, p.to_dict(), SK.work_dir(spark, "params"))
+    p2 = FE.FeatureParams.from_dict(SK.load_params(spark, path))
+    c, d, pr = _tables(spark, sf)
+    f = FE.transform(c, d, pr, p2)
+    enc_path = SK.save_model(EN.fit_encoder(f, p2.facility_vocab), SK.work_dir(spark, "encoder"))
+    from pyspark.ml.functions import vector_to_array
+    return SK.load_pipeline(enc_path).transform(f).select(
+        "id", "label", F.size(vector_to_array("features")).alias("width"))
