@@ -105,13 +105,23 @@ def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> FeatureParams:
     )
 
 
+def proc_table(proc: DataFrame) -> DataFrame:
+    return proc_counts(proc)
+
+
 def transform(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: FeatureParams) -> DataFrame:
     """The structural pass as one lazy plan."""
+    return transform_with_children(claims, diag_parts(diag), proc_table(proc), params)
+
+
+def transform_with_children(claims: DataFrame, dparts: DataFrame, pcounts: DataFrame,
+                            params: FeatureParams) -> DataFrame:
+    """Structural pass given the per-claim child aggregates (id-unique tables)."""
     main = clean_main(claims)
     main = fill(main, params.modes)
     main = fill(main, params.medians, cast={"biaya": "double"})
     df = engineer(main)
-    df = df.join(diag_parts(diag), "id", "left")
+    df = df.join(dparts, "id", "left")
     df = fill(df, {"diagfkrtl_letter": params.diag_letter_mode,
                    "diagfkrtl_num": params.diag_num_median,
                    "diagfkrtl_sekunder_counts": params.secondary_median},
@@ -124,7 +134,7 @@ def transform(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: Featu
         "diagfkrtl_icd10": icd_chapter(F.col("diagfkrtl_letter"), rt_num),
         "diagfkrtl_sekunder_counts": F.col("diagfkrtl_sekunder_counts").cast("bigint"),
     }).drop("diagfktp", "diagfkrtl_letter", "diagfkrtl_num")
-    df = df.join(proc_counts(proc), "id", "left") \
+    df = df.join(pcounts, "id", "left") \
         .withColumn("proc_count", F.coalesce(F.col("proc_count"), F.lit(0)).cast("bigint"))
     if "label" in df.columns:
         df = df.withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(0)))

@@ -86,3 +86,52 @@ def explain(scored: DataFrame) -> DataFrame:
     return scored.select("id", "is_fraud", explanation(
         F.col("fraud_probability"), F.col("is_fraud"), F.col("biaya"), F.col("lama_rawat"),
         F.col("diagfkrtl_sekunder_counts"), F.col("proc_count")).alias("explanation"))
+
+
+# --- nested claims -------------------------------------------------------------
+# A nested claim row carries its own children:
+#   claim columns..., diagnoses array<struct<diag:string, levelid:int>>, procedures array<string>
+
+def flatten_nested(nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nested claims -> (claims, diagnoses, procedures) with ``explode``.
+
+    A missing ``levelid`` means primary (1) and a missing code is empty text;
+    list position is the row order of the diagnoses."""
+    claim_cols = [c for c in nested.columns if c not in ("diagnoses", "procedures")]
+    claims = nested.select(*claim_cols)
+    d = nested.select("id", F.posexplode_outer("diagnoses").alias("ord", "d")).where(F.col("d").isNotNull())
+    diags = d.select("id", F.coalesce(F.col("d.diag"), F.lit("")).alias("diag"),
+                     F.coalesce(F.col("d.levelid").cast("int"), F.lit(1)).alias("levelid"),
+                     F.col("ord").cast("long").alias("ord"))
+    procs = nested.select("id", F.explode("procedures").alias("proc"))
+    return claims, diags, procs
+
+
+def nested_counts(nested: DataFrame) -> DataFrame:
+    """Raw list counts used by explanations: secondary diagnoses, procedures,
+    first primary code (lists as given, not de-duplicated)."""
+    lvl = lambda d: F.coalesce(d["levelid"].cast("int"), F.lit(1))
+    prim = F.filter("diagnoses", lambda d: lvl(d) == 1)
+    return nested.select(
+        "id",
+        F.size(F.filter("diagnoses", lambda d: lvl(d) == 2)).alias("n_secondary"),
+        F.size("procedures").alias("n_procedures"),
+        F.coalesce(F.element_at(prim, 1)["diag"], F.lit("")).alias("primary_diag"))
+
+
+def score_nested(nested: DataFrame, params: FE.FeatureParams,
+                 threshold: float = K.DEFAULT_THRESHOLD, model_name: str = "fixed-logit") -> DataFrame:
+    """Scored nested claims with explanation and model info."""
+    from claimlens.functions.dates import stay_days
+    claims, diags, procs = flatten_nested(nested)
+    scored = score_batch(claims, diags, procs, params, threshold)
+    raw = nested_counts(nested)
+    base = nested.select("id", F.col("biaya").cast("double").alias("_cost"),
+                         F.coalesce(stay_days("tgldatang", "tglpulang"), F.lit(0)).alias("_stay"))
+    j = scored.join(raw, "id").join(base, "id")
+    return j.select(
+        "id", "is_fraud", "fraud_probability", "confidence_score",
+        explanation(F.col("fraud_probability"), F.col("is_fraud"), F.coalesce("_cost", F.lit(0.0)),
+                    F.col("_stay"), F.col("n_secondary"), F.col("n_procedures")).alias("explanation"),
+        F.struct(F.lit(model_name).alias("name"), F.lit("1.0.0").alias("version"),
+                 F.lit(threshold).alias("threshold")).alias("model_info"))

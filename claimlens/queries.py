@@ -49,6 +49,9 @@ ROUND6: dict[str, list[str]] = {
     "roc_curve": ["threshold", "fpr", "tpr"], "pr_curve": ["threshold", "precision", "recall"],
     "roc_auc": ["roc_auc"], "pr_auc": ["pr_auc"], "tune_threshold": ["threshold", "precision", "recall"],
     "score_batch": ["fraud_probability", "confidence_score"],
+    "score_stream": ["fraud_probability", "confidence_score"],
+    "report_sink": ["fraud_probability", "confidence_score"],
+    "scan_csv": ["biaya"],
     "overview_demographics": ["avg_cost", "avg_stay"],
     "overview_cost": ["total_cost", "min_cost", "max_cost", "avg_cost"],
     "overview_imbalance": ["fraud_rate"],
@@ -491,3 +494,53 @@ def q_prep_roundtrip(spark, sf):
     from pyspark.ml.functions import vector_to_array
     return SK.load_pipeline(enc_path).transform(f).select(
         "id", "label", F.size(vector_to_array("features")).alias("width"))
+
+
+# --- streaming, CSV source, report sink, raw child counts, explanations ---------
+from claimlens.streaming import score_stream as ST  # noqa: E402
+
+
+@query("score_stream")
+def q_score_stream(spark, sf):
+    """Orders arrive as a stream; scored output equals the batch scoring."""
+    stream = ST.scored_stream(spark, sf, feature_params(spark, sf))
+    return ST.run_to_table(spark, stream)
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf):
+    """Claims exported to CSV and read back with a declared schema (PERMISSIVE)."""
+    c, d, p = _tables(spark, sf)
+    path = SK.work_dir(spark, "claims-csv")
+    (c.write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    back = (spark.read.schema(c.schema).option("header", True).option("mode", "PERMISSIVE")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return FE.transform(back, d, p, feature_params(spark, sf))
+
+
+@query("report_sink")
+def q_report_sink(spark, sf):
+    """Scored claims written as parquet and read back."""
+    s = q_score_batch(spark, sf)
+    path = SK.write_report(s, SK.work_dir(spark, "report"))
+    return SK.read_report(spark, path, s.schema)
+
+
+@query("raw_child_counts")
+def q_raw_child_counts(spark, sf):
+    """Counts as the explanation sees them: raw (not de-duplicated) child rows."""
+    c, d, p = _tables(spark, sf)
+    sec = d.where(F.col("levelid") == 2).groupBy("id").agg(F.count(F.lit(1)).alias("n_secondary_raw"))
+    prim = (d.where(F.col("levelid") == 1).groupBy("id")
+            .agg(F.min_by(F.struct("diag"), "ord").alias("_first")))
+    pc = p.groupBy("id").agg(F.count(F.lit(1)).alias("n_procedures_raw"))
+    out = c.select("id").join(sec, "id", "left").join(prim, "id", "left").join(pc, "id", "left")
+    return out.select("id", F.coalesce("n_secondary_raw", F.lit(0)).alias("n_secondary_raw"),
+                      F.coalesce("n_procedures_raw", F.lit(0)).alias("n_procedures_raw"),
+                      F.when(F.col("_first").isNull(), F.lit("")).otherwise(F.col("_first.diag")).alias("primary_diag"))
+
+
+@query("explain")
+def q_explain(spark, sf):
+    return SC.explain(SC.scored_features(feature_table(spark, sf)))

@@ -23,8 +23,9 @@ def _letter(c: Column) -> Column:
     return F.chr((F.lit(65) + c % 26).cast("int"))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select(
+def claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Claims view; ``orders`` may be given (e.g. a stream of orders)."""
+    o = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     ship = (read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")

@@ -218,6 +218,17 @@ Q["reasons"] = S.features_with() + (
     f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, array_to_string({_reasons}, ',') AS reasons, "
     f"CAST(len({_reasons}) AS INTEGER) AS n_reasons FROM feat")
 
+Q["score_stream"] = Q["score_batch"]
+Q["report_sink"] = Q["score_batch"]
+Q["scan_csv"] = Q["features"]
+Q["raw_child_counts"] = W() + (
+    "SELECT c.id, coalesce(s.n, 0) AS n_secondary_raw, coalesce(p.n, 0) AS n_procedures_raw, "
+    "CASE WHEN f.id IS NULL THEN '' ELSE f.diag END AS primary_diag FROM claims c "
+    "LEFT JOIN (SELECT id, count(*) AS n FROM diagnoses WHERE levelid = 2 GROUP BY id) s ON c.id = s.id "
+    "LEFT JOIN (SELECT id, diag FROM (SELECT id, diag, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn "
+    "FROM diagnoses WHERE levelid = 1) WHERE rn = 1) f ON c.id = f.id "
+    "LEFT JOIN (SELECT id, count(*) AS n FROM procedures GROUP BY id) p ON c.id = p.id")
+
 # --- overview -----------------------------------------------------------------------------------
 Q["overview_demographics"] = S.features_with() + (
     "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "
