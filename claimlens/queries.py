@@ -52,6 +52,7 @@ ROUND6: dict[str, list[str]] = {
     "score_stream": ["fraud_probability", "confidence_score"],
     "report_sink": ["fraud_probability", "confidence_score"],
     "scan_csv": ["biaya"],
+    "knn_minority": ["dist"],
     "overview_demographics": ["avg_cost", "avg_stay"],
     "overview_cost": ["total_cost", "min_cost", "max_cost", "avg_cost"],
     "overview_imbalance": ["fraud_rate"],
@@ -544,3 +545,30 @@ def q_raw_child_counts(spark, sf):
 @query("explain")
 def q_explain(spark, sf):
     return SC.explain(SC.scored_features(feature_table(spark, sf)))
+
+
+# --- neighbours and synthetic over-sampling ----------------------------------
+from claimlens.operators import neighbors as NB  # noqa: E402
+from claimlens.sources.tables import read_table  # noqa: E402
+
+KNN_MINORITY_LABEL = 0
+KNN_K = 5
+
+
+@query("knn_minority")
+def q_knn_minority(spark, sf):
+    """Exact 5 nearest neighbours among the minority rows (label 0) of ``embeddings``."""
+    tune_session(spark)
+    e = read_table(spark, sf, "embeddings").where(F.col("label") == KNN_MINORITY_LABEL)
+    nn = NB.knn(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), KNN_K)
+    return nn
+
+
+@query("oversample")
+def q_oversample(spark, sf):
+    """Synthetic fraud rows for the encoded training split."""
+    from pyspark.ml.functions import vector_to_array
+    enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
+    tr = enc.where(F.col("split") == "train").select("id", "label", vector_to_array("features").alias("vec"))
+    out = NB.oversample(tr)
+    return out.select("id", "label", "is_synthetic", F.size("vec").alias("width"))

@@ -229,6 +229,14 @@ Q["raw_child_counts"] = W() + (
     "FROM diagnoses WHERE levelid = 1) WHERE rn = 1) f ON c.id = f.id "
     "LEFT JOIN (SELECT id, count(*) AS n FROM procedures GROUP BY id) p ON c.id = p.id")
 
+Q["knn_minority"] = (
+    "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 0) "
+    "SELECT id, nb_id, CAST(rank AS INTEGER) AS rank, dist FROM (SELECT a.id, b.id AS nb_id, "
+    "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist, "
+    "row_number() OVER (PARTITION BY a.id ORDER BY sqrt(list_sum(list_transform(list_zip(a.v, b.v), "
+    "lambda p: (p[1] - p[2]) * (p[1] - p[2])))), b.id) AS rank "
+    "FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 5")
+
 # --- overview -----------------------------------------------------------------------------------
 Q["overview_demographics"] = S.features_with() + (
     "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "
