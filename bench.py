@@ -1,7 +1,10 @@
 """Bench: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is fully materialised with the ``noop`` sink (no collect to the
-driver). Prints one JSON line.
+driver). The whole list runs twice in one session: the first (cold) pass
+pays JVM start-up, class loading and JIT/code-generation warm-up; the second
+pass is the steady state a long-running cluster job sees and is the headline
+value. Both passes are reported. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -26,17 +29,26 @@ def main() -> None:
     from claimlens.queries import QUERIES, feature_params
     # warm-up: JVM start, class loading, file listing (not timed)
     spark.read.parquet(f"{sf_dir}/region.parquet").write.format("noop").mode("overwrite").save()
-    times = {}
-    t0 = time.time()
-    feature_params(spark, sf_dir)  # fitting the imputation values is part of the work
-    times["fit_features"] = round(time.time() - t0, 3)
-    for name in HEADLINE:
-        t = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t, 3)
-    total = round(sum(times.values()), 3)
+    from claimlens import queries as Qm
+
+    def one_pass() -> dict:
+        Qm.release()  # re-fit and re-materialise each pass: that is part of the work
+        times = {}
+        t0 = time.time()
+        feature_params(spark, sf_dir)
+        times["fit_features"] = round(time.time() - t0, 3)
+        for name in HEADLINE:
+            t = time.time()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t, 3)
+        return times
+
+    cold = one_pass()
+    warm = one_pass()
+    total = round(sum(warm.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times,
+    print(json.dumps({"metric": "headline_total_steady_state", "value": total, "unit": "sec", "queries": warm,
+                      "cold_total": round(sum(cold.values()), 3), "cold_queries": cold,
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
     spark.stop()
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +93,37 @@ def feature_params(spark: SparkSession, sf: str) -> FE.FeatureParams:
     return _PARAMS[sf]
 
 
+_MATERIALISED: dict[tuple, DataFrame] = {}
+
+
+def _key(spark: SparkSession, sf: str, what: str) -> tuple:
+    return (spark.sparkContext.applicationId, sf, what)
+
+
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return FE.transform(*_tables(spark, sf), feature_params(spark, sf))
+    """The feature table, computed once per session and input folder and then
+    reused by every downstream query (persisted, recomputable from lineage)."""
+    k = _key(spark, sf, "features")
+    if k not in _MATERIALISED:
+        _MATERIALISED[k] = FE.transform(*_tables(spark, sf), feature_params(spark, sf)) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    return _MATERIALISED[k]
 
 
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
-    return SA.stratified_split(feature_table(spark, sf))
+    k = _key(spark, sf, "split")
+    if k not in _MATERIALISED:
+        _MATERIALISED[k] = SA.stratified_split(feature_table(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return _MATERIALISED[k]
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Drop memoised fitted values and persisted tables."""
+    for df in _MATERIALISED.values():
+        df.unpersist()
+    _MATERIALISED.clear()
+    _PARAMS.clear()
+    _TRAINED.clear()
 
 
 def eval_set(spark: SparkSession, sf: str) -> DataFrame:
