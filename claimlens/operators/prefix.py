@@ -71,6 +71,8 @@ def running_sums(df: DataFrame, order: Sequence[Column | str], measures: Sequenc
     keys = groups + [BUCKET]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = d.withColumns({f"_loc_{m}": F.sum(m).over(w) for m in measures})
+    # totals from a separate partial aggregate: that branch reads only the key
+    # columns (pruned scan) and shuffles one row per bucket and task
     totals = d.groupBy(*keys).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
     wo = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_tot_{m}").over(wo), F.lit(0)).alias(f"_off_{m}")

@@ -422,13 +422,15 @@ from claimlens.plans import training as TR  # noqa: E402
 from claimlens.sources import sinks as SK  # noqa: E402
 
 CHECK_TRAIN = TR.TrainConfig(max_iter=30, max_depth=6)
-_TRAINED: dict[str, TR.TrainResult] = {}
+_TRAINED: dict[tuple, TR.TrainResult] = {}
 
 
 def trained(spark: SparkSession, sf: str) -> TR.TrainResult:
-    if sf not in _TRAINED:
-        _TRAINED[sf] = TR.train(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)
-    return _TRAINED[sf]
+    """Model fitted once per session and input folder (it holds JVM objects)."""
+    k = _key(spark, sf, "trained")
+    if k not in _TRAINED:
+        _TRAINED[k] = TR.train(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)
+    return _TRAINED[k]
 
 
 @query("encode")
