@@ -116,12 +116,21 @@ def exact_medians(long: DataFrame, name: str = "name", value: str = "x",
             .groupBy("name").agg(((F.min("x") + F.max("x")) / 2).alias("median")))
 
 
+def value_counts(long: DataFrame, name: str = "name", value: str = "v") -> DataFrame:
+    """(name, v, n): occurrences of each non-null value per column (partial aggregation)."""
+    return (long.select(F.col(name).alias("name"), F.col(value).alias("v"))
+            .where(F.col("v").isNotNull())
+            .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def modes_from_counts(vc: DataFrame) -> DataFrame:
+    """Most frequent value per name; ties go to the smallest value."""
+    return vc.groupBy("name").agg(F.min_by("v", F.struct((-F.col("n")).alias("k"), F.col("v").alias("t"))).alias("mode"))
+
+
 def modes(long: DataFrame, name: str = "name", value: str = "v") -> DataFrame:
     """Most frequent non-null value per ``name``; ties go to the smallest value."""
-    vc = (long.select(F.col(name).alias("name"), F.col(value).alias("v"))
-          .where(F.col("v").isNotNull())
-          .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")))
-    return vc.groupBy("name").agg(F.min_by("v", F.struct((-F.col("n")).alias("k"), F.col("v").alias("t"))).alias("mode"))
+    return modes_from_counts(value_counts(long, name, value))
 
 
 def stack(df: DataFrame, cols: Sequence[str], cast: str | None = None,

@@ -22,7 +22,7 @@ from claimlens.functions.diagnosis import clean_diag, code_letter, code_number,
 from claimlens.functions.text import clean_text_columns
 from claimlens.operators.children import diag_prepared, proc_counts
 from claimlens.operators.impute import collect_params, fill, median_table, mode_table
-from claimlens.operators.prefix import exact_medians, modes, stack
+from claimlens.operators.prefix import exact_medians, modes_from_counts, stack, value_counts
 
 FEATURE_COLUMNS = [
     "id", "id_peserta", "label",
@@ -81,20 +81,26 @@ def joined_diag(main: DataFrame, diag: DataFrame) -> DataFrame:
 
 
 def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> FeatureParams:
-    """Fit imputation values and the facility-type vocabulary."""
+    """Fit imputation values and the facility-type vocabulary.
+
+    Value counts give the modes and the vocabulary; exact medians come from
+    bucketed running sums over distinct values."""
+    # the claims are re-read per job (a pruned columnar scan is cheaper than a
+    # cached copy of every claim); the joined diagnosis parts are kept, since
+    # rebuilding them means re-shuffling the diagnosis table
     main = clean_main(claims)
     mode_cols = [c for c in K.MODE_COLUMNS if c in main.columns]
-    # all modes in one job: main-table columns plus the primary-diagnosis letter
-    # the joined diagnosis parts feed both the modes and the medians
     j = joined_diag(main.select("id"), diag).persist(StorageLevel.MEMORY_AND_DISK)
-    long_modes = stack(main, mode_cols, cast="string").unionByName(
+    long_modes = stack(main, mode_cols + list(K.OPEN_CAT_COLUMNS), cast="string").unionByName(
         stack(j, ["diagfkrtl_letter"], cast="string"))
-    m = collect_params(modes(long_modes), "mode")
+    vc = value_counts(long_modes).persist(StorageLevel.MEMORY_AND_DISK)
+    m = collect_params(modes_from_counts(vc), "mode")
+    vocab = sorted(r[0] for r in vc.where(F.col("name") == K.OPEN_CAT_COLUMNS[0]).select("v").collect())
     long_med = stack(main, K.MEDIAN_COLUMNS, cast="double", value="x").unionByName(
         stack(j, ["diagfkrtl_num", "diagfkrtl_sekunder_counts"], cast="double", value="x"))
     med = collect_params(exact_medians(long_med), "median")
-    vocab = [r[0] for r in main.select("typefaskes").distinct().orderBy("typefaskes").collect()]
-    j.unpersist()
+    for df in (vc, j):
+        df.unpersist()
     return FeatureParams(
         modes={c: m.get(c) for c in mode_cols},
         medians={c: med.get(c) for c in K.MEDIAN_COLUMNS},
