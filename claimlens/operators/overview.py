@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.operators.prefix import exact_medians
+
 
 def age_band(c="usia"):
     return (F.floor(F.col(c) / 10) * 10).cast("int")
@@ -19,12 +21,18 @@ def demographics(features: DataFrame) -> DataFrame:
 
 
 def cost_by_age(features: DataFrame) -> DataFrame:
-    return (features.groupBy(age_band().alias("age_band"))
-            .agg(F.count(F.lit(1)).alias("claims"),
-                 F.sum("biaya").alias("total_cost"),
-                 F.min("biaya").alias("min_cost"),
-                 F.max("biaya").alias("max_cost"),
-                 F.avg("biaya").alias("avg_cost")))
+    """Claims and cost per 10-year age band, with the exact median cost."""
+    banded = features.select(age_band().alias("age_band"), "biaya")
+    agg = (banded.groupBy("age_band")
+           .agg(F.count(F.lit(1)).alias("claims"),
+                F.sum("biaya").alias("total_cost"),
+                F.min("biaya").alias("min_cost"),
+                F.max("biaya").alias("max_cost"),
+                F.avg("biaya").alias("avg_cost")))
+    med = exact_medians(banded.select(F.col("age_band").cast("string").alias("name"), F.col("biaya").alias("x")),
+                        persist=False)
+    med = med.select(F.col("name").cast("int").alias("age_band"), F.col("median").alias("median_cost"))
+    return agg.join(med, "age_band", "left")
 
 
 def imbalance(features: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ ROUND6: dict[str, list[str]] = {
     "scan_csv": ["biaya"],
     "knn_minority": ["dist"],
     "overview_demographics": ["avg_cost", "avg_stay"],
-    "overview_cost": ["total_cost", "min_cost", "max_cost", "avg_cost"],
+    "overview_cost": ["total_cost", "min_cost", "max_cost", "avg_cost", "median_cost"],
     "overview_imbalance": ["fraud_rate"],
 }
 

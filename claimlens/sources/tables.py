@@ -5,6 +5,7 @@ only decodes those columns."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -39,3 +40,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def read_with_order(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                    order_col: str = "ord") -> DataFrame:
+    """Parquet rows with their file order as ``ord`` = struct(file path, row index).
+
+    For child tables that carry no order column: "first" and "last" then mean
+    file order (files by path, rows by position). Structs compare field by
+    field, so ``min`` / ``max_by`` over ``ord`` work unchanged.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
+    return df.withColumn(order_col, F.struct(F.col("_metadata.file_path").alias("file"),
+                                             F.col("_metadata.row_index").alias("row")))

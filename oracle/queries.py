@@ -241,9 +241,15 @@ Q["knn_minority"] = (
 Q["overview_demographics"] = S.features_with() + (
     "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "
     "avg(lama_rawat) AS avg_stay FROM feat GROUP BY jenkel, kelasrawat")
-Q["overview_cost"] = S.features_with() + (
-    "SELECT CAST(floor(usia / 10) * 10 AS INTEGER) AS age_band, count(*) AS claims, sum(biaya) AS total_cost, "
-    "min(biaya) AS min_cost, max(biaya) AS max_cost, avg(biaya) AS avg_cost FROM feat GROUP BY 1")
+Q["overview_cost"] = S.features_with(
+    "band AS (SELECT CAST(floor(usia / 10) * 10 AS INTEGER) AS age_band, biaya FROM feat)",
+    "bmed AS (SELECT age_band, (min(biaya) + max(biaya)) / 2 AS median_cost FROM ("
+    "SELECT age_band, biaya, row_number() OVER (PARTITION BY age_band ORDER BY biaya) AS rn, "
+    "count(*) OVER (PARTITION BY age_band) AS n FROM band WHERE biaya IS NOT NULL AND NOT isnan(biaya)) "
+    "WHERE rn = (n + 1) // 2 OR rn = n // 2 + 1 GROUP BY age_band)") + (
+    "SELECT b.age_band, count(*) AS claims, sum(biaya) AS total_cost, min(biaya) AS min_cost, max(biaya) AS max_cost, "
+    "avg(biaya) AS avg_cost, any_value(bmed.median_cost) AS median_cost FROM band b LEFT JOIN bmed ON b.age_band = bmed.age_band "
+    "GROUP BY b.age_band")
 Q["overview_imbalance"] = S.features_with() + (
     "SELECT typefaskes, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, sum(label) / count(*) AS fraud_rate "
     "FROM feat GROUP BY typefaskes")

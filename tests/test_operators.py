@@ -103,3 +103,12 @@ def test_stack_long_form(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     got = sorted(stack(df, ["x", "y"], cast="string").collect(), key=lambda r: (r.name, str(r.v)))
     assert [(r.name, r.v) for r in got] == [("x", "1"), ("x", "2"), ("y", None), ("y", "a")]
+
+
+def test_read_with_order(spark, tmp_path):
+    from claimlens.sources.tables import read_with_order
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(1, "A"), (1, "B"), (1, "A")], "id long, diag string").coalesce(1) \
+        .write.parquet(path)
+    d = read_with_order(spark, path).withColumn("levelid", F.lit(1))
+    assert {r.id: r.diag for r in CH.primary_diagnosis(CH.dedupe_rows(d)).collect()} == {1: "B"}
