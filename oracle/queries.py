@@ -196,6 +196,24 @@ Q["ordinal"] = S.features_with() + "SELECT id, " + ", ".join(
     f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(coalesce(list_position([{', '.join(repr(v) for v in K.ORDINAL_VOCAB[c])}], {c}) - 1, -1) AS INTEGER) END AS {c}"
     for c in K.ORDINAL_COLUMNS) + " FROM feat"
 
+def _encode_nonzero():
+    parts = []
+    for col, cats in K.KNOWN_CAT_VOCAB.items():
+        lst = ", ".join(f"'{c}'" for c in cats)
+        parts.append(f"CAST({col} IN ({lst}) AS INTEGER)")
+    parts.append("CAST(typefaskes IN (SELECT typefaskes FROM main) AS INTEGER)")
+    for col in K.ORDINAL_COLUMNS:
+        lst = ", ".join(repr(v) for v in K.ORDINAL_VOCAB[col])
+        parts.append(f"CAST(coalesce(list_position([{lst}], {col}) - 1, -1) <> 0 AS INTEGER)")
+    for col in K.NUMERIC_COLUMNS:
+        parts.append(f"CAST(coalesce(CAST({col} AS DOUBLE), 0.0) <> 0 AS INTEGER)")
+    return " + ".join(parts)
+
+
+Q["encode"] = S.features_with() + (
+    f"SELECT id, label, CAST({736 + 15} + (SELECT count(DISTINCT typefaskes) FROM main) AS INTEGER) AS width, "
+    f"CAST({_encode_nonzero()} AS INTEGER) AS nonzero FROM feat")
+
 # --- scoring ----------------------------------------------------------------------------------
 def _conf(p):
     t = f"CAST({T!r} AS DOUBLE)"

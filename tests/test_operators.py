@@ -112,3 +112,13 @@ def test_read_with_order(spark, tmp_path):
         .write.parquet(path)
     d = read_with_order(spark, path).withColumn("levelid", F.lit(1))
     assert {r.id: r.diag for r in CH.primary_diagnosis(CH.dedupe_rows(d)).collect()} == {1: "B"}
+
+
+def test_headline_defaults(spark):
+    from claimlens.plans.training import headline
+    recs = spark.createDataFrame([("2026-01-01 00:00:00", 0.5), ("2026-02-01 00:00:00", None)],
+                                 "training_date string, classification_threshold double")
+    h = headline(recs).first()
+    assert h.training_date == "2026-02-01 00:00:00"
+    assert (h.precision, h.recall, h.f1_score) == (0.9, 0.4, 0.55)
+    assert h.classification_threshold == 0.7868109 and h.num_features == 342 and h.sample_fraction == 0.05
