@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bkt"
-HASH_PREFIX_HEX = 3  # 16**3 = 4096 uniform buckets for md5-ordered keys
+HASH_PREFIX_HEX = 4  # 16**4 = 65,536 uniform buckets for md5-ordered keys (window parallelism)
 MAX_QUANTILE_BUCKETS = 4096
 
 
