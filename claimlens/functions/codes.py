@@ -34,17 +34,29 @@ def kdsa_severity(c: Column) -> Column:
     return F.when(c.isin(*K.KDSA_SEVERITY_KEPT), c).otherwise(F.lit(K.KDSA_SEVERITY_OTHER))
 
 
+def _pick(parts: Column, part: str) -> Column:
+    n = F.size(parts)
+    dash = F.lit("-")
+    i4, i3 = {"CMG": (0, 0), "tipekasus": (1, None), "spesifikkasus": (2, 1), "severity": (3, 2)}[part]
+    three = parts.getItem(i3) if i3 is not None else dash
+    return F.when(n == 4, parts.getItem(i4)).when(n == 3, three).otherwise(dash)
+
+
 def split_code_columns(df: DataFrame, layout=K.CODE_PARTS) -> DataFrame:
-    """Replace each code column by the parts the layout keeps for it."""
+    """Replace each code column by the parts the layout keeps for it.
+
+    Each code is split once into an array column (its own projection, which
+    Catalyst keeps separate because the array is read several times), then
+    the parts are picked from it."""
+    present = [(col, keep) for col, keep in layout if col in df.columns]
+    arrays = {f"_parts_{col}": F.split(F.coalesce(F.col(col).cast("string"), F.lit(K.MISSING_TEXT)), "-", -1)
+              for col, _ in present}
+    df = df.withColumns(arrays)
     new = {}
-    for col, keep in layout:
-        if col not in df.columns:
-            continue
-        parts = split_code(col)
+    for col, keep in present:
         for p in keep:
-            expr = parts[p]
+            expr = _pick(F.col(f"_parts_{col}"), p)
             if col == "kdsa" and p == "severity":
                 expr = kdsa_severity(expr)
             new[f"{col}_{p}"] = expr
-    done = [col for col, _ in layout if col in df.columns]
-    return df.withColumns(new).drop(*done)
+    return df.withColumns(new).drop(*arrays.keys(), *[col for col, _ in present])
