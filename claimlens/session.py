@@ -57,3 +57,25 @@ def tune_session(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                 max_partitions: int = 200_000) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the input volume.
+
+    Shuffle partitions start at input / 256 MB (AQE then coalesces small ones
+    and splits skewed ones); scans read 256 MB splits; broadcast joins are
+    allowed only under a fixed size bound.
+    """
+    parts = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        "spark.sql.session.timeZone": "UTC",
+    }
