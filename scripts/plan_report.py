@@ -1,9 +1,12 @@
 """Physical-plan summary of the headline queries (exchanges, broadcasts, scans).
 
+Walks the executed plan tree (not its text). Persisted tables appear as
+``InMemoryTableScan`` leaves: they are computed once per session and their
+own plans are reported where they are built (``features``, ``split``).
+
 Usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 """
 
-import re
 import sys
 
 sys.path.insert(0, "/root/repo")
@@ -11,7 +14,20 @@ from claimlens.queries import QUERIES  # noqa: E402
 from claimlens.session import local_session  # noqa: E402
 
 NAMES = ["features", "score_batch", "diag_prepared", "proc_count", "validate", "sample_exact", "split",
-         "metrics_by_split", "roc_auc", "onehot", "fit_medians", "knn_minority", "score_stream"]
+         "metrics_by_split", "roc_auc", "onehot", "fit_medians", "overview_cost", "knn_minority"]
+
+
+def walk(node, out):
+    out.append(node)
+    kids = node.children()
+    for i in range(kids.size()):
+        walk(kids.apply(i), out)
+    return out
+
+
+def opt(m, key):
+    v = m.get(key)
+    return v.get() if v.isDefined() else ""
 
 
 def main():
@@ -19,26 +35,37 @@ def main():
     spark = local_session()
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # static plan, before runtime re-planning
     print("# Physical plans of the headline queries\n")
-    print(f"Static plans (AQE off for the report) at `{sf}`. At run time AQE may turn sort-merge joins into")
-    print("broadcast joins under the size threshold, coalesce partitions and split skewed ones.\n")
+    print(f"Static plans (AQE off for the report) at `{sf}`, from `scripts/plan_report.py`. At run time AQE")
+    print("may turn sort-merge joins into broadcast joins under the size threshold, coalesce small")
+    print("partitions and split skewed ones. Persisted tables show as cached reads: they are computed")
+    print("once per session, and their own plans are listed under `features` and `split`.\n")
+    from claimlens.operators import sampling as SA
+    from claimlens.plans import features as FE
+    from claimlens.queries import _tables, feature_params, feature_table
     for n in NAMES:
-        if n == "score_stream":
-            continue
-        df = QUERIES[n](spark, sf)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        ex = re.findall(r"Exchange (hashpartitioning\([^)]*\)|rangepartitioning\([^)]*\)|SinglePartition|RoundRobinPartitioning\([^)]*\))", plan)
-        bc = plan.count("BroadcastExchange")
-        wscg = plan.count("*(")
+        if n == "features":       # the defining plan, not the persisted read
+            df = FE.transform(*_tables(spark, sf), feature_params(spark, sf))
+        elif n == "split":
+            df = SA.stratified_split(feature_table(spark, sf))
+        else:
+            df = QUERIES[n](spark, sf)
+        nodes = walk(df._jdf.queryExecution().executedPlan(), [])
+        names = [x.nodeName() for x in nodes]
+        shuffles = [x for x in nodes if x.nodeName() == "Exchange"]
         print(f"## {n}\n")
-        print(f"- shuffles: {len(ex)}; broadcasts: {bc}; whole-stage-codegen operators: {wscg}")
-        single = [e for e in ex if e == "SinglePartition"]
-        if single:
-            print(f"- single-partition exchanges: {len(single)} (only over bounded inputs: per-bucket or per-class tables)")
-        for e in sorted(set(ex)):
-            print(f"  - `{e[:110]}`")
-        for cols, pushed in re.findall(r"FileScan parquet [^\[]*\[([^\]]*)\].*?PushedFilters: \[([^\]]*)\]", plan):
-            names = [c.split("#")[0] for c in cols.split(",")]
-            print(f"- scan reads {len(names)} columns ({', '.join(names)}); pushed: {pushed or 'none'}")
+        print(f"- shuffles: {len(shuffles)}; broadcast exchanges: {names.count('BroadcastExchange')}; "
+              f"whole-stage-codegen stages: {sum(1 for s in names if s.startswith('WholeStageCodegen'))}; "
+              f"cached reads: {names.count('InMemoryTableScan')}; "
+              f"sort-merge joins: {names.count('SortMergeJoin')}; broadcast joins: {names.count('BroadcastHashJoin')}")
+        for x in shuffles:
+            part = x.outputPartitioning().toString()
+            print(f"  - shuffle `{part[:120]}`")
+        for x in nodes:
+            if x.nodeName().startswith("Scan "):
+                m = x.metadata()
+                schema = opt(m, "ReadSchema")
+                print(f"- {x.nodeName().split(' ')[1]} scan `{opt(m, 'Location').split('/')[-1].rstrip(']')}` "
+                      f"reads `{schema[:140]}`; pushed filters: `{opt(m, 'PushedFilters')}`")
         print()
 
 
