@@ -255,6 +255,21 @@ Q["knn_minority"] = (
     "lambda p: (p[1] - p[2]) * (p[1] - p[2])))), b.id) AS rank "
     "FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 5")
 
+_pct = f"printf('%.1f%%', {LOGIT} * 100)"
+_parts = ("list_filter([CASE WHEN biaya > 10000000 THEN 'very high claim cost (Rp ' || format('{:,.2f}', biaya) || ')' END, "
+          "CASE WHEN lama_rawat > 10 THEN printf('long inpatient stay (%d days)', CAST(lama_rawat AS INTEGER)) END, "
+          "CASE WHEN diagfkrtl_sekunder_counts > 4 THEN printf('many secondary diagnoses (%d)', "
+          "CAST(diagfkrtl_sekunder_counts AS INTEGER)) END, "
+          "CASE WHEN proc_count > 5 THEN printf('many procedures (%d)', CAST(proc_count AS INTEGER)) END], "
+          "lambda x: x IS NOT NULL)")
+Q["explain"] = S.features_with() + (
+    f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, "
+    f"CASE WHEN {LOGIT} >= CAST({T!r} AS DOUBLE) THEN 'Claim flagged as FRAUD with probability ' || {_pct} || '. ' || "
+    f"CASE WHEN len({_parts}) > 0 THEN 'Main risk factors: ' || array_to_string({_parts}, ', ') || '.' "
+    "ELSE 'The model flags it from the interplay of tariff-code and diagnosis patterns.' END "
+    f"ELSE 'Claim classified as NOT FRAUD (safe) with fraud probability ' || {_pct} || "
+    "'. The model rates its risk profile as low.' END AS explanation FROM feat")
+
 # --- overview -----------------------------------------------------------------------------------
 Q["overview_demographics"] = S.features_with() + (
     "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "
