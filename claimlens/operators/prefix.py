@@ -141,3 +141,11 @@ def stack(df: DataFrame, cols: Sequence[str], cast: str | None = None,
         val = F.col(c).cast(cast) if cast else F.col(c)
         items.append(F.struct(F.lit(c).alias(name), val.alias(value)))
     return df.select(F.explode(F.array(*items)).alias("_kv")).select(f"_kv.{name}", f"_kv.{value}")
+
+
+def approx_medians(long: DataFrame, name: str = "name", value: str = "x", accuracy: int = 10_000) -> DataFrame:
+    """Approximate median per ``name`` (one sketch pass, relative rank error 1 / accuracy)."""
+    v = F.col(value).cast("double")
+    return (long.select(F.col(name).alias("name"), v.alias("x"))
+            .where(F.col("x").isNotNull() & ~F.isnan("x"))
+            .groupBy("name").agg(F.percentile_approx("x", 0.5, accuracy).alias("median")))

@@ -22,7 +22,7 @@ from claimlens.functions.diagnosis import clean_diag, code_letter, code_number,
 from claimlens.functions.text import clean_text_columns
 from claimlens.operators.children import diag_prepared, proc_counts
 from claimlens.operators.impute import collect_params, fill, median_table, mode_table
-from claimlens.operators.prefix import exact_medians, modes_from_counts, stack, value_counts
+from claimlens.operators.prefix import approx_medians, exact_medians, modes_from_counts, stack, value_counts
 
 FEATURE_COLUMNS = [
     "id", "id_peserta", "label",
@@ -80,11 +80,12 @@ def joined_diag(main: DataFrame, diag: DataFrame) -> DataFrame:
     return main.join(diag_parts(diag), "id", "left")
 
 
-def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> FeatureParams:
+def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame, median: str = "exact") -> FeatureParams:
     """Fit imputation values and the facility-type vocabulary.
 
     Value counts give the modes and the vocabulary; exact medians come from
-    bucketed running sums over distinct values."""
+    bucketed running sums over distinct values (``median="approx"`` uses one
+    ``percentile_approx`` sketch pass instead)."""
     # the claims are re-read per job (a pruned columnar scan is cheaper than a
     # cached copy of every claim); the joined diagnosis parts are kept, since
     # rebuilding them means re-shuffling the diagnosis table
@@ -98,7 +99,8 @@ def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> FeatureParams:
     vocab = sorted(r[0] for r in vc.where(F.col("name") == K.OPEN_CAT_COLUMNS[0]).select("v").collect())
     long_med = stack(main, K.MEDIAN_COLUMNS, cast="double", value="x").unionByName(
         stack(j, ["diagfkrtl_num", "diagfkrtl_sekunder_counts"], cast="double", value="x"))
-    med = collect_params(exact_medians(long_med), "median")
+    med_fn = exact_medians if median == "exact" else approx_medians
+    med = collect_params(med_fn(long_med), "median")
     for df in (vc, j):
         df.unpersist()
     return FeatureParams(

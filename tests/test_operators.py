@@ -122,3 +122,10 @@ def test_headline_defaults(spark):
     assert h.training_date == "2026-02-01 00:00:00"
     assert (h.precision, h.recall, h.f1_score) == (0.9, 0.4, 0.55)
     assert h.classification_threshold == 0.7868109 and h.num_features == 342 and h.sample_fraction == 0.05
+
+
+def test_approx_medians_close(spark):
+    from claimlens.operators.prefix import approx_medians
+    df = spark.range(0, 10001).select(F.lit("a").alias("name"), F.col("id").cast("double").alias("x"))
+    m = approx_medians(df).first().median
+    assert abs(m - 5000) <= 2
