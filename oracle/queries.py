@@ -184,13 +184,13 @@ def _onehot(vocab):
     parts = []
     for col, cats in vocab.items():
         lst = ", ".join(f"'{c}'" for c in cats)
-        parts.append(f"SELECT id, '{col}_' || {col} AS feature, 1.0 AS value FROM feat WHERE {col} IN ({lst})")
+        parts.append(f"SELECT id, '{col}_' || {col} AS feature, CAST(1.0 AS DOUBLE) AS value FROM feat WHERE {col} IN ({lst})")
     return " UNION ALL ".join(parts)
 
 
 Q["onehot"] = S.features_with() + _onehot(K.KNOWN_CAT_VOCAB)
 Q["onehot_open"] = S.features_with() + (
-    "SELECT f.id, 'typefaskes_' || f.typefaskes AS feature, 1.0 AS value FROM feat f "
+    "SELECT f.id, 'typefaskes_' || f.typefaskes AS feature, CAST(1.0 AS DOUBLE) AS value FROM feat f "
     "WHERE f.typefaskes IN (SELECT DISTINCT typefaskes FROM main)")
 Q["ordinal"] = S.features_with() + "SELECT id, " + ", ".join(
     f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(coalesce(list_position([{', '.join(repr(v) for v in K.ORDINAL_VOCAB[c])}], {c}) - 1, -1) AS INTEGER) END AS {c}"
