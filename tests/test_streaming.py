@@ -19,3 +19,19 @@ def test_stream_equals_batch(spark):
     assert (got["is_fraud"].values == want["is_fraud"].values).all()
     assert abs(got["fraud_probability"] - want["fraud_probability"]).max() < 1e-12
     assert got["confidence_score"].between(0.5, 1.0).all()
+
+
+def test_stream_drops_resent_claims(spark, tmp_path):
+    import shutil
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for t in ["customer", "lineitem"]:
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", src / f"{t}.parquet")
+    shutil.copy(f"{SF_SMALL}/orders.parquet", src / "orders.parquet")
+    shutil.copy(f"{SF_SMALL}/orders.parquet", src / "orders_resent.parquet")  # every claim sent twice
+    params = feature_params(spark, SF_SMALL)
+    stream = ST.scored_stream(spark, str(src), params, dedupe_watermark="3650 days")
+    out = ST.run_to_table(spark, stream).toPandas()
+    n = FX.claims(spark, SF_SMALL).count()
+    assert len(out) == n and out["id"].is_unique
