@@ -75,6 +75,18 @@ def test_split_disjoint_complete(spark):
         assert (g.split == "test").sum() == t and (g.split == "val").sum() == v
 
 
+@pytest.mark.parametrize("tn,fp,fn,tp,prec,rec,f1,spec", [
+    (44846, 153, 358, 251, 0.6213, 0.4122, 0.4956, 0.9966),   # validation, threshold 0.5
+    (44978, 21, 381, 228, 0.9157, 0.3744, 0.5315, 0.9995),    # validation, tuned threshold
+    (44967, 32, 351, 258, 0.8897, 0.4236, 0.5740, 0.9993),    # test, tuned threshold
+])
+def test_published_metric_blocks(spark, tn, fp, fn, tp, prec, rec, f1, spec):
+    rows = [(0, 0.1)] * tn + [(0, 0.9)] * fp + [(1, 0.1)] * fn + [(1, 0.9)] * tp
+    m = ME.metrics(spark.createDataFrame(rows, "label int, score double"), (0.7868109,)).first()
+    assert (m.tn, m.fp, m.fn, m.tp) == (tn, fp, fn, tp)
+    assert [round(x, 4) for x in (m.precision, m.recall, m.f1_score, m.specificity)] == [prec, rec, f1, spec]
+
+
 def test_metrics_identities(spark):
     # counts of the published test block: tn 44967, fp 32, fn 351, tp 258
     rows = [(0, 0.1)] * 44967 + [(0, 0.9)] * 32 + [(1, 0.1)] * 351 + [(1, 0.9)] * 258
