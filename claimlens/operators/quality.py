@@ -51,3 +51,27 @@ def label_share(df: DataFrame, label: str = "label") -> DataFrame:
     total = F.sum("n").over(Window.partitionBy())
     return counts.select(F.col(label).alias("label"), F.col("n").alias("count"),
                          (F.col("n") / total).alias("share"))
+
+
+def quality_report(df: DataFrame, name: str) -> DataFrame:
+    """One row: rows, columns, duplicate rows, missing values per column (only
+    those with any) and column types, from a single grouped pass: the distinct
+    rows carry their multiplicity, so every count is a sum over them."""
+    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+
+    def miss(c):
+        cond = F.col(f"`{c}`").isNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            cond = cond | F.isnan(F.col(f"`{c}`"))
+        return F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).cast("bigint")
+
+    out = g.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("num_rows"),
+                F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_records"),
+                F.array(*[miss(c) for c in df.columns]).alias("_miss"))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    types = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
+    return out.select(
+        F.lit(name).alias("table_name"), "num_rows", F.lit(len(df.columns)).cast("int").alias("num_cols"),
+        "duplicate_records",
+        F.map_filter(F.map_from_arrays(names, F.col("_miss")), lambda k, v: v > 0).alias("missing_values"),
+        types.alias("dtypes"))

@@ -75,3 +75,12 @@ def undersample(df: DataFrame, label: str = "label", ratio: float = K.UNDERSAMPL
 
 def ceil_int(x: float) -> int:
     return int(math.ceil(x))
+
+
+def sampled_tables(claims: DataFrame, diag: DataFrame, proc: DataFrame,
+                   frac: float = K.SAMPLE_FRACTION, seed: int = K.SEED, key: str = "id"):
+    """Exact-size claim sample with only its child rows (semi joins); all rows when frac >= 1."""
+    if frac >= 1.0:
+        return claims, diag, proc
+    s = sample_exact(claims, frac, seed, key)
+    return s, sample_children(diag, s, key), sample_children(proc, s, key)

@@ -141,3 +141,19 @@ def test_approx_medians_close(spark):
     df = spark.range(0, 10001).select(F.lit("a").alias("name"), F.col("id").cast("double").alias("x"))
     m = approx_medians(df).first().median
     assert abs(m - 5000) <= 2
+
+
+def test_sampled_tables_and_quality_report(spark):
+    from claimlens.operators.quality import quality_report
+    from claimlens.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    c, d, p = FX.fixture_tables(spark, SF_SMALL)
+    s, sd, sp = SA.sampled_tables(c, d, p, 0.1, 42)
+    ids = {r.id for r in s.select("id").collect()}
+    assert len(ids) == SA.sample_size(0.1, c.count())
+    assert {r.id for r in sd.select("id").distinct().collect()} <= ids
+    assert {r.id for r in sp.select("id").distinct().collect()} <= ids
+    r = quality_report(c, "claims").first()
+    assert r.num_rows == c.count() and r.num_cols == len(c.columns)
+    assert r.missing_values["jenispulang"] > 0 and "id" not in r.missing_values
+    assert r.dtypes["biaya"] == "double"
