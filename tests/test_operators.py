@@ -157,3 +157,16 @@ def test_sampled_tables_and_quality_report(spark):
     assert r.num_rows == c.count() and r.num_cols == len(c.columns)
     assert r.missing_values["jenispulang"] > 0 and "id" not in r.missing_values
     assert r.dtypes["biaya"] == "double"
+
+
+def test_roc_auc_matches_mllib(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rng = np.random.default_rng(11)
+    labels = (rng.random(3000) < 0.1).astype(int)
+    scores = np.round(rng.random(3000) * 0.5 + labels * 0.2, 3)   # rounded: many ties
+    df = spark.createDataFrame([(int(l), float(s)) for l, s in zip(labels, scores)], "label int, score double")
+    ours = ME.roc_auc(ME.curve_points(df)).first().roc_auc
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
+    theirs = ev.evaluate(df.withColumn("label", F.col("label").cast("double")))
+    assert ours == pytest.approx(theirs, abs=1e-12)
