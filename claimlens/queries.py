@@ -54,6 +54,7 @@ ROUND6: dict[str, list[str]] = {
     "report_sink": ["fraud_probability", "confidence_score"],
     "scan_csv": ["biaya"],
     "knn_minority": ["dist"],
+    "oversample_embeddings": ["x_first", "x_last"],
     "overview_demographics": ["avg_cost", "avg_stay"],
     "overview_cost": ["total_cost", "min_cost", "max_cost", "avg_cost", "median_cost"],
     "overview_imbalance": ["fraud_rate"],
@@ -609,3 +610,16 @@ def q_oversample(spark, sf):
     tr = enc.where(F.col("split") == "train").select("id", "label", vector_to_array("features").alias("vec"))
     out = NB.oversample(tr)
     return out.select("id", "label", "is_synthetic", F.size("vec").alias("width"))
+
+
+@query("oversample_embeddings")
+def q_oversample_embeddings(spark, sf):
+    """Synthetic minority rows over ``embeddings`` (label 0 is the minority class)."""
+    tune_session(spark)
+    e = read_table(spark, sf, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"),
+                    F.when(F.col("label") == KNN_MINORITY_LABEL, 1).otherwise(0).alias("label"),
+                    F.col("embedding").cast("array<double>").alias("vec"))
+    out = NB.oversample(rows)
+    return out.select("id", "label", "is_synthetic", F.element_at("vec", 1).alias("x_first"),
+                      F.element_at("vec", -1).alias("x_last"), F.size("vec").alias("dim"))

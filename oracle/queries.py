@@ -270,6 +270,32 @@ Q["explain"] = S.features_with() + (
     f"ELSE 'Claim classified as NOT FRAUD (safe) with fraud probability ' || {_pct} || "
     "'. The model rates its risk profile as low.' END AS explanation FROM feat")
 
+def _u(salt):
+    return (f"(CAST(CAST(('0x' || substr(md5('42:' || CAST(j AS VARCHAR) || ':{salt}'), 1, 13)) AS BIGINT) AS DOUBLE)"
+            f" / CAST({1 << 52} AS DOUBLE))")
+
+
+_DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+Q["oversample_embeddings"] = (
+    "WITH e AS (SELECT vec_id AS id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, "
+    "CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+    "cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label = 0) AS n_maj FROM e), "
+    f"kk AS (SELECT n_min, least({K.OVERSAMPLE_K}, n_min - 1) AS k, "
+    f"CAST(trunc(n_maj * CAST({K.OVERSAMPLE_RATIO!r} AS DOUBLE) - n_min) AS BIGINT) AS n_new FROM cnt), "
+    "mino AS (SELECT id, v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42')) AS brank "
+    "FROM e WHERE label = 1), "
+    f"nn AS (SELECT a.id, b.id AS nb_id, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS rank "
+    "FROM mino a JOIN mino b ON a.id <> b.id), "
+    "js AS (SELECT unnest(range(n_new)) AS j, n_min, k FROM kk), "
+    f"picks AS (SELECT j, CAST(floor({_u(1)} * n_min) AS BIGINT) + 1 AS brank, "
+    f"CAST(floor({_u(2)} * k) AS BIGINT) + 1 AS rank, {_u(3)} AS step FROM js), "
+    "syn AS (SELECT -(p.j + 1) AS id, 1 AS label, "
+    "list_transform(list_zip(b.v, n.v), lambda x: x[1] + p.step * (x[2] - x[1])) AS v "
+    "FROM picks p JOIN mino b ON p.brank = b.brank JOIN nn ON nn.id = b.id AND nn.rank = p.rank "
+    "JOIN mino n ON n.id = nn.nb_id) "
+    "SELECT id, label, false AS is_synthetic, v[1] AS x_first, v[len(v)] AS x_last, CAST(len(v) AS INTEGER) AS dim FROM e "
+    "UNION ALL SELECT id, label, true, v[1], v[len(v)], CAST(len(v) AS INTEGER) FROM syn")
+
 # --- overview -----------------------------------------------------------------------------------
 Q["overview_demographics"] = S.features_with() + (
     "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "
