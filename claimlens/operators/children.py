@@ -44,14 +44,17 @@ def secondary_counts(diag_dedup: DataFrame) -> DataFrame:
 def diag_prepared(diag: DataFrame) -> DataFrame:
     """Primary diagnosis per claim with its secondary count (0 when none).
 
-    Claims with secondary rows but no primary do not appear (left join from
-    the primaries)."""
+    One de-duplication and one per-claim aggregate: the latest level-1 code
+    (``max_by`` ignores rows whose order key is null, i.e. other levels) and
+    the number of level-2 rows. Claims with secondary rows but no primary do
+    not appear, as with a left join from the primaries."""
     d = dedupe_rows(normalise_diag_columns(diag))
-    prim = primary_diagnosis(d)
-    sec = secondary_counts(d)
-    return (prim.join(sec, "id", "left")
-            .withColumn("diagfkrtl_sekunder_counts",
-                        F.coalesce(F.col("diagfkrtl_sekunder_counts"), F.lit(0)).cast("bigint")))
+    lvl = F.col("levelid")
+    per_claim = d.groupBy("id").agg(
+        F.count_if(lvl == 1).alias("_n_primary"),
+        F.max_by("diag", F.when(lvl == 1, F.col(ORD))).alias("diag"),
+        F.count_if(lvl == 2).cast("bigint").alias("diagfkrtl_sekunder_counts"))
+    return per_claim.where(F.col("_n_primary") > 0).drop("_n_primary")
 
 
 def proc_counts(proc: DataFrame) -> DataFrame:
