@@ -1,7 +1,7 @@
 """Oracle SQL per registered query (DuckDB; driver tables pre-registered as views)."""
 
 from claimlens import constants as K
-from oracle import sqlparts as S
+from sqlcheck import sqlparts as S
 
 Q: dict[str, str] = {}
 W = S.with_fixtures
