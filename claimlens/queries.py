@@ -101,12 +101,25 @@ def _key(spark: SparkSession, sf: str, what: str) -> tuple:
     return (spark.sparkContext.applicationId, sf, what)
 
 
+def child_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Per-claim diagnosis parts and procedure counts (the child-table shuffles),
+    built once per session and shared by the feature table and batch scoring."""
+    k = _key(spark, sf, "children")
+    if k not in _MATERIALISED:
+        _, d, p = _tables(spark, sf)
+        _MATERIALISED[k] = (FE.diag_parts(d).persist(StorageLevel.MEMORY_AND_DISK),
+                            FE.proc_table(p).persist(StorageLevel.MEMORY_AND_DISK))
+    return _MATERIALISED[k]
+
+
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """The feature table, computed once per session and input folder and then
     reused by every downstream query (persisted, recomputable from lineage)."""
     k = _key(spark, sf, "features")
     if k not in _MATERIALISED:
-        _MATERIALISED[k] = FE.transform(*_tables(spark, sf), feature_params(spark, sf)) \
+        c = _tables(spark, sf)[0]
+        dparts, pcounts = child_tables(spark, sf)
+        _MATERIALISED[k] = FE.transform_with_children(c, dparts, pcounts, feature_params(spark, sf)) \
             .persist(StorageLevel.MEMORY_AND_DISK)
     return _MATERIALISED[k]
 
@@ -120,8 +133,9 @@ def split_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def release(spark: SparkSession | None = None) -> None:
     """Drop memoised fitted values and persisted tables."""
-    for df in _MATERIALISED.values():
-        df.unpersist()
+    for v in _MATERIALISED.values():
+        for df in (v if isinstance(v, tuple) else (v,)):
+            df.unpersist()
     _MATERIALISED.clear()
     _PARAMS.clear()
     _TRAINED.clear()
@@ -389,8 +403,11 @@ def q_ordinal(spark, sf):
 # --- scoring ----------------------------------------------------------------------------
 @query("score_batch")
 def q_score_batch(spark, sf):
-    c, d, p = _tables(spark, sf)
-    return SC.score_batch(c, d, p, feature_params(spark, sf))
+    from claimlens.functions.text import null_token_columns
+    c = _tables(spark, sf)[0]
+    dparts, pcounts = child_tables(spark, sf)
+    feats = FE.transform_with_children(null_token_columns(c), dparts, pcounts, feature_params(spark, sf))
+    return SC.score(feats)
 
 
 @query("reasons")
