@@ -170,3 +170,22 @@ def test_roc_auc_matches_mllib(spark):
                                        numBins=0)
     theirs = ev.evaluate(df.withColumn("label", F.col("label").cast("double")))
     assert ours == pytest.approx(theirs, abs=1e-12)
+
+
+def test_tune_threshold_brute_force(spark):
+    rng = np.random.default_rng(21)
+    labels = (rng.random(800) < 0.3).astype(int)
+    scores = np.round(rng.random(800) * 0.6 + labels * 0.3, 2)
+    df = spark.createDataFrame([(int(l), float(s)) for l, s in zip(labels, scores)], "label int, score double")
+    pts = ME.curve_points(df).withColumn("target_precision", F.explode(F.array(F.lit(0.5), F.lit(0.8))))
+    got = {r.target_precision: (r.threshold, r.recall) for r in ME.tune_threshold_for_targets(pts).collect()}
+    P = labels.sum()
+    for target in (0.5, 0.8):
+        best = None
+        for t in sorted(set(scores)):
+            pred = scores >= t
+            tp, fp = int((pred & (labels == 1)).sum()), int((pred & (labels == 0)).sum())
+            if tp + fp and tp / (tp + fp) >= target:
+                cand = (tp / P, t)
+                best = cand if best is None or cand > best else best
+        assert got[target][0] == pytest.approx(best[1]) and got[target][1] == pytest.approx(best[0])
