@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from claimlens.session import ensure_checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = {ord(c): c.lower() for c in UPPER}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,29 +34,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, broadcast_if_small, stored
+from .common import broadcast_if_small, stored
 
 BANDS, ROWS = 32, 4
 WORDS, PERCENT = 5, 75
 SIGMAS = 5.0
 BLOCK = 256
 SEED = 20240607
-WHITE = "\t\n\x0b\x0c\r"
-_SPACES = {ord(c): " " for c in WHITE}
 
 
-def hash_words(words: list[str], known: dict[str, int]) -> np.ndarray:
+def hash_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words (md5); ``known`` keeps those of words seen before."""
     if len(known) > 500_000:
         known.clear()
     for w in set(words).difference(known):
-        known[w] = int.from_bytes(md5(w.encode("utf-8", "surrogatepass")).digest()[:8], "little")
+        known[w] = int.from_bytes(md5(w).digest()[:8], "little")
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: str | None, known: dict[str, int], words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a text."""
-    found = [w for w in (text or "").translate(ASCII_LOWER | _SPACES).split(" ") if w]
+def shingles(text: str | None, known: dict[bytes, int], words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of a text (bytes: lower() and split() know ASCII only)."""
+    found = (text or "").encode().lower().split()
     if not found:
         return np.empty(0, np.uint64)
     h = hash_words(found, known)
@@ -103,7 +101,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                            T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         a, b = universal(bands, rows)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -179,7 +177,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("w_id")), "left_semi").select("text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 sets = [shingles(t.as_py(), known, words).tobytes() for t in batch.column(0).slice(lo, 256)]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, url_filter
+from . import decontaminate, minhash, packing, pii, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -23,7 +24,26 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def listed(condition: str):
+        return F.expr(f"array_join(transform(filter(spans, s -> {condition}), s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+    def count(kind: str):
+        return F.expr(f"size(filter(spans, s -> s.base and s.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
+
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("s.base").cast("binary"), 256).alias("base_sha256"),
+                        listed("true").alias("spans"))
+
+
 QUERIES = {
+    "op8_pack": op8_pack,
+    "op10_pii": op10_pii,
     "op1_minhash_dedup": op1_minhash_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
