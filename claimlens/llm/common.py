@@ -51,3 +51,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if scheme in ("", "file"):
         return pafs.LocalFileSystem(), urlparse(uri).path
     return pafs.FileSystem.from_uri(uri)
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of whole texts stay small: at most ``rows`` rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

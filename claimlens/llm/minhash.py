@@ -34,18 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, small_batches, stored
 
 BANDS, ROWS = 32, 4
 WORDS, PERCENT = 5, 75
 SIGMAS = 5.0
 BLOCK = 256
 SEED = 20240607
+KNOWN_WORDS = 200_000
 
 
 def hash_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words (md5); ``known`` keeps those of words seen before."""
-    if len(known) > 500_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     for w in set(words).difference(known):
         known[w] = int.from_bytes(md5(w).digest()[:8], "little")
@@ -104,8 +105,8 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
         known: dict[bytes, int] = {}
         a, b = universal(bands, rows)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 sets = [shingles(t.as_py(), known, words) for t in part.column(1)]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sigs = minima([sets[i] for i in full], a, b) if full else None
@@ -179,8 +180,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sets = [shingles(t.as_py(), known, words).tobytes() for t in batch.column(0).slice(lo, 256)]
+            for lo in range(0, batch.num_rows, 64):
+                sets = [shingles(t.as_py(), known, words).tobytes() for t in batch.column(0).slice(lo, 64)]
                 yield pa.RecordBatch.from_arrays([pa.array([md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())],
                                                  names=["digest", "items"])
 
@@ -262,6 +263,7 @@ def mixed_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, percen
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sigs = stored(signatures(docs, words, bands, rows), "signatures")
     classes = distinct_sets(sigs)
