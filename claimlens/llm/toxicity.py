@@ -4,11 +4,12 @@ Words are read as symbols (insult, threat, target, negation, report, word, end o
 composed into one machine: *report* softens what stands inside reported speech until the clause ends, *negation* softens what
 stands within three words after a negation, *aim* strengthens what stands near a target and completes a threat only with
 one. The machine reads each clause and adds up the weights of what it matched, times the matched words' own weights.
-A document's figures (sum, best clause, matches for each 100 words) go through a fitted logistic curve.
+A document's figures (sum, best clause, matches for each 100 words) go through a logistic curve, fitted with the rarer label weighing more (by the root of its rarity).
 
 The insult words are a few seeds and stems learned from training labels: words and word beginnings of 3 to 8
-letters that at least ``LEAST_SHARE`` of the sampled toxic texts hold and whose holders are at least ``PURE`` toxic, counted
-over texts that differ by their smallest shingle hash, so copies do not vote twice. The sample has at most ``SAMPLE`` rows of each label value.
+letters that at least ``LEAST_SHARE`` of the sampled toxic texts hold, that stand in toxic ones by a share of at least ``PURE`` of both rates, and too
+many for chance (the odds of a word without meaning stay under exp(-``SURE``)), counted over texts that differ by their
+smallest shingle hash, so copies do not vote twice. The sample has at most ``SAMPLE`` rows of each label value.
 
 Documents are scored where they lie: one scan, no shuffle. Defined results: a null or empty text matches nothing and
 gets the curve's lowest value. Without usable labels of both values the curve is a fixed one. Repeated rows and null ids are scored like any
@@ -34,7 +35,7 @@ from .learning import held_out, labelled_texts, logistic
 
 SAMPLE = 4_000
 SHORTEST, LONGEST = 3, 8
-LEAST, LEAST_SHARE, PURE = 4, 0.004, 0.9
+LEAST, LEAST_SHARE, PURE, SURE = 4, 0.004, 0.98, 14.0
 THRESHOLD = 0.5
 FIXED_CURVE = np.array([2.0, 1.0, 0.5, -3.0])
 
@@ -176,14 +177,20 @@ def learned(sample: DataFrame) -> Lexicon:
     least = max(LEAST, int(LEAST_SHARE * n1))
     marked = rows.where("label = 1").select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n1")).where(F.col("n1") >= least)
     clean = rows.where("label = 0").select(F.explode("features").alias("f")).join(marked.select("f"), "f", "left_semi").groupBy("f").agg(F.count("*").alias("n0"))
-    share = F.col("n1") / n1 / (F.col("n1") / n1 + F.coalesce("n0", F.lit(0)) / n0)
-    found = marked.join(clean, "f", "left").withColumn("share", share).where(F.col("share") >= PURE).select("f", "n1", "share").collect()
-    words, stems = dict(SEEDS), {}
-    for f, n, pure in sorted(((r["f"], r["n1"], r["share"]) for r in found), key=lambda r: (len(r[0]), r[0])):
+    share = F.col("n1") / n1 / (F.col("n1") / n1 + (F.coalesce("n0", F.lit(0)) + 0.5) / n0)
+    held = F.col("n1") + F.coalesce("n0", F.lit(0))
+    toxic, rest = F.col("n1") / held, 1 - F.col("n1") / held  # Chernoff's bound of a binomial count as large as n1 of those held
+    bound = held * (toxic * F.log(toxic * (n1 + n0) / n1) + F.when(rest > 0, rest * F.log(rest * (n1 + n0) / n0)).otherwise(0))
+    found = marked.join(clean, "f", "left").withColumn("share", share)
+    found = found.where((F.col("share") >= PURE) & (bound >= SURE)).select("f", "n1", "share").collect()
+    words, stems, held_by = dict(SEEDS), {}, {}
+    for f, n, pure in sorted(((r["f"], r["n1"], r["share"]) for r in found), key=lambda r: (-r[2], -r[1], len(r[0]), r[0])):
         if f[0] == "=":
             words[f[1:]] = max(words.get(f[1:], 0.0), float(pure))
-        elif not any(f[:k] in stems for k in range(SHORTEST, len(f))):
-            stems[f] = float(pure)
+        elif held_by.get(f, 0) < 0.8 * n and not any(f[:k] in stems for k in range(SHORTEST, len(f))):
+            stems[f] = float(pure)  # a beginning gives way to a purer one that is longer and nearly as common
+            for k in range(SHORTEST, len(f)):
+                held_by[f[:k]] = max(held_by.get(f[:k], 0), n)
     return Lexicon(words, stems)
 
 
@@ -217,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         return Model(lexicon, FIXED_CURVE)
     x = np.array(rows["x"].tolist())
     order = np.lexsort([*x.T, y])
-    return Model(lexicon, logistic(x[order], y[order], np.ones(len(y))))
+    x, y = x[order], y[order]
+    return Model(lexicon, logistic(x, y, np.where(y == 1, y.mean(), 1 - y.mean()) ** -0.5))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
