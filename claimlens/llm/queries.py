@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, pii, quality, toxicity, url_filter, warc
+from . import decontaminate, minhash, neighbours, packing, pii, quality, toxicity, url_filter, warc
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -42,6 +42,10 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(condition: str):
         return F.expr(f"array_join(transform(filter(spans, s -> {condition}), s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
@@ -55,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_neighbours": op9_neighbours,
     "op4_warc": op4_warc,
     "op7_toxicity": op7_toxicity,
     "op3_quality": op3_quality,
