@@ -12,7 +12,8 @@ runs of anything but white space, A-Z lower-cased. Two documents are linked when
 4. Large-star and small-star steps alternate until nothing changes; they only join and aggregate.
 5. Stars can miss a link between two members that are both unlike the hub. So each bucket that still holds
    several components is searched in full: its members are dealt into blocks, each pair of blocks is a group of bounded
-   size, and members of different components whose signatures and sizes pass are confirmed on full sets as well.
+   size, and members of different components whose signatures and sizes pass are confirmed there on their full sets. Only
+   links that join components leave the task, so what is written never grows with the square of a bucket.
 
 Verification by signature drops a pair only when its matching minima lie more than ``SIGMAS`` standard deviations below
 the threshold; the exact test on full sets always decides.
@@ -168,16 +169,13 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.where(passes("sig_a", "sig_b")).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs a, b with 100 * |A and B| >= percent * |A or B| on their full sets."""
-    pairs = stored(pairs, "candidates")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-                    .join(classes, "cid").select("cid", F.col("first_id").alias("w_id"), F.col("digest").alias("w_digest")), "wanted")
-    n = wanted.count()
-    ids = broadcast_if_small(wanted.select("w_id").distinct(), n, 64)
+def sets_of(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """cid, items (sorted 64-bit shingle hashes) of the given classes, from the texts of their smallest ids."""
+    wanted = classes.select("cid", F.col("first_id").alias("w_id"), F.col("digest").alias("w_digest"))
+    ids = broadcast_if_small(wanted.select("w_id").distinct(), wanted.count(), 64)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("w_id")), "left_semi").select("text")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -185,8 +183,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([pa.array([md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())],
                                                  names=["digest", "items"])
 
-    sets = texts.mapInArrow(sets_of, "digest binary, items binary").join(wanted, F.col("digest") == F.col("w_digest"))
-    sets = stored(sets.groupBy("cid").agg(F.first("items").alias("items")), "sets")
+    sets = texts.mapInArrow(run, "digest binary, items binary").join(wanted, F.col("digest") == F.col("w_digest"))
+    return stored(sets.groupBy("cid").agg(F.first("items").alias("items")), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b with 100 * |A and B| >= percent * |A or B| on their full sets."""
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -220,45 +222,65 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
 
 
-def mixed_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b of different components that share a bucket and whose signatures and sizes pass; see step 5 above."""
+def group_links(group: list[tuple], apart: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join components of a group of (cid, comp, blk, n_shingles, sig, items), confirmed on full sets.
+
+    ``apart``: only members of different blocks are compared. Members that links have joined already are not compared again.
+    """
+    cid, label, blk, n = (np.array([g[k] for g in group]) for k in range(4))
+    sig = np.frombuffer(b"".join(g[4] for g in group), np.uint32).reshape(len(group), -1)
+    flags, number, starts = None, None, None
+    out = []
+    for x in range(len(group) - 1):
+        y = np.arange(x + 1, len(group))
+        y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent) & (blk[y] != blk[x] if apart else True)]
+        y = y[_close(sig[y], sig[x], percent / 100)] if len(y) else y
+        if not len(y):
+            continue
+        if flags is None:
+            found, number = np.unique(np.frombuffer(b"".join(g[5] for g in group), np.uint64), return_inverse=True)
+            flags, starts = np.zeros(len(found), bool), np.concatenate([[0], np.cumsum(n)])
+        flags[number[starts[x]:starts[x + 1]]] = True
+        for k in y:
+            if label[k] != label[x]:
+                both = int(flags[number[starts[k]:starts[k + 1]]].sum())
+                if 100 * both >= percent * (n[x] + n[k] - both):
+                    out.append((int(cid[x]), int(cid[k])))
+                    label[label == label[k]] = label[x]
+        flags[number[starts[x]:starts[x + 1]]] = False
+    return out
+
+
+def mixed_links(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components that share a bucket; see step 5 above."""
     labelled = members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_members = labelled.join(mixed, "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = open_members.withColumn("blk", F.pmod(F.xxhash64("cid", "key"), blocks).cast("int"))
+    dealt = labelled.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("cid", "key"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("cid", "comp", "key", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    rows = dealt.join(classes.select("cid", "n_shingles", "sig"), "cid")
+    rows = dealt.join(classes.select("cid", "n_shingles", "sig"), "cid").join(sets, "cid")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def group_pairs(group: list[tuple]) -> np.ndarray:
-        cid, comp, blk, n = (np.array([g[k] for g in group]) for k in range(4))
-        sig = np.frombuffer(b"".join(g[4] for g in group), np.uint32).reshape(len(group), -1)
-        out = [np.empty((0, 2), np.int64)]
-        for x in range(len(group) - 1):
-            y = np.arange(x + 1, len(group))
-            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-            y = y[_close(sig[y], sig[x], percent / 100)] if len(y) else y
-            if len(y):
-                out.append(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])], axis=1))
-        return np.concatenate(out)
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = [], None
-        done = lambda g: (lambda p: pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"]))(group_pairs(g))
+        group, at = [], (0, 0, 0)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            links = group_links(group, at[1] != at[2], percent) if len(group) > 1 else []
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "cid", "comp", "blk", "n_shingles", "sig")]
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "cid", "comp", "blk", "n_shingles", "sig", "items")]
             for key, i, j, *row in zip(*cols, strict=True):
                 if (key, i, j) != at:
-                    if len(group) > 1:
-                        yield done(group)
+                    yield from done()
                     group, at = [], (key, i, j)
                 group.append(tuple(row))
-        if len(group) > 1:
-            yield done(group)
+        yield from done()
 
-    return rows.mapInArrow(search, "a long, b long").distinct()
+    return stored(rows.mapInArrow(search, "a long, b long").distinct(), "more-links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -269,9 +291,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = distinct_sets(sigs)
     members = shared_buckets(classes, bands, rows)
     shared = stored(classes.join(members.select("cid").distinct(), "cid", "left_semi"), "shared-classes")
-    links = confirmed(alike(star_pairs(members), shared, percent), shared, docs, words, percent)
-    comps = components(links)
-    more = confirmed(mixed_pairs(members, comps, shared, percent), shared, docs, words, percent)
+    sets = sets_of(shared, docs, words)
+    links = confirmed(alike(star_pairs(members), shared, percent), sets, percent)
+    more = mixed_links(members, components(links), shared, sets, percent)
     comps = components(links.unionByName(more))
     grouped = classes.select("cid", "digest", "first_id").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     firsts = grouped.groupBy("comp").agg(F.min("first_id").alias("component_id"))

@@ -69,7 +69,10 @@ class RunTokens:
         return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        return self.of_bytes([(t or "").encode() for t in texts])
+
+    def of_bytes(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
         local: dict[bytes, bytes] = {}
         fresh: dict[str, bytes] = {}
         for run in {r for s in split for r in s}:
