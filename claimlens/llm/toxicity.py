@@ -4,7 +4,7 @@ Words are read as symbols (insult, threat, target, negation, report, word, end o
 composed into one machine: *report* softens what stands inside reported speech until the clause ends, *negation* softens what
 stands within three words after a negation, *aim* strengthens what stands near a target and completes a threat only with
 one. The machine reads each clause and adds up the weights of what it matched, times the matched words' own weights.
-A document's figures (sum, best clause, matches for each 100 words) go through a logistic curve, fitted with the rarer label weighing more (by the root of its rarity).
+A document's figures (sum, best clause, sum for each 100 words) go through a logistic curve, fitted with the rarer label weighing more (by the root of its rarity).
 
 The insult words are a few seeds and stems learned from training labels: words and word beginnings of 3 to 8
 letters that at least ``LEAST_SHARE`` of the sampled toxic texts hold, that stand in toxic ones by a share of at least ``PURE`` of both rates, and too
@@ -122,13 +122,13 @@ SEED_LEXICON = Lexicon(SEEDS, {})
 
 
 def figures(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
-    """log(1 + sum of the clauses' weights), the best clause, matched words for each 100 words."""
+    """log(1 + sum of the clauses' weights), the best clause, the sum for each 100 words (of 20 at least)."""
     low = (text or "").lower()
     words = WORDS.findall(low)
     weights = {w: x for w in set(words) if (x := lexicon.weight(w)) > 0}
     if not weights and THREATS.isdisjoint(words):
         return 0.0, 0.0, 0.0
-    total, best, hits = 0.0, 0.0, 0
+    total, best = 0.0, 0.0
     state = 0
     for clause in CLAUSES.split(low):
         found = 0.0
@@ -139,11 +139,10 @@ def figures(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
             state, read, factor = GRAMMAR[state][symbol]
             if read == INSULT or read == THREAT:
                 found += factor * (own or 1.0)
-                hits += factor > 0
         state = GRAMMAR[state][END][0]
         total += found
         best = max(best, found)
-    return float(np.log1p(total)), best, 100.0 * hits / len(words)
+    return float(np.log1p(total)), best, 100.0 * total / max(20, len(words))
 
 
 def _hash(words: list[str]) -> int:
