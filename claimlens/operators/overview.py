@@ -29,10 +29,11 @@ def cost_by_age(features: DataFrame) -> DataFrame:
                 F.min("biaya").alias("min_cost"),
                 F.max("biaya").alias("max_cost"),
                 F.avg("biaya").alias("avg_cost")))
-    med = exact_medians(banded.select(F.col("age_band").cast("string").alias("name"), F.col("biaya").alias("x")),
-                        persist=False)
-    med = med.select(F.col("name").cast("int").alias("age_band"), F.col("median").alias("median_cost"))
-    return agg.join(med, "age_band", "left")
+    # claims of unknown age form a band of their own; its name stands in for the null
+    named = F.coalesce(F.col("age_band").cast("string"), F.lit("unknown"))
+    med = exact_medians(banded.select(named.alias("name"), F.col("biaya").alias("x")), persist=False)
+    med = med.select(F.col("name").alias("_band"), F.col("median").alias("median_cost"))
+    return agg.join(med, named == F.col("_band"), "left").drop("_band")
 
 
 def imbalance(features: DataFrame) -> DataFrame:

@@ -12,11 +12,14 @@ safe to broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_, or_
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bkt"
 HASH_PREFIX_HEX = 4  # 16**4 = 65,536 uniform buckets for md5-ordered keys (window parallelism)
@@ -77,16 +80,60 @@ def running_sums(df: DataFrame, order: Sequence[Column | str], measures: Sequenc
     wo = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_tot_{m}").over(wo), F.lit(0)).alias(f"_off_{m}")
                                      for m in measures])
-    out = local.join(F.broadcast(offsets), keys, "inner")
+    # null-safe keys: a null group is a group like any other
+    off = offsets.withColumnsRenamed({k: f"_off_key_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_off_key_{k}")) for k in keys])
+    out = local.join(off, same, "inner").drop(*[f"_off_key_{k}" for k in keys])
     out = out.withColumns({f"{prefix}{m}": F.col(f"_loc_{m}") + F.col(f"_off_{m}") for m in measures})
     return out.drop(BUCKET, *[f"_loc_{m}" for m in measures], *[f"_off_{m}" for m in measures])
 
 
 def hash_rank(df: DataFrame, key: Column, groups: Sequence[str] = (), rank_col: str = "rank") -> DataFrame:
-    """1-based rank of each row in md5-key order (ties broken by nothing: keys are unique)."""
-    d = df.withColumn("_h", key).withColumn("_one", F.lit(1).cast("long"))
-    out = running_sums(d, ["_h"], ["_one"], bucket=hash_bucket("_h"), groups=groups, prefix="_cum")
-    return out.withColumnRenamed("_cum_one", rank_col).drop("_one", "_h")
+    """1-based rank of each row in md5-key order; rows with equal keys are ordered by a hash of all their plain columns."""
+    d = df.withColumn("_h", key).withColumn("_tie", tie_break(df)).withColumn("_one", F.lit(1).cast("long"))
+    out = running_sums(d, ["_h", "_tie"], ["_one"], bucket=hash_bucket("_h"), groups=groups, prefix="_cum")
+    return out.withColumnRenamed("_cum_one", rank_col).drop("_one", "_h", "_tie")
+
+
+def tie_break(df: DataFrame) -> Column:
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.AtomicType, T.NumericType))]
+    return F.xxhash64(*[F.col(c).cast("string") for c in plain]) if plain else F.lit(0).cast("long")
+
+
+def hash_cuts(df: DataFrame, key: Column, cuts: dict, label: str | None = None) -> DataFrame:
+    """``df`` with ``_part``: how many of its label's ``cuts`` (ascending row counts in md5-key order) a row lies beyond.
+
+    Rows are counted by hash bucket (at most 65,536 counts for each label come back); whole buckets then fall on one
+    side of a cut without a shuffle, and only the rows of the buckets that hold a cut are ranked. ``cuts`` maps
+    label values (None for a null label, or when there is no label) to lists of counts.
+    """
+    d = df.withColumn("_h", key).withColumn("_b", hash_bucket("_h"))
+    lab = F.col(label) if label else F.lit(None).cast("string")
+    sizes: dict = {}
+    for r in d.groupBy(lab.alias("_l"), "_b").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes.setdefault(r["_l"], {})[r["_b"]] = r["n"]
+    part, within = F.lit(0), []
+    for value, limits in cuts.items():
+        mine = lab.eqNullSafe(F.lit(value)) if label else F.lit(True)
+        places, total, at = [], 0, 0
+        ordered = sorted(sizes.get(value, {}).items())
+        for limit in limits:
+            while at < len(ordered) and total + ordered[at][1] <= limit:
+                total += ordered[at][1]
+                at += 1
+            places.append((ordered[at][0] if at < len(ordered) else 1 << 30, limit - total))
+        count = reduce(add, [(F.col("_b") >= b).cast("int") for b, _ in places])
+        part = F.when(mine, count).otherwise(part)
+        within += [(mine, b, need) for b, need in places if need > 0]
+    d = d.withColumn("_part", part)
+    if not within:
+        return d.drop("_h", "_b")
+    cut = reduce(or_, [m & (F.col("_b") == b) for m, b, _ in within])
+    w = Window.partitionBy(lab, "_b").orderBy("_h", tie_break(df))
+    ranked = d.where(cut).withColumn("_r", F.row_number().over(w))
+    taken = reduce(add, [F.when(m & (F.col("_b") == b) & (F.col("_r") <= need), 1).otherwise(0) for m, b, need in within])
+    ranked = ranked.withColumn("_part", F.col("_part") - taken).drop("_r")
+    return d.where(~F.coalesce(cut, F.lit(False))).unionByName(ranked).drop("_h", "_b")
 
 
 def exact_medians(long: DataFrame, name: str = "name", value: str = "x",
@@ -112,7 +159,7 @@ def exact_medians(long: DataFrame, name: str = "name", value: str = "x",
     b = F.floor(F.col("n_total") / 2) + 1
     prev = F.col("cum_n") - F.col("n")
     hit = ((prev < a) & (a <= F.col("cum_n"))) | ((prev < b) & (b <= F.col("cum_n")))
-    return (rs.join(F.broadcast(tot), "name").where(hit)
+    return (rs.join(tot, "name").where(hit)
             .groupBy("name").agg(((F.min("x") + F.max("x")) / 2).alias("median")))
 
 

@@ -1,7 +1,7 @@
 """Seeded, exact-size sampling and splits, ordered by an md5 hash of the key.
 
-Ranks come from bucketed running sums (``prefix.hash_rank``), so no step
-sorts the whole table in one task and no ``limit`` pulls rows to one place.
+Rows are counted by hash bucket (``prefix.hash_cuts``) and only the buckets that
+hold a cut are ranked, so most rows are kept or dropped without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
-from claimlens.operators.prefix import hash_rank, md5_key
+from claimlens.operators.prefix import hash_cuts, md5_key
 
 
 def sample_size(frac: float, n: int) -> int:
@@ -25,9 +25,7 @@ def sample_exact(df: DataFrame, frac: float = K.SAMPLE_FRACTION, seed: int = K.S
     """Exactly round(frac * N) rows, the smallest md5(key:seed); all rows if frac >= 1."""
     if frac >= 1.0:
         return df
-    n = sample_size(frac, df.count())
-    ranked = hash_rank(df, md5_key(key, seed=seed), rank_col="_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    return eval_subsample(df, sample_size(frac, df.count()), seed, key)
 
 
 def sample_children(child: DataFrame, sample: DataFrame, key: str = "id") -> DataFrame:
@@ -43,38 +41,31 @@ def stratified_split(df: DataFrame, label: str = "label", seed: int = K.SEED,
     Per stratum of n rows in md5(key:seed) order: the first ceil(test*n) rows
     are test, the next ceil(val*(n - test rows)) are validation, the rest train.
     """
-    ranked = hash_rank(df, md5_key(key, seed=seed), groups=[label], rank_col="_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
-    t = F.ceil(n * F.lit(test_size))
-    v = F.ceil((n - t) * F.lit(val_size))
-    r = F.col("_rank")
-    # one row per label value: broadcasting it is bounded by the number of strata
-    return (ranked.join(F.broadcast(sizes), label, "inner")
-            .withColumn("split", F.when(r <= t, "test").when(r <= t + v, "val").otherwise("train"))
-            .drop("_rank", "_n"))
-
-
-def eval_subsample(df: DataFrame, n: int = K.EVAL_SUBSAMPLE, seed: int = K.SEED, key: str = "id") -> DataFrame:
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per label value
+    cuts = {}
+    for value, n in sizes.items():
+        test = math.ceil(n * test_size)
+        cuts[value] = [test, test + math.ceil((n - test) * val_size)]
+    parts = hash_cuts(df, md5_key(key, seed=seed), cuts, label)
+    name = F.when(F.col("_part") == 0, "test").when(F.col("_part") == 1, "val").otherwise("train")
+    return parts.withColumn("split", name).drop("_part")
+
+
+def eval_subsample(df: DataFrame, n: int, seed: int = K.SEED, key: str = "id") -> DataFrame:
     """At most n rows, the smallest md5(key:seed)."""
-    ranked = hash_rank(df, md5_key(key, seed=seed), rank_col="_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    return hash_cuts(df, md5_key(key, seed=seed), {None: [n]}).where(F.col("_part") == 0).drop("_part")
 
 
 def undersample(df: DataFrame, label: str = "label", ratio: float = K.UNDERSAMPLE_RATIO,
                 seed: int = K.SEED, key: str = "id") -> DataFrame:
-    """Keep every minority row and int(minority / ratio) majority rows (binary labels)."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    if len(counts) < 2:
-        return df
+    """Keep every minority row and int(minority / ratio) majority rows; labels must take two values."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(3).collect()}
+    if len(counts) != 2:
+        raise ValueError(f"under-sampling needs two label values, found {len(counts)}")
     minority = min(counts, key=lambda k: (counts[k], k))
-    keep = int(counts[minority] / ratio)
-    ranked = hash_rank(df, md5_key(key, seed=seed), groups=[label], rank_col="_rank")
-    return ranked.where((F.col(label) == minority) | (F.col("_rank") <= keep)).drop("_rank")
-
-
-def ceil_int(x: float) -> int:
-    return int(math.ceil(x))
+    majority = max(counts, key=lambda k: (counts[k], k))
+    cuts = {minority: [counts[minority]], majority: [int(counts[minority] / ratio)]}
+    return hash_cuts(df, md5_key(key, seed=seed), cuts, label).where(F.col("_part") == 0).drop("_part")
 
 
 def sampled_tables(claims: DataFrame, diag: DataFrame, proc: DataFrame,

@@ -7,10 +7,12 @@ decision and the confidence, all as column expressions keyed by ``id``.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
+from claimlens.functions.dates import stay_days
 from claimlens.functions.scoring import confidence, decide, explanation, reason_codes
 from claimlens.functions.text import null_token_columns
 from claimlens.plans import features as FE
@@ -65,27 +67,42 @@ def score_batch(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: FE.
     return score(feats, threshold=threshold)
 
 
-def scored_features(features: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
-    """Feature rows with probability, decision, confidence and reasons."""
-    p = fixed_logit(features)
-    f = features.withColumn("fraud_probability", p)
-    return f.withColumns({
-        "is_fraud": decide(F.col("fraud_probability"), threshold),
-        "confidence_score": confidence(F.col("fraud_probability"), threshold),
-    })
+def raw_counts(claims: DataFrame, diag: DataFrame, proc: DataFrame) -> DataFrame:
+    """Child counts as given (not de-duplicated), 0 without children, and the first primary code ('' if none)."""
+    sec = diag.where(F.col("levelid") == 2).groupBy("id").agg(F.count(F.lit(1)).alias("n_secondary"))
+    prim = diag.where(F.col("levelid") == 1).groupBy("id").agg(F.min_by(F.struct("diag"), "ord").alias("first"))
+    procs = proc.groupBy("id").agg(F.count(F.lit(1)).alias("n_procedures"))
+    out = claims.select("id").join(sec, "id", "left").join(prim, "id", "left").join(procs, "id", "left")
+    return out.select("id", F.coalesce("n_secondary", F.lit(0)).alias("n_secondary"),
+                      F.coalesce("n_procedures", F.lit(0)).alias("n_procedures"),
+                      F.when(F.col("first").isNull(), F.lit("")).otherwise(F.col("first.diag")).alias("primary_diag"))
+
+
+def with_raw_figures(scored: DataFrame, claims: DataFrame, counts: DataFrame) -> DataFrame:
+    """Scored claims with the figures explanations quote: raw cost and stay (0 if missing) and raw child counts."""
+    raw = claims.select("id", F.coalesce(F.col("biaya").cast("double"), F.lit(0.0)).alias("cost"),
+                        F.coalesce(stay_days("tgldatang", "tglpulang"), F.lit(0)).alias("stay"))
+    return scored.join(raw, "id").join(counts, "id")
+
+
+_FIGURES = ("cost", "stay", "n_secondary", "n_procedures")
 
 
 def reasons(scored: DataFrame) -> DataFrame:
-    """Risk reasons per claim from its cost, stay and child counts."""
-    return scored.select("id", "is_fraud", reason_codes(
-        F.col("biaya"), F.col("lama_rawat"), F.col("diagfkrtl_sekunder_counts"),
-        F.col("proc_count")).alias("reasons"))
+    """Risk reasons per claim from its raw cost, stay and child counts."""
+    return scored.select("id", "is_fraud", reason_codes(*map(F.col, _FIGURES)).alias("reasons"))
 
 
 def explain(scored: DataFrame) -> DataFrame:
-    return scored.select("id", "is_fraud", explanation(
-        F.col("fraud_probability"), F.col("is_fraud"), F.col("biaya"), F.col("lama_rawat"),
-        F.col("diagfkrtl_sekunder_counts"), F.col("proc_count")).alias("explanation"))
+    return scored.select("id", "is_fraud", explanation(F.col("fraud_probability"), F.col("is_fraud"), *map(F.col, _FIGURES)).alias("explanation"))
+
+
+def score_batch_model(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: FE.FeatureParams,
+                      encoder, model, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
+    """``score_batch`` with a trained encoder and model: missing tokens, structural pass, encoding, probability of label 1."""
+    feats = FE.transform(null_token_columns(claims), diag, proc, params)
+    p = vector_to_array(F.col("probability"))[1]
+    return score(model.transform(encoder.transform(feats)), p, threshold)
 
 
 # --- nested claims -------------------------------------------------------------
@@ -109,29 +126,24 @@ def flatten_nested(nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def nested_counts(nested: DataFrame) -> DataFrame:
     """Raw list counts used by explanations: secondary diagnoses, procedures,
-    first primary code (lists as given, not de-duplicated)."""
+    first primary code (lists as given, not de-duplicated); a null list counts 0."""
     lvl = lambda d: F.coalesce(d["levelid"].cast("int"), F.lit(1))
     prim = F.filter("diagnoses", lambda d: lvl(d) == 1)
     return nested.select(
         "id",
-        F.size(F.filter("diagnoses", lambda d: lvl(d) == 2)).alias("n_secondary"),
-        F.size("procedures").alias("n_procedures"),
-        F.coalesce(F.element_at(prim, 1)["diag"], F.lit("")).alias("primary_diag"))
+        F.coalesce(F.size(F.filter("diagnoses", lambda d: lvl(d) == 2)), F.lit(0)).alias("n_secondary"),
+        F.coalesce(F.size("procedures"), F.lit(0)).alias("n_procedures"),
+        F.coalesce(F.get(prim, F.lit(0))["diag"], F.lit("")).alias("primary_diag"))
 
 
 def score_nested(nested: DataFrame, params: FE.FeatureParams,
                  threshold: float = K.DEFAULT_THRESHOLD, model_name: str = "fixed-logit") -> DataFrame:
     """Scored nested claims with explanation and model info."""
-    from claimlens.functions.dates import stay_days
     claims, diags, procs = flatten_nested(nested)
     scored = score_batch(claims, diags, procs, params, threshold)
-    raw = nested_counts(nested)
-    base = nested.select("id", F.col("biaya").cast("double").alias("_cost"),
-                         F.coalesce(stay_days("tgldatang", "tglpulang"), F.lit(0)).alias("_stay"))
-    j = scored.join(raw, "id").join(base, "id")
+    j = with_raw_figures(scored, nested, nested_counts(nested))
     return j.select(
         "id", "is_fraud", "fraud_probability", "confidence_score",
-        explanation(F.col("fraud_probability"), F.col("is_fraud"), F.coalesce("_cost", F.lit(0.0)),
-                    F.col("_stay"), F.col("n_secondary"), F.col("n_procedures")).alias("explanation"),
+        explanation(F.col("fraud_probability"), F.col("is_fraud"), *map(F.col, _FIGURES)).alias("explanation"),
         F.struct(F.lit(model_name).alias("name"), F.lit("1.0.0").alias("version"),
                  F.lit(threshold).alias("threshold")).alias("model_info"))

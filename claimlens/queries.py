@@ -18,7 +18,6 @@ from claimlens import constants as K
 from claimlens.functions.codes import kdsa_severity, split_code, split_code_columns
 from claimlens.functions.dates import stay_days
 from claimlens.functions.diagnosis import clean_diag, code_letter, code_number, icd_chapter
-from claimlens.functions.scoring import reason_codes
 from claimlens.functions.text import clean_text, null_tokens
 from claimlens.operators import children as CH
 from claimlens.operators import encoding as EN
@@ -36,6 +35,7 @@ from claimlens.sources import fixtures as FX
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _PARAMS: dict[str, FE.FeatureParams] = {}
 
+SAMPLED = 0.1
 EVAL_THRESHOLDS = (0.5, K.DEFAULT_THRESHOLD)
 TARGET_PRECISIONS = (0.9, 0.5, 0.1, 0.02, 0.01)
 
@@ -50,6 +50,7 @@ ROUND6: dict[str, list[str]] = {
     "roc_curve": ["threshold", "fpr", "tpr"], "pr_curve": ["threshold", "precision", "recall"],
     "roc_auc": ["roc_auc"], "pr_auc": ["pr_auc"], "tune_threshold": ["threshold", "precision", "recall"],
     "score_batch": ["fraud_probability", "confidence_score"],
+    "score_nested": ["fraud_probability", "confidence_score"],
     "score_stream": ["fraud_probability", "confidence_score"],
     "report_sink": ["fraud_probability", "confidence_score"],
     "scan_csv": ["biaya"],
@@ -331,7 +332,7 @@ def q_split(spark, sf):
 @query("eval_subsample")
 def q_eval_subsample(spark, sf):
     tr = split_features(spark, sf).where(F.col("split") == "train").select("id", "label")
-    return SA.eval_subsample(tr)
+    return SA.eval_subsample(tr, K.EVAL_SUBSAMPLE)
 
 
 @query("undersample")
@@ -410,11 +411,58 @@ def q_score_batch(spark, sf):
     return SC.score(feats)
 
 
+def raw_scored(spark: SparkSession, sf: str) -> DataFrame:
+    c, d, p = _tables(spark, sf)
+    return SC.with_raw_figures(q_score_batch(spark, sf), c, SC.raw_counts(c, d, p))
+
+
 @query("reasons")
 def q_reasons(spark, sf):
-    s = SC.scored_features(feature_table(spark, sf))
-    r = reason_codes(F.col("biaya"), F.col("lama_rawat"), F.col("diagfkrtl_sekunder_counts"), F.col("proc_count"))
-    return s.select("id", "is_fraud", F.array_join(r, ",").alias("reasons"), F.size(r).alias("n_reasons"))
+    s = SC.reasons(raw_scored(spark, sf))
+    return s.select("id", "is_fraud", F.array_join("reasons", ",").alias("reasons"), F.size("reasons").alias("n_reasons"))
+
+
+def nested_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims that carry their children in short lists: null, empty, without a primary, and full ones."""
+    c = _tables(spark, sf)[0]
+    kind = "array<struct<diag:string,levelid:int>>"
+    lists = F.expr(f"""CASE id % 5 WHEN 0 THEN CAST(null AS {kind}) WHEN 1 THEN CAST(array() AS {kind})
+        WHEN 2 THEN array(named_struct('diag', 'I10', 'levelid', 2))
+        WHEN 3 THEN array(named_struct('diag', diagfktp, 'levelid', CAST(null AS INT)), named_struct('diag', 'I10', 'levelid', 2))
+        ELSE array(named_struct('diag', 'E11.9', 'levelid', 1), named_struct('diag', 'I10', 'levelid', 2), named_struct('diag', 'I11', 'levelid', 2),
+                   named_struct('diag', 'I12', 'levelid', 2), named_struct('diag', 'I13', 'levelid', 2), named_struct('diag', 'I13', 'levelid', 2)) END""")
+    procs = F.expr("""CASE id % 4 WHEN 0 THEN CAST(null AS array<string>) WHEN 1 THEN CAST(array() AS array<string>)
+        WHEN 2 THEN array('99.04', '88.78') ELSE array('1', '2', '3', '4', '5', '6') END""")
+    return c.withColumn("diagnoses", lists).withColumn("procedures", procs)
+
+
+@query("nested_claims")
+def q_nested_claims(spark, sf):
+    return SC.nested_counts(nested_table(spark, sf))
+
+
+@query("score_nested")
+def q_score_nested(spark, sf):
+    out = SC.score_nested(nested_table(spark, sf), feature_params(spark, sf))
+    return out.select("id", "is_fraud", "fraud_probability", "confidence_score", "explanation")
+
+
+@query("quality_report")
+def q_quality_report(spark, sf):
+    """The validation report with its maps spread into rows: column, type, missing values."""
+    r = QA.quality_report(_tables(spark, sf)[0], "claims")
+    rows = r.select("num_rows", "num_cols", "duplicate_records", "dtypes", F.explode("missing_values").alias("column_name", "missing"))
+    return rows.select("num_rows", "num_cols", "duplicate_records", "column_name", "missing",
+                       F.element_at("dtypes", F.col("column_name")).alias("data_type"))
+
+
+@query("sampled_tables")
+def q_sampled_tables(spark, sf):
+    """Row counts of the claims sample and its child rows."""
+    names = ("claims", "diagnoses", "procedures")
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n")
+              for n, t in zip(names, SA.sampled_tables(*_tables(spark, sf), frac=SAMPLED), strict=True)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 # --- overview -------------------------------------------------------------------------
@@ -586,20 +634,12 @@ def q_report_sink(spark, sf):
 @query("raw_child_counts")
 def q_raw_child_counts(spark, sf):
     """Counts as the explanation sees them: raw (not de-duplicated) child rows."""
-    c, d, p = _tables(spark, sf)
-    sec = d.where(F.col("levelid") == 2).groupBy("id").agg(F.count(F.lit(1)).alias("n_secondary_raw"))
-    prim = (d.where(F.col("levelid") == 1).groupBy("id")
-            .agg(F.min_by(F.struct("diag"), "ord").alias("_first")))
-    pc = p.groupBy("id").agg(F.count(F.lit(1)).alias("n_procedures_raw"))
-    out = c.select("id").join(sec, "id", "left").join(prim, "id", "left").join(pc, "id", "left")
-    return out.select("id", F.coalesce("n_secondary_raw", F.lit(0)).alias("n_secondary_raw"),
-                      F.coalesce("n_procedures_raw", F.lit(0)).alias("n_procedures_raw"),
-                      F.when(F.col("_first").isNull(), F.lit("")).otherwise(F.col("_first.diag")).alias("primary_diag"))
+    return SC.raw_counts(*_tables(spark, sf)).withColumnsRenamed({"n_secondary": "n_secondary_raw", "n_procedures": "n_procedures_raw"})
 
 
 @query("explain")
 def q_explain(spark, sf):
-    return SC.explain(SC.scored_features(feature_table(spark, sf)))
+    return SC.explain(raw_scored(spark, sf))
 
 
 # --- neighbours and synthetic over-sampling ----------------------------------

@@ -1,5 +1,7 @@
 """Oracle SQL per registered query (DuckDB; driver tables pre-registered as views)."""
 
+import re
+
 from claimlens import constants as K
 from sqlcheck import sqlparts as S
 
@@ -229,12 +231,39 @@ FEAT2 = S.FEAT.replace("feat AS (", "feat2 AS (").replace("FROM main m CROSS JOI
 Q["score_batch"] = S.features_with(CLAIMS_P4, MAIN2, FEAT2) + (
     f"SELECT id, {LOGIT} AS fraud_probability, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, "
     f"{_conf(LOGIT)} AS confidence_score FROM feat2")
-_reasons = ("list_filter([CASE WHEN biaya > 10000000 THEN 'high_cost' END, CASE WHEN lama_rawat > 10 THEN 'long_stay' END, "
-            "CASE WHEN diagfkrtl_sekunder_counts > 4 THEN 'many_secondary_diagnoses' END, "
-            "CASE WHEN proc_count > 5 THEN 'many_procedures' END], lambda x: x IS NOT NULL)")
-Q["reasons"] = S.features_with() + (
+RAW = ("raw AS (SELECT c.id, coalesce(CAST(c.biaya AS DOUBLE), 0) AS cost, coalesce(" + S.stay("c.tgldatang", "c.tglpulang") + ", 0) AS stay, "
+       "coalesce(s.n, 0) AS n2, coalesce(p.n, 0) AS np FROM claims c "
+       "LEFT JOIN (SELECT id, count(*) AS n FROM diagnoses WHERE levelid = 2 GROUP BY id) s ON c.id = s.id "
+       "LEFT JOIN (SELECT id, count(*) AS n FROM procedures GROUP BY id) p ON c.id = p.id)")
+_reasons = ("list_filter([CASE WHEN cost > 10000000 THEN 'high_cost' END, CASE WHEN stay > 10 THEN 'long_stay' END, "
+            "CASE WHEN n2 > 4 THEN 'many_secondary_diagnoses' END, "
+            "CASE WHEN np > 5 THEN 'many_procedures' END], lambda x: x IS NOT NULL)")
+Q["reasons"] = S.features_with(CLAIMS_P4, MAIN2, FEAT2, RAW) + (
     f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, array_to_string({_reasons}, ',') AS reasons, "
-    f"CAST(len({_reasons}) AS INTEGER) AS n_reasons FROM feat")
+    f"CAST(len({_reasons}) AS INTEGER) AS n_reasons FROM feat2 JOIN raw USING (id)")
+
+# claims with their children in lists
+NESTED = ("nlist AS (SELECT id, CASE id % 5 WHEN 2 THEN [{'d': 'I10', 'l': 2}] WHEN 3 THEN [{'d': diagfktp, 'l': NULL}, {'d': 'I10', 'l': 2}] "
+          "WHEN 4 THEN [{'d': 'E11.9', 'l': 1}, {'d': 'I10', 'l': 2}, {'d': 'I11', 'l': 2}, {'d': 'I12', 'l': 2}, {'d': 'I13', 'l': 2}, {'d': 'I13', 'l': 2}] "
+          "ELSE [] END AS ds, CASE id % 4 WHEN 2 THEN ['99.04', '88.78'] WHEN 3 THEN ['1', '2', '3', '4', '5', '6'] ELSE [] END AS ps FROM claims)")
+ND = ("ndiag AS (SELECT id, coalesce(d.d, '') AS diag, coalesce(d.l, 1) AS levelid, o AS ord FROM "
+      "(SELECT id, unnest(ds) AS d, generate_subscripts(ds, 1) AS o FROM nlist))")
+NP = "nproc AS (SELECT id, unnest(ps) AS proc FROM nlist)"
+NRAW = RAW.replace("raw AS (", "nraw AS (").replace("FROM diagnoses", "FROM ndiag").replace("FROM procedures", "FROM nproc")
+Q["nested_claims"] = W(NESTED, ND, NP, NRAW) + (
+    "SELECT r.id, CAST(n2 AS INTEGER) AS n_secondary, CAST(np AS INTEGER) AS n_procedures, coalesce(f.diag, '') AS primary_diag "
+    "FROM nraw r LEFT JOIN (SELECT id, diag FROM ndiag WHERE levelid = 1) f ON r.id = f.id")
+
+
+def _nested_ctes():
+    out = [NESTED, ND, NP, NRAW, CLAIMS_P4, MAIN2]
+    for cte, name in ((S.DD, "dd"), (S.PRIM, "prim"), (S.SEC, "sec"), (S.DP, "dp"), (S.DPARTS, "dparts"), (S.PC, "pc")):
+        for old in ("dparts", "prim", "sec", "dd", "dp", "pc"):
+            cte = re.sub(rf"\b{old}\b", f"n_{old}", cte)
+        out.append(cte.replace("FROM diagnoses", "FROM ndiag").replace("FROM procedures", "FROM nproc"))
+    feat = FEAT2.replace("feat2 AS (", "feat3 AS (").replace("LEFT JOIN dparts d", "LEFT JOIN n_dparts d").replace("LEFT JOIN pc ON m.id = pc.id", "LEFT JOIN n_pc pc ON m.id = pc.id")
+    return [*out, feat]
+
 
 Q["score_stream"] = Q["score_batch"]
 Q["report_sink"] = Q["score_batch"]
@@ -255,20 +284,20 @@ Q["knn_minority"] = (
     "lambda p: (p[1] - p[2]) * (p[1] - p[2])))), b.id) AS rank "
     "FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 5")
 
-_pct = f"printf('%.1f%%', {LOGIT} * 100)"
-_parts = ("list_filter([CASE WHEN biaya > 10000000 THEN 'very high claim cost (Rp ' || format('{:,.2f}', biaya) || ')' END, "
-          "CASE WHEN lama_rawat > 10 THEN printf('long inpatient stay (%d days)', CAST(lama_rawat AS INTEGER)) END, "
-          "CASE WHEN diagfkrtl_sekunder_counts > 4 THEN printf('many secondary diagnoses (%d)', "
-          "CAST(diagfkrtl_sekunder_counts AS INTEGER)) END, "
-          "CASE WHEN proc_count > 5 THEN printf('many procedures (%d)', CAST(proc_count AS INTEGER)) END], "
-          "lambda x: x IS NOT NULL)")
-Q["explain"] = S.features_with() + (
-    f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, "
-    f"CASE WHEN {LOGIT} >= CAST({T!r} AS DOUBLE) THEN 'Claim flagged as FRAUD with probability ' || {_pct} || '. ' || "
-    f"CASE WHEN len({_parts}) > 0 THEN 'Main risk factors: ' || array_to_string({_parts}, ', ') || '.' "
-    "ELSE 'The model flags it from the interplay of tariff-code and diagnosis patterns.' END "
-    f"ELSE 'Claim classified as NOT FRAUD (safe) with fraud probability ' || {_pct} || "
-    "'. The model rates its risk profile as low.' END AS explanation FROM feat")
+_above = ("list_filter([CASE WHEN cost > 10000000 THEN 'cost Rp ' || format('{:,.2f}', cost) END, "
+          "CASE WHEN stay > 10 THEN printf('stay %d days', CAST(stay AS INTEGER)) END, "
+          "CASE WHEN n2 > 4 THEN printf('secondary diagnoses %d', CAST(n2 AS INTEGER)) END, "
+          "CASE WHEN np > 5 THEN printf('procedures %d', CAST(np AS INTEGER)) END], lambda x: x IS NOT NULL)")
+_explain = (f"CASE WHEN {LOGIT} >= CAST({T!r} AS DOUBLE) THEN 'REVIEW' ELSE 'PASS' END || printf(' | score %.1f of 100 | above limit: ', {LOGIT} * 100) || "
+            f"CASE WHEN len({_above}) > 0 THEN array_to_string({_above}, '; ') ELSE 'none' END")
+Q["explain"] = S.features_with(CLAIMS_P4, MAIN2, FEAT2, RAW) + (
+    f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, {_explain} AS explanation FROM feat2 JOIN raw USING (id)")
+Q["score_nested"] = S.features_with(*_nested_ctes()) + (
+    f"SELECT id, CAST({LOGIT} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, {LOGIT} AS fraud_probability, {_conf(LOGIT)} AS confidence_score, "
+    f"{_explain} AS explanation FROM feat3 JOIN nraw USING (id)")
+Q["sampled_tables"] = W(SAMPLE.replace("samp AS (", "samp10 AS (").replace("0.02", "0.1")) + (
+    "SELECT 'claims' AS table_name, count(*) AS n FROM samp10 UNION ALL SELECT 'diagnoses', count(*) FROM diagnoses SEMI JOIN samp10 USING (id) "
+    "UNION ALL SELECT 'procedures', count(*) FROM procedures SEMI JOIN samp10 USING (id)")
 
 def _u(salt):
     return (f"(CAST(CAST(('0x' || substr(md5('42:' || CAST(j AS VARCHAR) || ':{salt}'), 1, 13)) AS BIGINT) AS DOUBLE)"
@@ -307,7 +336,7 @@ Q["overview_cost"] = S.features_with(
     "count(*) OVER (PARTITION BY age_band) AS n FROM band WHERE biaya IS NOT NULL AND NOT isnan(biaya)) "
     "WHERE rn = (n + 1) // 2 OR rn = n // 2 + 1 GROUP BY age_band)") + (
     "SELECT b.age_band, count(*) AS claims, sum(biaya) AS total_cost, min(biaya) AS min_cost, max(biaya) AS max_cost, "
-    "avg(biaya) AS avg_cost, any_value(bmed.median_cost) AS median_cost FROM band b LEFT JOIN bmed ON b.age_band = bmed.age_band "
+    "avg(biaya) AS avg_cost, any_value(bmed.median_cost) AS median_cost FROM band b LEFT JOIN bmed ON b.age_band IS NOT DISTINCT FROM bmed.age_band "
     "GROUP BY b.age_band")
 Q["overview_imbalance"] = S.features_with() + (
     "SELECT typefaskes, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, sum(label) / count(*) AS fraud_rate "
