@@ -1,12 +1,12 @@
-"""Training: encode -> split -> rebalance -> boosted trees -> evaluation.
-
-MLlib's ``GBTClassifier`` is the distributed counterpart of the reference's
-boosted trees: the positive class is weighted by 1 / under-sampling ratio,
-validation rows drive early stopping (``validationIndicatorCol``), and
-per-round scores come from the fitted trees (margin = sum of weight * tree,
-p = 1 / (1 + exp(-2 * margin))). MLlib caps tree depth at 30 and has no L1/L2
-leaf penalties, so trees differ from the reference's; metrics are compared,
-not trees.
+"""Training: encode -> split -> over-sample -> under-sample -> boosted trees -> evaluation.
+
+MLlib's ``GBTClassifier`` grows the trees; the positive class is weighted by
+1 / under-sampling ratio. Per-round scores come from the fitted trees (margin =
+sum of weight * tree, p = 1 / (1 + exp(-2 * margin))). All rounds are fitted,
+the best one is chosen on the mean validation logloss with the patience rule,
+and the model is cut to it, so that what is saved scores like what was
+evaluated. MLlib caps tree depth at 30 and has no L1/L2 leaf penalties, so
+trees differ from the reference's; metrics are compared, not trees.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
 from claimlens.operators import encoding as EN
 from claimlens.operators import metrics as ME
+from claimlens.operators import neighbors as NB
 from claimlens.operators import sampling as SA
 
 MLLIB_MAX_DEPTH = 30
@@ -31,9 +32,11 @@ MLLIB_MAX_DEPTH = 30
 @dataclass
 class TrainConfig:
     max_iter: int = K.GBT_ROUNDS
-    max_depth: int = K.GBT_MAX_DEPTH
+    max_depth: int = MLLIB_MAX_DEPTH
     step_size: float = K.GBT_LEARNING_RATE
     feature_subset: str = str(K.GBT_COLSAMPLE)
+    oversample_k: int = K.OVERSAMPLE_K
+    oversample_ratio: float = K.OVERSAMPLE_RATIO
     undersample_ratio: float = K.UNDERSAMPLE_RATIO
     threshold: float = K.DEFAULT_THRESHOLD
     early_stop_rounds: int = K.GBT_EARLY_STOP
@@ -58,10 +61,17 @@ def positive_weight(cfg: TrainConfig) -> float:
 
 def prepare(features: DataFrame, facility_vocab: list[str], cfg: TrainConfig):
     """Encode and split; returns (encoder, encoded rows with ``split``)."""
-    split = SA.stratified_split(features, seed=cfg.seed).select("id", "split")
     encoder = EN.fit_encoder(features, facility_vocab)
-    enc = EN.encode(encoder, features).join(split, "id", "inner")
-    return encoder, enc
+    split = SA.stratified_split(features, seed=cfg.seed)
+    return encoder, encoder.transform(split).select("id", "label", "split", "features")
+
+
+def rebalanced(train_rows: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """id, label, features: synthetic minority rows up to the over-sampling ratio, then the majority cut to the other ratio."""
+    rows = train_rows.select("id", "label", vector_to_array("features").alias("vec"))
+    more = NB.oversample(rows, cfg.oversample_k, cfg.oversample_ratio, seed=cfg.seed)
+    kept = SA.undersample(more, ratio=cfg.undersample_ratio, seed=cfg.seed)
+    return kept.select("id", "label", array_to_vector("vec").alias("features"))
 
 
 def with_weight(df: DataFrame, cfg: TrainConfig) -> DataFrame:
@@ -81,23 +91,25 @@ def best_round(losses: list[float], patience: int) -> int:
 
 
 def train(features: DataFrame, facility_vocab: list[str], cfg: TrainConfig | None = None) -> TrainResult:
-    """Fit on the rebalanced training split; pick the best round on validation loss;
+    """Fit on the rebalanced training split; pick the best round on validation logloss;
     score validation and test rows with the trees up to that round."""
     cfg = cfg or TrainConfig()
+    if cfg.max_depth > MLLIB_MAX_DEPTH:
+        raise ValueError(f"max_depth {cfg.max_depth}: trees grow to {MLLIB_MAX_DEPTH} levels at most")
     encoder, enc = prepare(features, facility_vocab, cfg)
-    enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
-    train_rows = with_weight(SA.undersample(enc.where(F.col("split") == "train").drop("split"),
-                                            ratio=cfg.undersample_ratio, seed=cfg.seed), cfg)
-    val_rows = with_weight(enc.where(F.col("split") == "val").drop("split"), cfg)
+    train_rows = with_weight(rebalanced(enc.where(F.col("split") == "train"), cfg), cfg).persist(StorageLevel.MEMORY_AND_DISK)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w",
-                        maxIter=cfg.max_iter, maxDepth=min(cfg.max_depth, MLLIB_MAX_DEPTH),
+                        maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
                         stepSize=cfg.step_size, featureSubsetStrategy=cfg.feature_subset,
                         maxBins=cfg.max_bins, seed=cfg.seed)
     model = gbt.fit(train_rows)
-    val_loss = [float(x) for x in model.evaluateEachIteration(val_rows)]  # one value per round
+    val_loss = [r["loss"] for r in round_loss(model, enc.where(F.col("split") == "val")).orderBy("iteration").collect()]
     best = best_round(val_loss, cfg.early_stop_rounds)
+    if best < model.getNumTrees:  # the same seed grows the same first trees
+        model = gbt.setMaxIter(best).fit(train_rows)
+    train_rows.unpersist()
     ev = enc.where(F.col("split").isin("val", "test"))
-    scores = (partial_scores(model, ev.select("split", "id", "label", "features"), [best])
+    scores = (partial_scores(model, ev.select("split", "id", "label", "features"), F.array(F.lit(best)))
               .select("split", "id", "label", "score"))
     num_features = len(enc.select("features").first()[0])
     return TrainResult(model, encoder, num_features, scores, train_rows, best, val_loss)
@@ -142,70 +154,58 @@ def run_record(spark: SparkSession, result: TrainResult, evaluation_df: DataFram
         block("test_metrics_target_threshold").alias("test_metrics_target_threshold"))
 
 
-def curve_iterations(n: int, points: int = K.CURVE_POINTS) -> list[int]:
-    """About ``points`` rounds: every max(1, n // points)-th, plus the last."""
-    step = max(1, n // points)
-    its = list(range(1, n + 1, step))
-    if n not in its:
-        its.append(n)
-    return its
+def curve_rounds(n: int, points: int = K.CURVE_POINTS) -> Column:
+    """The rounds a curve shows, as an array: evenly spaced from the first on, about ``points`` of them, and the last one."""
+    spaced = F.sequence(F.lit(1), F.lit(n), F.lit(max(1, n // points)))
+    return F.array_distinct(F.concat(spaced, F.array(F.lit(n))))
+
 
+def partial_scores(model: GBTClassificationModel, rows: DataFrame, rounds: Column | None = None) -> DataFrame:
+    """(id, label, iteration, score): probability using only the first i trees, for each of ``rounds`` (default: all).
 
-def partial_scores(model: GBTClassificationModel, rows: DataFrame, iterations: list[int]) -> DataFrame:
-    """(id, label, iteration, score): probability using only the first i trees."""
-    trees, weights = model.trees, model.treeWeights
-    df = rows
-    for t, tree in enumerate(trees):
+    Tree outputs are gathered in one array; a round's margin adds up its first entries, so the plan grows with the
+    number of trees, not with its square."""
+    df, n = rows, model.getNumTrees
+    for t, tree in enumerate(model.trees):
         tree = tree.copy()
-        tree.setFeaturesCol("features").setPredictionCol(f"_t{t}")
-        df = tree.transform(df)
-    margins, run = [], None
-    for t, w in enumerate(weights):
-        term = F.lit(float(w)) * F.col(f"_t{t}")
-        run = term if run is None else run + term
-        margins.append(run)
-    items = [F.struct(F.lit(i).alias("iteration"),
-                      (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margins[i - 1]))).alias("score"))
-             for i in iterations if 1 <= i <= len(margins)]
+        df = tree.setFeaturesCol("features").setPredictionCol(f"_t{t}").transform(df)
+        df = df.drop(*[c for c in df.columns if c in ("rawPrediction", "probability") and c not in rows.columns])
+    terms = F.array(*[F.lit(float(w)) * F.col(f"_t{t}") for t, w in enumerate(model.treeWeights)])
     keep = [c for c in rows.columns if c != "features"]
-    return (df.select(*keep, F.explode(F.array(*items)).alias("_p"))
-            .select(*keep, "_p.iteration", "_p.score"))
-
-
-def learning_curve(model: GBTClassificationModel, sets: dict[str, DataFrame],
-                   threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
-    """Precision and recall per round at the threshold (epsilon-guarded), per set."""
-    its = curve_iterations(model.getNumTrees)
-    out = None
-    for name, rows in sets.items():
-        ps = partial_scores(model, rows, its)
-        pred = F.col("score") >= F.lit(threshold)
-        agg = ps.groupBy("iteration").agg(
-            F.count_if(pred & (F.col("label") == 1)).alias("tp"),
-            F.count_if(pred & (F.col("label") == 0)).alias("fp"),
-            F.count_if(~pred & (F.col("label") == 1)).alias("fn"))
-        agg = agg.select(F.lit(name).alias("set"), "iteration",
-                         (F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(K.CURVE_EPS))).alias("precision"),
-                         (F.col("tp") / (F.col("tp") + F.col("fn") + F.lit(K.CURVE_EPS))).alias("recall"))
-        out = agg if out is None else out.unionByName(agg)
-    return out
-
-
-def round_loss(spark: SparkSession, model: GBTClassificationModel, sets: dict[str, DataFrame]) -> DataFrame:
-    """Loss after each round for each set (MLlib's ``evaluateEachIteration``).
-
-    One number per round is returned to the driver (bounded by the tree count)."""
-    rows = []
-    for name, df in sets.items():
-        for i, loss in enumerate(model.evaluateEachIteration(df)):
-            rows.append((name, i + 1, float(loss)))
-    return spark.createDataFrame(rows, "set string, iteration int, loss double")
-
-
-def round_auc(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    """ROC AUC per boosting round from partial scores (grouped curve)."""
-    ps = partial_scores(model, rows, curve_iterations(model.getNumTrees))
-    return ME.roc_auc(ME.curve_points(ps, groups=["iteration"]), groups=["iteration"])
+    df = df.select(*keep, terms.alias("_terms"))
+    rounds = rounds if rounds is not None else F.sequence(F.lit(1), F.lit(n))
+    margin = F.aggregate(F.slice("_terms", F.lit(1), F.col("iteration")), F.lit(0.0), lambda a, x: a + x)
+    return (df.select(*keep, "_terms", F.explode(rounds).alias("iteration"))
+            .select(*keep, "iteration", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))).alias("score")))
+
+
+def learning_curve(scores: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
+    """Precision and recall per set and round at the threshold (epsilon-guarded), from partial scores with ``set``."""
+    pred = F.col("score") >= F.lit(threshold)
+    agg = scores.groupBy("set", "iteration").agg(
+        F.count_if(pred & (F.col("label") == 1)).alias("tp"),
+        F.count_if(pred & (F.col("label") == 0)).alias("fp"),
+        F.count_if(~pred & (F.col("label") == 1)).alias("fn"))
+    return agg.select("set", "iteration",
+                      (F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(K.CURVE_EPS))).alias("precision"),
+                      (F.col("tp") / (F.col("tp") + F.col("fn") + F.lit(K.CURVE_EPS))).alias("recall"))
+
+
+def logloss(scores: DataFrame, *groups: str) -> DataFrame:
+    """Mean logloss of (label, score) per group, unweighted; scores are kept 1e-15 away from 0 and 1."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("score")))
+    one = F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1 - p))
+    return scores.groupBy(*groups).agg(F.avg(one).alias("loss"))
+
+
+def round_loss(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    """iteration, loss: mean logloss of ``rows`` after each round."""
+    return logloss(partial_scores(model, rows.select("id", "label", "features")), "iteration")
+
+
+def round_auc(scores: DataFrame) -> DataFrame:
+    """ROC AUC per set and round, from partial scores with ``set``."""
+    return ME.roc_auc(ME.curve_points(scores, groups=["set", "iteration"]), groups=["set", "iteration"])
 
 
 def headline(records: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ Q["oversample_embeddings"] = (
     "WITH e AS (SELECT vec_id AS id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, "
     "CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
     "cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label = 0) AS n_maj FROM e), "
-    f"kk AS (SELECT n_min, least({K.OVERSAMPLE_K}, n_min - 1) AS k, "
+    "kk AS (SELECT n_min, 5 AS k, "
     f"CAST(trunc(n_maj * CAST({K.OVERSAMPLE_RATIO!r} AS DOUBLE) - n_min) AS BIGINT) AS n_new FROM cnt), "
     "mino AS (SELECT id, v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42')) AS brank "
     "FROM e WHERE label = 1), "
@@ -325,6 +325,17 @@ Q["oversample_embeddings"] = (
     "SELECT id, label, false AS is_synthetic, v[1] AS x_first, v[len(v)] AS x_last, CAST(len(v) AS INTEGER) AS dim FROM e "
     "UNION ALL SELECT id, label, true, v[1], v[len(v)], CAST(len(v) AS INTEGER) FROM syn")
 
+Q["model_roundtrip"] = S.features_with(SPLIT) + "SELECT id, true AS same FROM spl WHERE split IN ('val', 'test')"
+Q["score_roundtrip"] = W() + "SELECT id, true AS same FROM claims"
+_N = "nn AS (SELECT count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM tr)"
+_MORE = (f"oo AS (SELECT n1 + greatest(0, CAST(trunc(n0 * CAST({K.OVERSAMPLE_RATIO!r} AS DOUBLE) - n1) AS BIGINT)) AS n1, n0 FROM nn)")
+Q["rebalance"] = S.features_with(SPLIT, TRAIN, _N, _MORE) + (
+    f"SELECT 1 AS label, n1 AS n FROM oo UNION ALL SELECT 0, CAST(least(n0, trunc(n1 / CAST({K.UNDERSAMPLE_RATIO!r} AS DOUBLE))) AS BIGINT) FROM oo")
+Q["oversample"] = S.features_with(SPLIT, TRAIN, _N, _MORE) + (
+    f"SELECT id, label, false AS is_synthetic, CAST({736 + 15} + (SELECT count(DISTINCT typefaskes) FROM main) AS INTEGER) AS width FROM tr UNION ALL "
+    f"SELECT -(j + 1), 1, true, CAST({736 + 15} + (SELECT count(DISTINCT typefaskes) FROM main) AS INTEGER) "
+    "FROM (SELECT unnest(range((SELECT oo.n1 FROM oo) - (SELECT nn.n1 FROM nn))) AS j)")
+
 # --- overview -----------------------------------------------------------------------------------
 Q["overview_demographics"] = S.features_with() + (
     "SELECT jenkel, kelasrawat, count(*) AS claims, CAST(sum(label) AS BIGINT) AS frauds, avg(biaya) AS avg_cost, "

@@ -15,9 +15,10 @@ NESTED_SCHEMA = (
     "biaya double, dati2 string, typefaskes string, usia int, tgldatang timestamp_ntz, tglpulang timestamp_ntz, "
     "jenispel string, cbg string, kelasrawat int, kdsa string, kdsp string, kdsr string, kdsi string, kdsd string, "
     "diagnoses array<struct<diag:string, levelid:int>>, procedures array<string>")
-CLAIM = ("claim_test_101", "peserta_test_101", "1", "P", "1", "E11.9", 4500000.0, "291", "B", 55,
-         dt.datetime(2022, 6, 10), dt.datetime(2022, 6, 14), "1", "E-4-10-I", 2, "-", "-", "-", "-", "-",
-         [("E11.9", 1), ("I10", 2)], ["99.04", "88.78"])
+# a claim of our own; every feature it must give is asserted below
+CLAIM = ("k-7", "member-7", "3", "L", "4", " j18.9 ", 2_750_000.0, "1171", "C", 34,
+         dt.datetime(2021, 3, 2), dt.datetime(2021, 3, 9), "2", "J-4-16-II", 3, "-", "YY-02-III", "-", "-", "-",
+         [("J18.9", 1), ("I10", 2), ("N39.0", 2), ("I10", 2)], ["87.44", "87.44", "99.29"])
 
 
 def _params(spark):
@@ -50,6 +51,13 @@ def test_single_prediction(spark):
     assert out["model_info"]["threshold"] == 0.7868109
 
 
+def test_claim_features(spark):
+    c, d, p = SC.flatten_nested(spark.createDataFrame([CLAIM], NESTED_SCHEMA))
+    f = FE.transform(c, d, p, _params(spark)).first().asDict()
+    assert (f["lama_rawat"], f["diagfkrtl_sekunder_counts"], f["proc_count"], f["biaya"]) == (7, 2, 2, 2_750_000.0)
+    assert (f["cbg_severity"], f["kdsp_spesifikkasus"], f["diagfkrtl_icd10"], f["diagfktp_icd10"]) == ("II", "02", "X", "X")
+
+
 def test_batch_prediction(spark):
     nested = spark.createDataFrame([CLAIM], NESTED_SCHEMA)
     c, d, p = SC.flatten_nested(nested)

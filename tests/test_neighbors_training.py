@@ -36,7 +36,9 @@ def test_knn_exact(spark, k):
 def test_oversample_sizes(spark):
     rows = [(i, 1 if i < 12 else 0, [float(i % 5), float(i % 7)]) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, label int, vec array<double>")
-    out = NB.oversample(df, k=858, ratio=0.2).toPandas()
+    with pytest.raises(ValueError):
+        NB.oversample(df, k=858, ratio=0.2)
+    out = NB.oversample(df, k=11, ratio=0.2).toPandas()
     n_new = int(188 * 0.2 - 12)
     assert out.is_synthetic.sum() == n_new
     assert (out[out.is_synthetic].label == 1).all() and len(out) == 200 + n_new
@@ -51,9 +53,20 @@ def test_best_round_patience():
     assert TR.best_round([5, 4, 3, 3.5, 3.6, 2.0], patience=10) == 6
 
 
-def test_curve_iterations():
-    assert TR.curve_iterations(612)[:3] == [1, 13, 25] and TR.curve_iterations(612)[-1] == 612
-    assert TR.curve_iterations(3) == [1, 2, 3]
+def test_curve_rounds(spark):
+    rounds = lambda n: spark.range(1).select(TR.curve_rounds(n)).first()[0]
+    assert rounds(612)[:3] == [1, 13, 25] and rounds(612)[-1] == 612
+    assert rounds(3) == [1, 2, 3]
+
+
+def test_neighbours_of_text_ids(spark):
+    df = spark.createDataFrame([(f"c{i}", 1 if i < 4 else 0, [float(i), 0.0]) for i in range(20)], "id string, label int, vec array<double>")
+    nearest = {(r.id, r.nb_id) for r in NB.knn(df, 1).collect()}
+    assert ("c0", "c1") in nearest and len(nearest) == 20
+    out = NB.oversample(df, k=2, ratio=0.5).where("is_synthetic").collect()
+    assert sorted(r.id for r in out) == [f"synthetic-{k}" for k in range(1, 5)]
+    with pytest.raises(ValueError):
+        NB.oversample(df.where("label = 0"), k=2)
 
 
 def test_nested_claim_scoring(spark):
@@ -74,5 +87,5 @@ def test_nested_claim_scoring(spark):
     assert f.diagfkrtl_sekunder_counts == 4 and f.proc_count == 1   # features count de-duplicated rows
     out = SC.score_nested(nested, params, threshold=0.0).first()
     assert out.is_fraud == 1 and 0.5 <= out.confidence_score <= 1.0
-    assert "cost" in out.explanation and "14 days" in out.explanation and "(5)" in out.explanation
+    assert "cost" in out.explanation and "14 days" in out.explanation and "secondary diagnoses 5" in out.explanation
     assert out.model_info.threshold == 0.0

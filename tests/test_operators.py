@@ -189,3 +189,29 @@ def test_tune_threshold_brute_force(spark):
                 cand = (tp / P, t)
                 best = cand if best is None or cand > best else best
         assert got[target][0] == pytest.approx(best[1]) and got[target][1] == pytest.approx(best[0])
+
+
+def test_samples_do_not_depend_on_partitioning(spark):
+    """Repeated ids, null ids and null labels: the same rows whatever the partitioning, and none lost."""
+    rows = [(i % 300 if i % 11 else None, i % 3 if i % 7 else None, i) for i in range(2000)]
+    rows = [(i, None if y == 2 else y, x) for i, y, x in rows]
+    seen = []
+    for n in (1, 4, 13):
+        df = spark.createDataFrame(rows, "id long, label int, x int").repartition(n, "x")
+        split = SA.stratified_split(df)
+        assert split.count() == 2000
+        kept = SA.undersample(df.where("label is not null"))
+        seen.append((sorted(map(tuple, split.collect()), key=str), sorted(map(tuple, SA.sample_exact(df, 0.1).collect()), key=str),
+                     sorted(map(tuple, kept.collect()), key=str)))
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0][1]) == 200
+    for label in (0, 1, None):
+        own = [r for r in seen[0][0] if r[1] == label]
+        assert sum(r[3] == "test" for r in own) == -(-len(own) // 5)
+
+
+def test_unknown_age_keeps_its_median(spark):
+    from claimlens.operators import overview as OV
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (35, 5.0), (None, 8.0)], "usia int, biaya double")
+    got = {r.age_band: (r.claims, r.median_cost) for r in OV.cost_by_age(df).collect()}
+    assert got == {None: (3, 3.0), 30: (1, 5.0)}

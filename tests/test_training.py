@@ -14,13 +14,15 @@ def trained(spark):
     c, d, p = FX.fixture_tables(spark, SF_SMALL)
     f, params = FE.build(c, d, p)
     f = f.cache()
-    cfg = TR.TrainConfig(max_iter=3, max_depth=3)
+    cfg = TR.TrainConfig(max_iter=3, max_depth=3, oversample_k=3)
     return f, params, cfg, TR.train(f, params.facility_vocab, cfg)
 
 
 def test_training_outputs(spark, trained):
     f, params, cfg, r = trained
-    assert r.model.getNumTrees == 3 and 1 <= r.best_iteration <= 3 and len(r.val_loss) == 3
+    assert r.model.getNumTrees == r.best_iteration <= 3 and len(r.val_loss) == 3
+    with pytest.raises(ValueError):
+        TR.train(f, params.facility_vocab, TR.TrainConfig(max_depth=64))
     assert r.num_features == 736 + len(params.facility_vocab) + 15
     ev = TR.evaluation(r.eval_scores).toPandas()
     assert set(ev.block) == {"val_metrics_default_0.5", "val_metrics_target_threshold",
@@ -36,7 +38,7 @@ def test_partial_scores_last_round_equals_model(spark, trained):
     enc = TR.prepare(f, params.facility_vocab, cfg)[1].select("id", "label", "features")
     from pyspark.ml.functions import vector_to_array
     full = r.model.transform(enc).select("id", vector_to_array("probability")[1].alias("p"))
-    last = TR.partial_scores(r.model, enc, [3]).select("id", "score")
+    last = TR.partial_scores(r.model, enc, F.array(F.lit(r.best_iteration))).select("id", "score")
     diff = full.join(last, "id").select(F.max(F.abs(F.col("p") - F.col("score")))).first()[0]
     assert diff < 1e-9
 
