@@ -15,12 +15,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.session import kept
+
 BUCKET = "_bkt"
 HASH_PREFIX_HEX = 4  # 16**4 = 65,536 uniform buckets for md5-ordered keys (window parallelism)
 MAX_QUANTILE_BUCKETS = 4096
@@ -151,7 +152,7 @@ def exact_medians(long: DataFrame, name: str = "name", value: str = "x",
     if persist:
         # read twice (quantile sketch, then ranking): keep the distinct-value
         # counts instead of recomputing the upstream plan
-        vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+        vc = kept(vc)
     vc = with_quantile_bucket(vc, "x")
     rs = running_sums(vc, ["x"], ["n"], groups=["name"])
     tot = vc.groupBy("name").agg(F.sum("n").alias("n_total"))

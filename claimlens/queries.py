@@ -2,15 +2,14 @@
 
 Each reads the driver tables (through the claims-shaped views) so its work
 grows with the data. Computed columns carry fixed names that the oracle SQL
-repeats. Fitted feature parameters are memoised per input folder within the
-process (they are a handful of scalars).
+repeats. Fitted parameters and shared tables are kept per application and input
+folder until the folder's files change or ``release`` is called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +28,11 @@ from claimlens.operators.impute import median_table, mode_table
 from claimlens.operators.prefix import exact_medians, modes, stack
 from claimlens.plans import features as FE
 from claimlens.plans import scoring as SC
-from claimlens.session import tune_session
+from claimlens.session import kept, release_kept, tune_session
 from claimlens.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_PARAMS: dict[str, FE.FeatureParams] = {}
+_PARAMS: dict[tuple, FE.FeatureParams] = {}
 
 SAMPLED = 0.1
 EVAL_THRESHOLDS = (0.5, K.DEFAULT_THRESHOLD)
@@ -68,6 +67,7 @@ def query(name: str):
         if cols:
             def wrapped(spark, sf, _fn=fn, _cols=cols):
                 tune_session(spark)
+                _CURRENT.clear()
                 df = _fn(spark, sf)
                 return df.withColumns({c: F.round(F.col(c), 6) for c in _cols})
             wrapped.__name__ = fn.__name__
@@ -76,6 +76,7 @@ def query(name: str):
         else:
             def plain(spark, sf, _fn=fn):
                 tune_session(spark)
+                _CURRENT.clear()
                 return _fn(spark, sf)
             plain.__name__ = fn.__name__
             plain.__doc__ = fn.__doc__
@@ -90,16 +91,33 @@ def _tables(spark, sf):
 
 
 def feature_params(spark: SparkSession, sf: str) -> FE.FeatureParams:
-    if sf not in _PARAMS:
-        _PARAMS[sf] = FE.fit(*_tables(spark, sf))
-    return _PARAMS[sf]
+    k = _key(spark, sf, "params")
+    if k not in _PARAMS:
+        _PARAMS[k] = FE.fit(*_tables(spark, sf))
+    return _PARAMS[k]
 
 
-_MATERIALISED: dict[tuple, DataFrame] = {}
+_MATERIALISED: dict[tuple, DataFrame | tuple[DataFrame, DataFrame]] = {}
+_STAMPS: dict[tuple, tuple] = {}
+_CURRENT: dict[tuple, tuple] = {}
+
+
+def _stamp(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of the files that the claims views read (no content is read)."""
+    files = [spark.read.format("binaryFile").load(f"{sf}/{t}.parquet").select("path", "length", "modificationTime")
+             for t in ("orders", "customer", "lineitem")]
+    return tuple(sorted(map(tuple, files[0].unionByName(files[1]).unionByName(files[2]).collect())))
 
 
 def _key(spark: SparkSession, sf: str, what: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf, what)
+    """Memo key; what was kept for a folder goes when its files have changed since."""
+    own = (spark.sparkContext.applicationId, sf)
+    if own not in _CURRENT:
+        _CURRENT[own] = _stamp(spark, sf)
+        if _STAMPS.get(own, _CURRENT[own]) != _CURRENT[own]:
+            release(spark)
+        _STAMPS[own] = _CURRENT[own]
+    return (*own, what)
 
 
 def child_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +126,7 @@ def child_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     k = _key(spark, sf, "children")
     if k not in _MATERIALISED:
         _, d, p = _tables(spark, sf)
-        _MATERIALISED[k] = (FE.diag_parts(d).persist(StorageLevel.MEMORY_AND_DISK),
-                            FE.proc_table(p).persist(StorageLevel.MEMORY_AND_DISK))
+        _MATERIALISED[k] = (kept(FE.diag_parts(d)), kept(FE.proc_table(p)))
     return _MATERIALISED[k]
 
 
@@ -120,26 +137,24 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     if k not in _MATERIALISED:
         c = _tables(spark, sf)[0]
         dparts, pcounts = child_tables(spark, sf)
-        _MATERIALISED[k] = FE.transform_with_children(c, dparts, pcounts, feature_params(spark, sf)) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        _MATERIALISED[k] = kept(FE.transform_with_children(c, dparts, pcounts, feature_params(spark, sf)))
     return _MATERIALISED[k]
 
 
 def split_features(spark: SparkSession, sf: str) -> DataFrame:
     k = _key(spark, sf, "split")
     if k not in _MATERIALISED:
-        _MATERIALISED[k] = SA.stratified_split(feature_table(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+        _MATERIALISED[k] = kept(SA.stratified_split(feature_table(spark, sf)))
     return _MATERIALISED[k]
 
 
 def release(spark: SparkSession | None = None) -> None:
-    """Drop memoised fitted values and persisted tables."""
-    for v in _MATERIALISED.values():
-        for df in (v if isinstance(v, tuple) else (v,)):
-            df.unpersist()
-    _MATERIALISED.clear()
-    _PARAMS.clear()
-    _TRAINED.clear()
+    """Drop memoised fitted values and everything persisted."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None:
+        release_kept(spark)
+    for memo in (_MATERIALISED, _PARAMS, _TRAINED, _STAMPS):
+        memo.clear()
 
 
 def eval_set(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+_KEPT: list[tuple[str, DataFrame]] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, persisted until ``release_kept``."""
+    _KEPT.append((df.sparkSession.sparkContext.applicationId, df.persist(StorageLevel.MEMORY_AND_DISK)))
+    return df
+
+
+def release_kept(spark: SparkSession) -> None:
+    """Unpersists everything that ``kept`` holds in this application."""
+    for app, df in _KEPT:
+        if app == spark.sparkContext.applicationId:
+            df.unpersist()
+    _KEPT.clear()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "claimlens") -> SparkSession:

@@ -215,3 +215,24 @@ def test_unknown_age_keeps_its_median(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), (35, 5.0), (None, 8.0)], "usia int, biaya double")
     got = {r.age_band: (r.claims, r.median_cost) for r in OV.cost_by_age(df).collect()}
     assert got == {None: (3, 3.0), 30: (1, 5.0)}
+
+
+def test_release_leaves_nothing_persisted(spark, tmp_path):
+    """And what was fitted goes when the folder's files change."""
+    import shutil
+
+    from claimlens import queries as Q
+    from tests.conftest import SF_SMALL
+    sf = str(tmp_path)
+    for t in ("orders", "customer", "lineitem"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", sf)
+    Q.release(spark)
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    for name in ("roc_auc", "overview_cost", "split"):
+        Q.QUERIES[name](spark, sf).collect()
+    n = Q.QUERIES["features"](spark, sf).count()
+    spark.read.parquet(f"{SF_SMALL}/orders.parquet").limit(500).write.mode("overwrite").parquet(f"{sf}/new")
+    shutil.copy(next(f for f in (tmp_path / "new").iterdir() if f.suffix == ".parquet"), f"{sf}/orders.parquet")
+    assert Q.QUERIES["features"](spark, sf).count() == 500 != n
+    Q.release(spark)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
