@@ -52,7 +52,7 @@ ROUND6: dict[str, list[str]] = {
     "score_nested": ["fraud_probability", "confidence_score"],
     "score_stream": ["fraud_probability", "confidence_score"],
     "report_sink": ["fraud_probability", "confidence_score"],
-    "scan_csv": ["biaya"],
+    "scan_csv": ["biaya"], "eval_sink": ["score"],
     "knn_minority": ["dist"],
     "oversample_embeddings": ["x_first", "x_last"],
     "overview_demographics": ["avg_cost", "avg_stay"],
@@ -603,9 +603,10 @@ def q_headline(spark, sf):
 
 @query("eval_sink")
 def q_eval_sink(spark, sf):
-    r = trained(spark, sf)
-    path = SK.write_report(r.eval_scores, SK.work_dir(spark, "eval"))
-    return SK.read_report(spark, path, r.eval_scores.schema)
+    """Evaluation rows (fixed scorer) written and read back."""
+    scores = eval_set(spark, sf)
+    path = SK.write_report(scores, SK.work_dir(spark, "eval"))
+    return SK.read_report(spark, path, scores.schema)
 
 
 @query("model_roundtrip")

@@ -325,6 +325,9 @@ Q["oversample_embeddings"] = (
     "SELECT id, label, false AS is_synthetic, v[1] AS x_first, v[len(v)] AS x_last, CAST(len(v) AS INTEGER) AS dim FROM e "
     "UNION ALL SELECT id, label, true, v[1], v[len(v)], CAST(len(v) AS INTEGER) FROM syn")
 
+Q["eval_sink"] = S.features_with(SPLIT, EV) + "SELECT split, id, label, score FROM ev"
+Q["prep_roundtrip"] = S.features_with() + (
+    f"SELECT id, label, CAST({736 + 15} + (SELECT count(DISTINCT typefaskes) FROM main) AS INTEGER) AS width FROM feat")
 Q["model_roundtrip"] = S.features_with(SPLIT) + "SELECT id, true AS same FROM spl WHERE split IN ('val', 'test')"
 Q["score_roundtrip"] = W() + "SELECT id, true AS same FROM claims"
 _N = "nn AS (SELECT count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM tr)"
