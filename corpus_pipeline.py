@@ -21,29 +21,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlens.llm import decontaminate, minhash, packing, pii, toxicity
-from claimlens.llm.common import small_batches, stored, table
+from claimlens.llm.common import broadcast_if_small, small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.kept(docs, table(spark, sf_dir, "labels"))
 
 
+def ids_of(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct ids of ``rows``, stored and counted: few are sent to every executor, many are joined by sorting."""
+    ids = stored(rows.select("doc_id").distinct(), name)
+    return broadcast_if_small(ids, ids.count(), 64)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = minhash.near_duplicates(docs)
-    named = docs.where("doc_id is not null").join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = ids_of(minhash.near_duplicates(docs).where("kept"), "kept-ids")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    out = named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows_"))
+    repeated = ids_of(counts.where("n_rows_ > 1"), "repeated-ids")
+    if repeated.isEmpty():
+        return out.select(*docs.columns)
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    # ids repeat seldom; only those that do are ranked
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n_rows_")).where("n_rows_ > 1").select("doc_id")
-    single = named.join(repeated, "doc_id", "left_anti")
     ranked = named.join(repeated, "doc_id", "left_semi").withColumn("place_", one).where("place_ = 1").drop("place_")
-    nameless = docs.where("doc_id is null")
-    return single.unionByName(ranked).unionByName(nameless.dropDuplicates(["text"])).select(*docs.columns)
+    return out.join(repeated, "doc_id", "left_anti").unionByName(ranked).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    hit = decontaminate.contamination(named, benchmark).where("contaminated").select("doc_id").distinct()
+    hit = ids_of(decontaminate.contamination(named, benchmark).where("contaminated"), "contaminated-ids")
     clean = named.join(hit, "doc_id", "left_anti").select(*docs.columns)
     if nameless.isEmpty():
         return clean
