@@ -3,12 +3,14 @@
 Every stage takes the rows its predecessor kept; all but the last return the columns of ``documents``:
 
 - toxicity: rows whose text scores as toxic go; null and empty texts stay.
-- near_duplicates: of each group of near copies the row with the smallest doc_id stays; of rows that repeat that doc_id one stays.
+- near_duplicates: of each group of near copies the row with the smallest doc_id stays (null ids last, then the smallest text digest);
+  of rows that repeat both doc_id and text one stays. Wordless rows are near copies of nothing.
 - decontamination: rows with a word inside a benchmark window go; wordless rows stay.
 - personal_data: every found span of a text is replaced by its kind in brackets, n_chars is counted anew.
 - packing: the pieces of the remaining texts (doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset).
 
-Rows with a null doc_id cannot be told apart and are judged by their texts alone; of equal texts among them one row stays.
+Every row is judged by its own text, also where a doc_id repeats with other texts or is null: decisions are carried to the rows by
+doc_id (null-safe) and the text's digest.
 Empty tables give an empty result. Columns beyond those of ``documents`` pass through.
 """
 
@@ -16,9 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimlens.llm import decontaminate, minhash, packing, pii, toxicity
 from claimlens.llm.common import broadcast_if_small, small_batches, stored, table
@@ -28,35 +29,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.kept(docs, table(spark, sf_dir, "labels"))
 
 
-def ids_of(rows: DataFrame, name: str) -> DataFrame:
-    """The distinct ids of ``rows``, stored and counted: few are sent to every executor, many are joined by sorting."""
-    ids = stored(rows.select("doc_id").distinct(), name)
-    return broadcast_if_small(ids, ids.count(), 64)
+def text_digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def keys_of(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct keys of ``rows``, stored and counted: few are sent to every executor, many are joined by sorting."""
+    keys = stored(rows.distinct(), name)
+    return broadcast_if_small(keys, keys.count(), 128)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ids_of(minhash.near_duplicates(docs).where("kept"), "kept-ids")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    out = named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows_"))
-    repeated = ids_of(counts.where("n_rows_ > 1"), "repeated-ids")
+    """The operator groups rows under (null id, doc_id, whether the text is null, digest), so that each text of an id is judged by itself."""
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col("text").isNull().alias("void"), text_digest().alias("digest"))
+    keyed = docs.withColumn("key_", key)
+    judged = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    kept = keys_of(judged.where("kept").select(F.col("doc_id").alias("key_")), "kept-keys")
+    out = keyed.join(kept, "key_", "left_semi")
+    counts = judged.where("kept").groupBy(F.col("doc_id").alias("key_")).agg(F.count("*").alias("n_rows_"))
+    repeated = keys_of(counts.where("n_rows_ > 1").select("key_"), "repeated-keys")
     if repeated.isEmpty():
         return out.select(*docs.columns)
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    ranked = named.join(repeated, "doc_id", "left_semi").withColumn("place_", one).where("place_ = 1").drop("place_")
-    return out.join(repeated, "doc_id", "left_anti").unionByName(ranked).select(*docs.columns)
+    one = out.join(repeated, "key_", "left_semi").dropDuplicates(["key_"])
+    return out.join(repeated, "key_", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
-    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    hit = ids_of(decontaminate.contamination(named, benchmark).where("contaminated"), "contaminated-ids")
-    clean = named.join(hit, "doc_id", "left_anti").select(*docs.columns)
-    if nameless.isEmpty():
-        return clean
-    texts = nameless.select(F.col("text").alias("doc_id"), "text").distinct()  # the text stands for the id
-    hit = decontaminate.contamination(texts, benchmark).where("contaminated").select(F.col("doc_id").alias("hit_text_"))
-    return clean.unionByName(nameless.join(hit, F.col("text") == F.col("hit_text_"), "left_anti"))
+    judged = decontaminate.contamination(docs.select(text_digest().alias("doc_id"), "text"), benchmark)  # the digest stands for the id
+    hit = keys_of(judged.where("contaminated").select(F.col("doc_id").alias("digest_")), "contaminated-digests")
+    return docs.withColumn("digest_", text_digest()).join(hit, "digest_", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,3 +107,25 @@ def test_pipeline_on_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_judges_each_row_by_its_own_text(spark, tmp_path):
+    """Ids that repeat with different texts, and rows without an id, in the stages that drop rows by operators' verdicts."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80))
+    a, b, c, d, e, leaked = (text() for _ in range(6))
+    near = lambda t: t + " more"
+    rows = [(3, a), (5, near(a)), (5, b), (7, c), (7, d), (7, d), (None, e), (None, near(e)), (None, near(b)), (9, None), (9, ""), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    stages = dict(corpus_pipeline.STAGES)
+    got = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, SF).collect()]
+    of_e = [r for r in got if r[1] in (e, near(e))]
+    assert len(of_e) == 1  # of near copies without ids one stays
+    want = [(3, a), (5, b), (7, c), (7, d), (9, None), (9, ""), (None, None), *of_e]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    bench = spark.createDataFrame([("q1", leaked)], "item_id string, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, leaked), (1, b), (None, near(leaked)), (None, c), (2, None), (2, leaked)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    got = [(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(1, b), (None, c), (2, None)], key=str)
