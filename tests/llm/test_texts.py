@@ -253,3 +253,14 @@ def test_attention_gradients_and_windows():
         model.w[name][at] -= 2e-5
         assert abs((up - loss()) / 2e-5 - g[at]) < 1e-3 * (1 + abs(g[at])), name
         model.w[name][at] += 1e-5
+
+
+def test_all_training_windows_are_learnt_from():
+    rng = np.random.default_rng(1)
+    ids = [np.append(rng.integers(0, attention.IDS, n), attention.END) for n in (0, 1, 30, 31, 32, 34, 37, 90, 511, 2000)]
+    seeds = np.arange(len(ids)) * 5
+    got = np.concatenate([attention.training_windows(ids, seeds, r) for r in range(attention.ROUNDS)])
+    assert len(got) == sum(-(-len(x) // attention.WINDOW) for x in ids)
+    targets = collections.Counter(got[:, 1:].ravel().tolist())
+    want = collections.Counter(i for x in ids for i in x.tolist())
+    assert all(targets[i] == c for i, c in want.items() if i != attention.END) and targets[attention.END] >= len(ids)
