@@ -3,7 +3,8 @@
 1. Every task folds whole documents into hash stripes, term -> (document frequency, occurrences by source), one for each
    language and term. When a task holds ``SPILL`` entries it emits its stripes and starts afresh, so its memory is bounded.
 2. Stripes are merged by key in sorted order, streaming: first those of one term that come from the same of about
-   sqrt(shuffle partitions) groups of tasks, then the groups. So a term that every task has meets few rows in any task.
+   sqrt(shuffle partitions) groups of tasks, then the groups. So a term that every task has meets few rows in any task. Merging is
+   vectorised: a run of equal keys in sorted rows becomes one row.
 3. Merged stripes of terms in at least ``LEAST`` documents of their language are stored. Their sums by source, and the list
    of sources (empty stripes carry it, so sources without terms are listed too), give every group's totals.
 4. Merged stripes, dealt into slots of about ``SLOT`` terms by hash, emit the divergences directly: each slot adds up
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +34,8 @@ from .common import small_batches, stored
 
 LEAST = 3
 TOP = 200
-SPILL = 400_000
+SPILL = 1_000_000
+ROWS = 65_536
 SLOT = 8192
 CHUNK = 1024
 PIECE = 1 << 20
@@ -75,7 +78,7 @@ class Stripes:
     def entries(self) -> int:
         return sum(map(len, self.counts.values())) + sum(map(len, self.documents.values()))
 
-    def rows(self) -> Iterator[tuple[str, str | None, int, dict[str, int]]]:
+    def rows(self) -> Iterator[tuple[str, bytes | None, int, dict[str, int]]]:
         """(lang, term, df, occurrences by source); the row without a term lists the sources."""
         stripes: dict[str, dict[bytes, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
         sources: dict[str, dict[str, int]] = defaultdict(dict)
@@ -88,17 +91,17 @@ class Stripes:
             yield lang, None, 0, by_source
             documents = self.documents[lang]
             for term, stripe in stripes[lang].items():
-                yield lang, term.decode(), documents[term], stripe
+                yield lang, term, documents[term], stripe
 
 
-def batches_of(rows: Iterator[tuple[str, str | None, int, dict[str, int]]], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[tuple[str, bytes | None, int, dict[str, int]]], size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches of stripes."""
     lang, term, df, sources, counts, ends = [], [], [], [], [], [0]
 
     def batch() -> pa.RecordBatch:
         at = pa.array(ends, pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(df, pa.int64()),
+            [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(df, pa.int64()),
              pa.ListArray.from_arrays(at, pa.array(sources, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))],
             names=["lang", "term", "df", "sources", "counts"])
 
@@ -129,27 +132,58 @@ def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches_of(stripes.rows())
 
 
+def combined(rows: pa.Table, keys: list[str]) -> pa.RecordBatch:
+    """One stripe for each run of equal keys in sorted stripes."""
+    lang, term, df, sources, counts = (rows[f].combine_chunks() for f in ("lang", "term", "df", "sources", "counts"))
+    first = np.zeros(len(lang), bool)
+    first[:1] = True
+    for name in keys:
+        key = rows[name].combine_chunks()
+        key = key.fill_null("\0") if name == "term" else key  # no term holds that character
+        first[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(first)
+    sizes = pc.list_value_length(sources).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.cumsum(first) - 1, sizes)
+    names = sources.flatten().dictionary_encode()
+    cell = row * max(1, len(names.dictionary)) + names.indices.to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts.flatten().to_numpy()[order], new) if len(new) else np.zeros(0, np.int64)
+    ends = pa.array(np.searchsorted(row[order][new], np.arange(len(at) + 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [lang.take(pa.array(at)), term.take(pa.array(at)), pa.array(np.add.reduceat(df.to_numpy(), at)),
+         pa.ListArray.from_arrays(ends, names.dictionary.take(names.indices.take(pa.array(order[new])))), pa.ListArray.from_arrays(ends, pa.array(total))],
+        names=["lang", "term", "df", "sources", "counts"])
+
+
 def merged(stripes: DataFrame, keys: list[str]) -> DataFrame:
-    """One stripe for each key, from rows sorted by it; Spark's sort spills, the merge holds one key."""
+    """One stripe for each key, from rows sorted by it; Spark's sort spills, the merge holds ``ROWS`` rows."""
     rows = stripes.repartition(*keys).sortWithinPartitions(*keys)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple[str, str | None, int, dict[str, int]]]:
-            at, df, total = None, 0, {}
-            for batch in batches:
-                cols = {f.name: batch.column(k).to_pylist() for k, f in enumerate(batch.schema)}
-                for key, n, sources, counts in zip(zip(*(cols[k] for k in keys), strict=True), cols["df"], cols["sources"], cols["counts"], strict=True):
-                    if key != at:
-                        if at is not None:
-                            yield at[0], at[1], df, total
-                        at, df, total = key, n, dict(zip(sources, counts, strict=True))
-                        continue
-                    df += n
-                    for source, c in zip(sources, counts, strict=True):
-                        total[source] = total.get(source, 0) + c
-            if at is not None:
-                yield at[0], at[1], df, total
-        yield from batches_of(stream())
+        held: list[pa.RecordBatch] = []
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            """What the held rows make; the last key stays, as one row, while more rows may follow."""
+            table = pa.Table.from_batches(held)
+            held.clear()
+            out = combined(table, keys)
+            if last:
+                yield out
+                return
+            yield out.slice(0, out.num_rows - 1)
+            rest, end = out.slice(out.num_rows - 1), table.slice(table.num_rows - 1).to_batches()[0]
+            held.append(pa.RecordBatch.from_arrays([rest.column(f) if f in rest.schema.names else end.column(f) for f in table.schema.names],
+                                                   schema=table.schema))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                yield from done(False)
+        if held:
+            yield from done(True)
 
     return rows.mapInArrow(merge, STRIPE)
 
@@ -202,7 +236,7 @@ def or_blank(name: str) -> Column:
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: see the top."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salts = int(np.ceil(partitions**0.5))
     spilled = docs.select(or_blank("lang"), or_blank("source"), or_blank("text")).mapInArrow(folded, STRIPE)

@@ -63,7 +63,7 @@ def test_audit_by_plain_python(spark, rows):
 
 
 def test_spills_slots_and_pieces_change_nothing(spark, rows, monkeypatch):
-    for name, value in (("SPILL", 50), ("SLOT", 20), ("CHUNK", 7), ("PIECE", 100), ("TOP", 5)):
+    for name, value in (("SPILL", 50), ("ROWS", 3), ("SLOT", 20), ("CHUNK", 7), ("PIECE", 100), ("TOP", 5)):
         monkeypatch.setattr(divergence, name, value)
     assert got(frame(spark, rows[:125])) == audited(rows[:125], 5)
 
