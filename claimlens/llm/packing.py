@@ -5,9 +5,9 @@ powers of two of its length's binary form, whole ``max_tokens`` first. Each piec
 sequence crosses documents and none needs padding; ``bucket`` (the exponent) groups pieces of equal length, and
 ``write_buckets`` stores them by it, so that a batch is made of sequences of one length.
 
-Tokens come from the library's tokenizer, run once for each distinct run of non-white characters that a Python worker
-meets: the tokenizer drops ASCII white space and never joins characters across it, so a text's ids are its runs' ids in
-a row (tests compare with whole texts). The memory of runs is bounded. Nothing is shuffled.
+Tokens come from the library's tokenizer, run once for each distinct run of non-white characters that a task
+meets (as far as memory of a fixed size holds them): the tokenizer drops ASCII white space and never joins characters across it, so a text's ids are its runs' ids in
+a row (tests compare with whole texts). Nothing is shuffled.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1. Repeated rows and null ids are packed
 like any other row. Other columns are not read. sequence_id numbers the pieces by partition and place.
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import small_batches
+
 MAX_TOKENS = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-KNOWN_RUNS = 600_000
+KNOWN_BYTES = 32 << 20
+ENTRY_BYTES = 200  # a dictionary entry and the heads of its two objects
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿĀ-įıĲ-ſ]+")
 
 
@@ -42,20 +45,34 @@ def byte_letters() -> dict[int, str]:
     return {c: chr(c) for c in plain} | {c: chr(256 + k) for k, c in enumerate(other)}
 
 
+@lru_cache(1)
+def tokenizer(path: str) -> Tokenizer:
+    """One for each Python worker; its size is fixed."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 class RunTokens:
     """Ids (little-endian unsigned 32-bit) of texts by their runs of non-white characters.
 
     A run that is one word and closing marks is looked up as two parts, since the tokenizer never joins a letter and
     a mark. A word of Latin letters goes to the tokenizer's model at once: lower-casing and the byte alphabet are all that
-    its other steps would do. The ids of the first ``KNOWN_RUNS`` runs and parts met are kept, later ones for a batch.
+    its other steps would do. The ids of the first runs and parts met are kept, up to ``KNOWN_BYTES``, later ones for a batch. A task
+    makes its own object, so what it keeps goes with it.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
+        self.room = KNOWN_BYTES
+
+    def fits(self, key: str | bytes, ids: bytes) -> bool:
+        """Whether one more entry may be kept; takes its room."""
+        self.room -= len(key) + len(ids) + ENTRY_BYTES
+        return self.room >= 0
 
     def part(self, part: str, fresh: dict[str, bytes]) -> bytes:
         ids = self.parts.get(part) or fresh.get(part)
@@ -65,7 +82,7 @@ class RunTokens:
                 ids = array("I", [t.id for t in tokens]).tobytes()
             else:
                 ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-            (self.parts if len(self.parts) < KNOWN_RUNS else fresh)[part] = ids
+            (self.parts if self.fits(part, ids) else fresh)[part] = ids
         return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -84,19 +101,12 @@ class RunTokens:
                     ids = self.part(word, fresh) + self.part(text[len(word):], fresh)
                 else:
                     ids = self.part(text, fresh)
-                if len(self.known) < KNOWN_RUNS:
+                if self.fits(run, ids):
                     self.known[run] = ids
             local[run] = ids
         return [b"".join(map(local.__getitem__, s)) for s in split]
 
 
-@lru_cache(1)
-def run_tokens(path: str) -> RunTokens:
-    """One for each Python worker; its runs serve all tasks that the worker gets."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return RunTokens(path)
-
-
 def pieces(n: int, max_tokens: int = MAX_TOKENS) -> list[int]:
     """Lengths of the pieces of n tokens, longest first."""
     return [max_tokens] * (n // max_tokens) + [1 << k for k in range(max_tokens.bit_length() - 1, -1, -1) if n % max_tokens >> k & 1]
@@ -111,7 +121,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
                            T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = run_tokens(path)
+        tokens = RunTokens(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -127,6 +137,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
                     [part.column(0).take(pa.array(at)), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(raw, pa.binary()), pa.array(total, pa.int64())], names=schema.names)
 
+    small_batches(docs.sparkSession)
     out = docs.select("doc_id", "text").mapInArrow(run, schema)
     return out.select("*", F.round(F.log2("length")).cast("int").alias("bucket"),
                       F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
