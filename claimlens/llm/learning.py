@@ -16,9 +16,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """text, label (0 or 1) of training rows: at most ``bound`` ids of each label value, in the order of a hash of the id.
+    """doc_id, text, label (0 or 1) of training rows: at most ``bound`` of each label value, in the order of a hash of the id.
 
-    Rows with a null id or label, or a label other than 0 and 1, are not used; of labels that contradict each other for one id the larger holds.
+    Of rows that repeat an id one is used, that with the smallest text hash; so the sample is bounded in rows. Rows with a null id or label, or a label other than 0 and 1, are not used; of labels that contradict each other for one id the larger holds.
     """
     known = labels.where(f"doc_id is not null and {label} in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -26,7 +26,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -
     picked = [known.where(F.col("label") == v).orderBy(order, "doc_id").limit(bound) for v in (0, 1)]
     picked = picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "picked_id")
     # at most 2 * bound ids: a broadcast of bounded size
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id"))
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    return one.select("doc_id", "r.text", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
