@@ -145,12 +145,13 @@ def figures(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     return float(np.log1p(total)), best, 100.0 * total / max(20, len(words))
 
 
-def _hash(words: list[str]) -> int:
-    return min(int.from_bytes(md5(" ".join(words[k:k + 5]).encode()).digest()[:7], "little") for k in range(max(1, len(words) - 4)))
+def shingle_digest(words: list[str]) -> bytes:
+    """The same for texts with the same set of five-word shingles."""
+    return md5("\n".join(sorted({" ".join(words[k:k + 5]) for k in range(max(1, len(words) - 4))})).encode()).digest()
 
 
 def beginnings(sample: DataFrame) -> DataFrame:
-    """copy (the text's smallest shingle hash), label, features: the words and beginnings of each sampled text."""
+    """copy (digest of the text's set of shingles), label, features: the words and beginnings of each sampled text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,17 +159,17 @@ def beginnings(sample: DataFrame) -> DataFrame:
             for t in batch.column(0):
                 words = WORDS.findall((t.as_py() or "").lower())
                 distinct = set(words)
-                copies.append(_hash(words))
+                copies.append(shingle_digest(words))
                 features.append([f"={w}" for w in distinct] + list({w[:n] for w in distinct for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}))
-            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), batch.column(1), pa.array(features, pa.list_(pa.string()))],
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.binary()), batch.column(1), pa.array(features, pa.list_(pa.string()))],
                                              names=["copy", "label", "features"])
 
-    return sample.select("text", "label").mapInArrow(run, "copy long, label int, features array<string>")
+    return sample.select("text", "label").mapInArrow(run, "copy binary, label int, features array<string>")
 
 
 def learned(sample: DataFrame) -> Lexicon:
     """Seeds, and the words and beginnings that mark the toxic texts of the sample; at most 1 / LEAST_SHARE * a text's words."""
-    rows = stored(beginnings(sample).dropDuplicates(["copy", "label"]), "beginnings")
+    rows = stored(beginnings(sample).dropDuplicates(["copy", "label"]), "beginnings")  # equal shingles, so equal features: any row will do
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
