@@ -95,7 +95,9 @@ def longest_rules(targets: DataFrame, rules: DataFrame) -> DataFrame:
                 F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     )
     order = Window.partitionBy("rhost", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = dealt.unionByName(copied).withColumn("state", F.last("state", ignorenulls=True).over(order))
+    # rows lie by rhost already, which would do for the window: only an exchange by both columns spreads a hot domain
+    events = dealt.unionByName(copied).repartition("rhost", "salt")
+    swept = events.withColumn("state", F.last("state", ignorenulls=True).over(order))
     return (
         swept.where("kind = 1 and state.rule is not null")
         .groupBy("host", "path").agg(F.max("state.rule").alias("best"))
