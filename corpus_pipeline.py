@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import decontaminate, minhash, packing, pii, toxicity
-from claimlens.llm.common import broadcast_if_small, small_batches, stored, table
+from claimlens.llm.common import broadcast_if_small, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def text_digest() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def keys_of(rows: DataFrame, name: str) -> DataFrame:
     """The distinct keys of ``rows``, stored and counted: few are sent to every executor, many are joined by sorting."""
     keys = stored(rows.distinct(), name)
@@ -42,32 +49,32 @@ def keys_of(rows: DataFrame, name: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The operator groups rows under (null id, doc_id, whether the text is null, digest), so that each text of an id is judged by itself."""
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col("text").isNull().alias("void"), text_digest().alias("digest"))
-    keyed = docs.withColumn("key_", key)
+    at = unused(docs, "key_")
+    keyed = docs.withColumn(at, key)
     judged = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    kept = keys_of(judged.where("kept").select(F.col("doc_id").alias("key_")), "kept-keys")
-    out = keyed.join(kept, "key_", "left_semi")
-    counts = judged.where("kept").groupBy(F.col("doc_id").alias("key_")).agg(F.count("*").alias("n_rows_"))
-    repeated = keys_of(counts.where("n_rows_ > 1").select("key_"), "repeated-keys")
+    kept = keys_of(judged.where("kept").select(F.col("doc_id").alias(at)), "kept-keys")
+    out = keyed.join(kept, at, "left_semi")
+    counts = judged.where("kept").groupBy(F.col("doc_id").alias(at)).agg(F.count("*").alias("n_rows_"))
+    repeated = keys_of(counts.where("n_rows_ > 1").select(at), "repeated-keys")
     if repeated.isEmpty():
         return out.select(*docs.columns)
-    one = out.join(repeated, "key_", "left_semi").dropDuplicates(["key_"])
-    return out.join(repeated, "key_", "left_anti").unionByName(one).select(*docs.columns)
+    one = out.join(repeated, at, "left_semi").dropDuplicates([at])
+    return out.join(repeated, at, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
+    at = unused(docs, "digest_")
     judged = decontaminate.contamination(docs.select(text_digest().alias("doc_id"), "text"), benchmark)  # the digest stands for the id
-    hit = keys_of(judged.where("contaminated").select(F.col("doc_id").alias("digest_")), "contaminated-digests")
-    return docs.withColumn("digest_", text_digest()).join(hit, "digest_", "left_anti").select(*docs.columns)
+    hit = keys_of(judged.where("contaminated").select(F.col("doc_id").alias(at)), "contaminated-digests")
+    return docs.withColumn(at, text_digest()).join(hit, at, "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.packed(docs)
 
 
