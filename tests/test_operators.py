@@ -225,14 +225,14 @@ def test_release_leaves_nothing_persisted(spark, tmp_path):
     from tests.conftest import SF_SMALL
     sf = str(tmp_path)
     for t in ("orders", "customer", "lineitem"):
-        shutil.copy(f"{SF_SMALL}/{t}.parquet", sf)
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", f"{sf}/{t}.parquet")
     Q.release(spark)
     before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
     for name in ("roc_auc", "overview_cost", "split"):
         Q.QUERIES[name](spark, sf).collect()
     n = Q.QUERIES["features"](spark, sf).count()
     spark.read.parquet(f"{SF_SMALL}/orders.parquet").limit(500).write.mode("overwrite").parquet(f"{sf}/new")
-    shutil.copy(next(f for f in (tmp_path / "new").iterdir() if f.suffix == ".parquet"), f"{sf}/orders.parquet")
+    shutil.copyfile(next(f for f in (tmp_path / "new").iterdir() if f.suffix == ".parquet"), f"{sf}/orders.parquet")
     assert Q.QUERIES["features"](spark, sf).count() == 500 != n
     Q.release(spark)
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
