@@ -119,6 +119,9 @@ GBT_LEARNING_RATE = 0.05377367769556463
 GBT_MAX_DEPTH = 64
 GBT_COLSAMPLE = 0.5
 GBT_EARLY_STOP = 100
+GBT_ALPHA = 1.8796306666826916
+GBT_LAMBDA = 0.01
+GBT_MIN_LEAF_WEIGHT = 1.0
 EVAL_SUBSAMPLE = 10000
 CURVE_POINTS = 50
 # risk reasons: cost, stay, secondary diagnoses, procedures (strictly greater)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
@@ -90,8 +90,20 @@ def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame, median: str = "exac
     # cached copy of every claim); the joined diagnosis parts are kept, since
     # rebuilding them means re-shuffling the diagnosis table
     main = clean_main(claims)
-    mode_cols = [c for c in K.MODE_COLUMNS if c in main.columns]
     j = joined_diag(main.select("id"), diag).persist(StorageLevel.MEMORY_AND_DISK)
+    params = fit_parts(main, j, median)
+    j.unpersist()
+    return params
+
+
+def fit_rows(rows: DataFrame, median: str = "exact") -> FeatureParams:
+    """``fit`` on claim rows that carry ``CHILD_COLUMNS``."""
+    return fit_parts(clean_main(rows), rows, median)
+
+
+def fit_parts(main: DataFrame, j: DataFrame, median: str) -> FeatureParams:
+    """Fitted values from cleaned claims and, row by row, their diagnosis figures."""
+    mode_cols = [c for c in K.MODE_COLUMNS if c in main.columns]
     long_modes = stack(main, mode_cols + list(K.OPEN_CAT_COLUMNS), cast="string").unionByName(
         stack(j, ["diagfkrtl_letter"], cast="string"))
     vc = value_counts(long_modes).persist(StorageLevel.MEMORY_AND_DISK)
@@ -101,8 +113,7 @@ def fit(claims: DataFrame, diag: DataFrame, proc: DataFrame, median: str = "exac
         stack(j, ["diagfkrtl_num", "diagfkrtl_sekunder_counts"], cast="double", value="x"))
     med_fn = exact_medians if median == "exact" else approx_medians
     med = collect_params(med_fn(long_med), "median")
-    for df in (vc, j):
-        df.unpersist()
+    vc.unpersist()
     return FeatureParams(
         modes={c: m.get(c) for c in mode_cols},
         medians={c: med.get(c) for c in K.MEDIAN_COLUMNS},
@@ -122,14 +133,54 @@ def transform(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: Featu
     return transform_with_children(claims, diag_parts(diag), proc_table(proc), params)
 
 
+CHILD_COLUMNS = ("diagfkrtl_letter", "diagfkrtl_num", "diagfkrtl_sekunder_counts", "proc_count")
+
+
+def with_child_tables(claims: DataFrame, dparts: DataFrame, pcounts: DataFrame) -> DataFrame:
+    """Claims with ``CHILD_COLUMNS`` from the per-claim child aggregates (id-unique tables); null where a claim has none."""
+    return claims.join(dparts, "id", "left").join(pcounts, "id", "left")
+
+
+def with_child_lists(nested: DataFrame) -> DataFrame:
+    """The same from claims that carry their children in lists: expressions over one row, no explode, no join, no shuffle.
+
+    ``diagnoses`` array<struct<diag, levelid>> and ``procedures`` array<string>, the latter two dropped. List position is the row order: of
+    equal rows the first counts, and the primary code is the last distinct one of level 1. A null entry is no row, a missing level is 1, a
+    missing code is empty text; claims without a primary code get null figures, as in the tables."""
+    rows = F.transform(F.filter("diagnoses", lambda d: d.isNotNull()), lambda d: F.struct(
+        F.coalesce(d["diag"], F.lit("")).alias("diag"), F.coalesce(d["levelid"].cast("int"), F.lit(1)).alias("levelid")))
+
+    def codes(level: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(rows, lambda d: d["levelid"] == level), lambda d: d["diag"]))
+
+    df = nested.withColumns({"_primary": codes(1), "_secondary": codes(2)})
+    primary = clean_diag(F.get("_primary", F.size("_primary") - 1))
+    has = F.size("_primary") > 0
+    return df.withColumns({
+        "diagfkrtl_letter": F.when(has, code_letter(primary)),
+        "diagfkrtl_num": F.when(has, code_number(primary).cast("double")),
+        "diagfkrtl_sekunder_counts": F.when(has, F.size("_secondary").cast("bigint")),
+        "proc_count": F.when(F.size("procedures") > 0, F.size(F.array_distinct("procedures")).cast("bigint")),
+    }).drop("_primary", "_secondary", "diagnoses", "procedures")
+
+
 def transform_with_children(claims: DataFrame, dparts: DataFrame, pcounts: DataFrame,
                             params: FeatureParams) -> DataFrame:
     """Structural pass given the per-claim child aggregates (id-unique tables)."""
-    main = clean_main(claims)
+    return transform_rows(with_child_tables(claims, dparts, pcounts), params)
+
+
+def transform_nested(nested: DataFrame, params: FeatureParams, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Structural pass of claims that carry their children; a narrow projection, so it runs on streams without state."""
+    return transform_rows(with_child_lists(nested), params, keep)
+
+
+def transform_rows(rows: DataFrame, params: FeatureParams, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Structural pass of claim rows with ``CHILD_COLUMNS``: a projection of one row each. ``keep``: other columns to pass on."""
+    main = clean_main(rows)
     main = fill(main, params.modes)
     main = fill(main, params.medians, cast={"biaya": "double"})
     df = engineer(main)
-    df = df.join(dparts, "id", "left")
     df = fill(df, {"diagfkrtl_letter": params.diag_letter_mode,
                    "diagfkrtl_num": params.diag_num_median,
                    "diagfkrtl_sekunder_counts": params.secondary_median},
@@ -141,14 +192,13 @@ def transform_with_children(claims: DataFrame, dparts: DataFrame, pcounts: DataF
         "diagfktp_icd10": icd_chapter(tp_letter, tp_num),
         "diagfkrtl_icd10": icd_chapter(F.col("diagfkrtl_letter"), rt_num),
         "diagfkrtl_sekunder_counts": F.col("diagfkrtl_sekunder_counts").cast("bigint"),
+        "proc_count": F.coalesce(F.col("proc_count"), F.lit(0)).cast("bigint"),
     }).drop("diagfktp", "diagfkrtl_letter", "diagfkrtl_num")
-    df = df.join(pcounts, "id", "left") \
-        .withColumn("proc_count", F.coalesce(F.col("proc_count"), F.lit(0)).cast("bigint"))
     if "label" in df.columns:
         df = df.withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(0)))
     else:
         df = df.withColumn("label", F.lit(0))
-    return df.select(*[c for c in FEATURE_COLUMNS if c in df.columns])
+    return df.select(*[c for c in FEATURE_COLUMNS if c in df.columns], *keep)
 
 
 def build(claims: DataFrame, diag: DataFrame, proc: DataFrame,

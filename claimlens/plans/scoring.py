@@ -1,13 +1,12 @@
 """Batch and nested-claim scoring.
 
 ``score`` takes a feature table and any probability column producer (a fixed
-logistic formula for checks and demos, or a trained MLlib model) and adds the
-decision and the confidence, all as column expressions keyed by ``id``.
+logistic formula for checks and demos) and adds the decision and the confidence, all as column
+expressions keyed by ``id``. Trained models score through ``plans.artefact``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +51,12 @@ def fixed_logit(df: DataFrame | None = None) -> Column:
 
 
 def score(features: DataFrame, prob: Column | None = None,
-          threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
+          threshold: float = K.DEFAULT_THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     p = prob if prob is not None else fixed_logit(features)
     out = features.withColumn("fraud_probability", p)
     return out.select("id", "fraud_probability",
                       decide(F.col("fraud_probability"), threshold).alias("is_fraud"),
-                      confidence(F.col("fraud_probability"), threshold).alias("confidence_score"))
+                      confidence(F.col("fraud_probability"), threshold).alias("confidence_score"), *keep)
 
 
 def score_batch(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: FE.FeatureParams,
@@ -85,24 +84,16 @@ def with_raw_figures(scored: DataFrame, claims: DataFrame, counts: DataFrame) ->
     return scored.join(raw, "id").join(counts, "id")
 
 
-_FIGURES = ("cost", "stay", "n_secondary", "n_procedures")
+FIGURES = ("cost", "stay", "n_secondary", "n_procedures")
 
 
 def reasons(scored: DataFrame) -> DataFrame:
     """Risk reasons per claim from its raw cost, stay and child counts."""
-    return scored.select("id", "is_fraud", reason_codes(*map(F.col, _FIGURES)).alias("reasons"))
+    return scored.select("id", "is_fraud", reason_codes(*map(F.col, FIGURES)).alias("reasons"))
 
 
 def explain(scored: DataFrame) -> DataFrame:
-    return scored.select("id", "is_fraud", explanation(F.col("fraud_probability"), F.col("is_fraud"), *map(F.col, _FIGURES)).alias("explanation"))
-
-
-def score_batch_model(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: FE.FeatureParams,
-                      encoder, model, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
-    """``score_batch`` with a trained encoder and model: missing tokens, structural pass, encoding, probability of label 1."""
-    feats = FE.transform(null_token_columns(claims), diag, proc, params)
-    p = vector_to_array(F.col("probability"))[1]
-    return score(model.transform(encoder.transform(feats)), p, threshold)
+    return scored.select("id", "is_fraud", explanation(F.col("fraud_probability"), F.col("is_fraud"), *map(F.col, FIGURES)).alias("explanation"))
 
 
 # --- nested claims -------------------------------------------------------------
@@ -110,40 +101,48 @@ def score_batch_model(claims: DataFrame, diag: DataFrame, proc: DataFrame, param
 #   claim columns..., diagnoses array<struct<diag:string, levelid:int>>, procedures array<string>
 
 def flatten_nested(nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nested claims -> (claims, diagnoses, procedures) with ``explode``.
+    """Nested claims -> (claims, diagnoses, procedures), for storing them as tables; scoring needs no such detour.
 
-    A missing ``levelid`` means primary (1) and a missing code is empty text;
-    list position is the row order of the diagnoses."""
-    claim_cols = [c for c in nested.columns if c not in ("diagnoses", "procedures")]
-    claims = nested.select(*claim_cols)
+    A missing ``levelid`` means primary (1) and a missing code is empty text; list position is the row order of the diagnoses."""
+    claims = nested.select(*[c for c in nested.columns if c not in ("diagnoses", "procedures")])
     d = nested.select("id", F.posexplode_outer("diagnoses").alias("ord", "d")).where(F.col("d").isNotNull())
     diags = d.select("id", F.coalesce(F.col("d.diag"), F.lit("")).alias("diag"),
                      F.coalesce(F.col("d.levelid").cast("int"), F.lit(1)).alias("levelid"),
                      F.col("ord").cast("long").alias("ord"))
-    procs = nested.select("id", F.explode("procedures").alias("proc"))
-    return claims, diags, procs
+    return claims, diags, nested.select("id", F.explode("procedures").alias("proc"))
+
+
+def nested_figures() -> dict[str, Column]:
+    """What explanations quote, from the row itself: raw cost and stay (0 if missing), lists as given (not de-duplicated; null counts 0)."""
+    def level(d: Column) -> Column:
+        return F.coalesce(d["levelid"].cast("int"), F.lit(1))
+    return {
+        "cost": F.coalesce(F.col("biaya").cast("double"), F.lit(0.0)),
+        "stay": F.coalesce(stay_days("tgldatang", "tglpulang"), F.lit(0)),
+        "n_secondary": F.coalesce(F.size(F.filter("diagnoses", lambda d: level(d) == 2)), F.lit(0)),
+        "n_procedures": F.coalesce(F.size("procedures"), F.lit(0)),
+        "primary_diag": F.coalesce(F.get(F.filter("diagnoses", lambda d: level(d) == 1), F.lit(0))["diag"], F.lit("")),
+    }
 
 
 def nested_counts(nested: DataFrame) -> DataFrame:
-    """Raw list counts used by explanations: secondary diagnoses, procedures,
-    first primary code (lists as given, not de-duplicated); a null list counts 0."""
-    lvl = lambda d: F.coalesce(d["levelid"].cast("int"), F.lit(1))
-    prim = F.filter("diagnoses", lambda d: lvl(d) == 1)
-    return nested.select(
-        "id",
-        F.coalesce(F.size(F.filter("diagnoses", lambda d: lvl(d) == 2)), F.lit(0)).alias("n_secondary"),
-        F.coalesce(F.size("procedures"), F.lit(0)).alias("n_procedures"),
-        F.coalesce(F.get(prim, F.lit(0))["diag"], F.lit("")).alias("primary_diag"))
+    """Secondary diagnoses, procedures and first primary code of each claim's lists."""
+    figures = nested_figures()
+    return nested.select("id", *[figures[c].alias(c) for c in ("n_secondary", "n_procedures", "primary_diag")])
 
 
-def score_nested(nested: DataFrame, params: FE.FeatureParams,
-                 threshold: float = K.DEFAULT_THRESHOLD, model_name: str = "fixed-logit") -> DataFrame:
-    """Scored nested claims with explanation and model info."""
-    claims, diags, procs = flatten_nested(nested)
-    scored = score_batch(claims, diags, procs, params, threshold)
-    j = with_raw_figures(scored, nested, nested_counts(nested))
-    return j.select(
+def explained(scored: DataFrame, model_name: str, threshold: float) -> DataFrame:
+    """Scored rows that carry ``FIGURES`` -> the answer to a single claim, with explanation and model info."""
+    return scored.select(
         "id", "is_fraud", "fraud_probability", "confidence_score",
-        explanation(F.col("fraud_probability"), F.col("is_fraud"), *map(F.col, _FIGURES)).alias("explanation"),
+        explanation(F.col("fraud_probability"), F.col("is_fraud"), *map(F.col, FIGURES)).alias("explanation"),
         F.struct(F.lit(model_name).alias("name"), F.lit("1.0.0").alias("version"),
                  F.lit(threshold).alias("threshold")).alias("model_info"))
+
+
+def score_nested(nested: DataFrame, params: FE.FeatureParams,
+                 threshold: float = K.DEFAULT_THRESHOLD, model_name: str = "fixed-logit") -> DataFrame:
+    """Scored nested claims with explanation and model info: one projection of each row, in batch or as a stream."""
+    raw = nested.withColumns({c: x for c, x in nested_figures().items() if c in FIGURES})
+    feats = FE.transform_nested(null_token_columns(raw), params, keep=FIGURES)
+    return explained(score(feats, threshold=threshold, keep=FIGURES), model_name, threshold)

@@ -1,23 +1,20 @@
 """Training: encode -> split -> over-sample -> under-sample -> boosted trees -> evaluation.
 
-MLlib's ``GBTClassifier`` grows the trees; the positive class is weighted by
-1 / under-sampling ratio. Per-round scores come from the fitted trees (margin =
-sum of weight * tree, p = 1 / (1 + exp(-2 * margin))). All rounds are fitted,
-the best one is chosen on the mean validation logloss with the patience rule,
-and the model is cut to it, so that what is saved scores like what was
-evaluated. MLlib caps tree depth at 30 and has no L1/L2 leaf penalties, so
-trees differ from the reference's; metrics are compared, not trees.
+``plans.boosting`` grows the trees round by round and stops by patience on the mean, unweighted
+validation logloss; the positive class is weighted by 1 / under-sampling ratio. MLlib caps tree depth
+at 30 and bins features, so trees differ from the reference's; metrics are compared, not trees.
+Curves over rounds come from one array of running scores in each row.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
@@ -25,6 +22,8 @@ from claimlens.operators import encoding as EN
 from claimlens.operators import metrics as ME
 from claimlens.operators import neighbors as NB
 from claimlens.operators import sampling as SA
+from claimlens.plans import boosting as BO
+from claimlens.plans.trees import BoostedTreesModel, logistic, margin_arrays
 
 MLLIB_MAX_DEPTH = 30
 
@@ -34,25 +33,32 @@ class TrainConfig:
     max_iter: int = K.GBT_ROUNDS
     max_depth: int = MLLIB_MAX_DEPTH
     step_size: float = K.GBT_LEARNING_RATE
-    feature_subset: str = str(K.GBT_COLSAMPLE)
+    column_share: float = K.GBT_COLSAMPLE
     oversample_k: int = K.OVERSAMPLE_K
     oversample_ratio: float = K.OVERSAMPLE_RATIO
     undersample_ratio: float = K.UNDERSAMPLE_RATIO
     threshold: float = K.DEFAULT_THRESHOLD
     early_stop_rounds: int = K.GBT_EARLY_STOP
+    alpha: float = K.GBT_ALPHA
+    reg_lambda: float = K.GBT_LAMBDA
     max_bins: int = 32
     seed: int = K.SEED
 
+    def boosting(self) -> BO.BoostConfig:
+        return BO.BoostConfig(self.max_iter, self.max_depth, self.step_size, self.column_share, self.early_stop_rounds, self.alpha,
+                              self.reg_lambda, max_bins=self.max_bins, seed=self.seed)
+
 
 @dataclass
 class TrainResult:
-    model: GBTClassificationModel
+    model: BoostedTreesModel
     encoder: object
     num_features: int
     eval_scores: DataFrame      # (split, id, label, score) for val and test
-    train_rows: DataFrame       # (id, label, features, w) after rebalancing
     best_iteration: int = 0
     val_loss: list | None = None
+    train_loss: list | None = None
+    fitted: int = 0             # rounds fitted; at most best_iteration + early_stop_rounds
 
 
 def positive_weight(cfg: TrainConfig) -> float:
@@ -67,52 +73,37 @@ def prepare(features: DataFrame, facility_vocab: list[str], cfg: TrainConfig):
 
 
 def rebalanced(train_rows: DataFrame, cfg: TrainConfig) -> DataFrame:
-    """id, label, features: synthetic minority rows up to the over-sampling ratio, then the majority cut to the other ratio."""
+    """id, label, features: synthetic minority rows up to the over-sampling ratio, then the majority cut to the other ratio.
+
+    The over-sampled rows are checkpointed, since cutting the majority reads them several times."""
     rows = train_rows.select("id", "label", vector_to_array("features").alias("vec"))
     more = NB.oversample(rows, cfg.oversample_k, cfg.oversample_ratio, seed=cfg.seed)
-    kept = SA.undersample(more, ratio=cfg.undersample_ratio, seed=cfg.seed)
-    return kept.select("id", "label", array_to_vector("vec").alias("features"))
-
-
-def with_weight(df: DataFrame, cfg: TrainConfig) -> DataFrame:
-    return df.withColumn("w", F.when(F.col("label") == 1, F.lit(positive_weight(cfg))).otherwise(F.lit(1.0)))
+    more = more.select("id", "label", array_to_vector("vec").alias("features")).checkpoint()
+    return SA.undersample(more, ratio=cfg.undersample_ratio, seed=cfg.seed).select("id", "label", "features")
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """1-based round with the lowest validation loss, scanning until ``patience``
-    rounds pass without improvement (the boosting-with-early-stopping rule)."""
-    best, best_i = float("inf"), 0
-    for i, v in enumerate(losses):
-        if v < best:
-            best, best_i = v, i
-        elif i - best_i >= patience:
-            break
-    return best_i + 1
+def train_encoded(encoded: DataFrame, cfg: TrainConfig) -> BO.BoostResult:
+    """``encoded``: id, label, features, and ``split`` unless it is to be made here."""
+    if cfg.max_depth > MLLIB_MAX_DEPTH:
+        raise ValueError(f"max_depth {cfg.max_depth}: trees grow to {MLLIB_MAX_DEPTH} levels at most")
+    rows = encoded if "split" in encoded.columns else SA.stratified_split(encoded, seed=cfg.seed)
+    first = rows.select("features").first()
+    if first is None:
+        raise ValueError("no rows to train on")
+    positive = F.when(F.col("label") == 1, F.lit(positive_weight(cfg))).otherwise(F.lit(1.0))
+    grow = rebalanced(rows.where("split = 'train'"), cfg).select(F.lit(BO.FIT).alias("part"), "label", positive.alias("w"), "features")
+    watch = rows.where("split in ('train', 'val')").select(F.col("split").alias("part"), "label", F.lit(1.0).alias("w"), "features")
+    return BO.fit(grow.unionByName(watch), len(first["features"]), cfg.boosting())
 
 
 def train(features: DataFrame, facility_vocab: list[str], cfg: TrainConfig | None = None) -> TrainResult:
-    """Fit on the rebalanced training split; pick the best round on validation logloss;
-    score validation and test rows with the trees up to that round."""
+    """Fit on the rebalanced training split, stop on validation logloss, score validation and test rows."""
     cfg = cfg or TrainConfig()
-    if cfg.max_depth > MLLIB_MAX_DEPTH:
-        raise ValueError(f"max_depth {cfg.max_depth}: trees grow to {MLLIB_MAX_DEPTH} levels at most")
     encoder, enc = prepare(features, facility_vocab, cfg)
-    train_rows = with_weight(rebalanced(enc.where(F.col("split") == "train"), cfg), cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w",
-                        maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
-                        stepSize=cfg.step_size, featureSubsetStrategy=cfg.feature_subset,
-                        maxBins=cfg.max_bins, seed=cfg.seed)
-    model = gbt.fit(train_rows)
-    val_loss = [r["loss"] for r in round_loss(model, enc.where(F.col("split") == "val")).orderBy("iteration").collect()]
-    best = best_round(val_loss, cfg.early_stop_rounds)
-    if best < model.getNumTrees:  # the same seed grows the same first trees
-        model = gbt.setMaxIter(best).fit(train_rows)
-    train_rows.unpersist()
-    ev = enc.where(F.col("split").isin("val", "test"))
-    scores = (partial_scores(model, ev.select("split", "id", "label", "features"), F.array(F.lit(best)))
-              .select("split", "id", "label", "score"))
+    r = train_encoded(enc, cfg)
+    scores = r.model.transform(enc.where("split in ('val', 'test')")).select("split", "id", "label", F.col("probability").alias("score"))
     num_features = len(enc.select("features").first()[0])
-    return TrainResult(model, encoder, num_features, scores, train_rows, best, val_loss)
+    return TrainResult(r.model, encoder, num_features, scores, r.best_iteration, r.losses.get("val"), r.losses.get("train"), r.fitted)
 
 
 def metrics_block(scores: DataFrame, split: str, threshold: float) -> DataFrame:
@@ -154,53 +145,40 @@ def run_record(spark: SparkSession, result: TrainResult, evaluation_df: DataFram
         block("test_metrics_target_threshold").alias("test_metrics_target_threshold"))
 
 
-def curve_rounds(n: int, points: int = K.CURVE_POINTS) -> Column:
-    """The rounds a curve shows, as an array: evenly spaced from the first on, about ``points`` of them, and the last one."""
-    spaced = F.sequence(F.lit(1), F.lit(n), F.lit(max(1, n // points)))
-    return F.array_distinct(F.concat(spaced, F.array(F.lit(n))))
+def curve_rounds(n: int, points: int = K.CURVE_POINTS) -> list[int]:
+    """The rounds a curve shows: evenly spaced from the first on, about ``points`` of them, and the last one."""
+    return sorted({*range(1, n + 1, max(1, n // points)), n}) if n else []
 
 
-def partial_scores(model: GBTClassificationModel, rows: DataFrame, rounds: Column | None = None) -> DataFrame:
-    """(id, label, iteration, score): probability using only the first i trees, for each of ``rounds`` (default: all).
+def running_scores(model: BoostedTreesModel, rows: DataFrame, rounds: Sequence[int] | None = None) -> DataFrame:
+    """``rows`` without ``features`` but with ``scores``: the probability after each of ``rounds`` (default: all), as one array.
 
-    Tree outputs are gathered in one array; a round's margin adds up its first entries, so the plan grows with the
-    number of trees, not with its square."""
-    df, n = rows, model.getNumTrees
-    for t, tree in enumerate(model.trees):
-        tree = tree.copy()
-        df = tree.setFeaturesCol("features").setPredictionCol(f"_t{t}").transform(df)
-        df = df.drop(*[c for c in df.columns if c in ("rawPrediction", "probability") and c not in rows.columns])
-    terms = F.array(*[F.lit(float(w)) * F.col(f"_t{t}") for t, w in enumerate(model.treeWeights)])
+    Running sums of the tree outputs, so a row's work grows with the number of trees, and rows are not multiplied."""
+    rounds = list(rounds) if rounds is not None else list(range(1, model.getNumTrees + 1))
     keep = [c for c in rows.columns if c != "features"]
-    df = df.select(*keep, terms.alias("_terms"))
-    rounds = rounds if rounds is not None else F.sequence(F.lit(1), F.lit(n))
-    margin = F.aggregate(F.slice("_terms", F.lit(1), F.col("iteration")), F.lit(0.0), lambda a, x: a + x)
-    return (df.select(*keep, "_terms", F.explode(rounds).alias("iteration"))
-            .select(*keep, "iteration", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))).alias("score")))
-
-
-def learning_curve(scores: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
-    """Precision and recall per set and round at the threshold (epsilon-guarded), from partial scores with ``set``."""
-    pred = F.col("score") >= F.lit(threshold)
-    agg = scores.groupBy("set", "iteration").agg(
-        F.count_if(pred & (F.col("label") == 1)).alias("tp"),
-        F.count_if(pred & (F.col("label") == 0)).alias("fp"),
-        F.count_if(~pred & (F.col("label") == 1)).alias("fn"))
-    return agg.select("set", "iteration",
-                      (F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(K.CURVE_EPS))).alias("precision"),
-                      (F.col("tp") / (F.col("tp") + F.col("fn") + F.lit(K.CURVE_EPS))).alias("recall"))
-
-
-def logloss(scores: DataFrame, *groups: str) -> DataFrame:
-    """Mean logloss of (label, score) per group, unweighted; scores are kept 1e-15 away from 0 and 1."""
-    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("score")))
-    one = F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1 - p))
-    return scores.groupBy(*groups).agg(F.avg(one).alias("loss"))
-
-
-def round_loss(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    """iteration, loss: mean logloss of ``rows`` after each round."""
-    return logloss(partial_scores(model, rows.select("id", "label", "features")), "iteration")
+    margins = rows.select(*keep, margin_arrays(rows, model.trees, rounds).alias("margins"))
+    return margins.select(*keep, F.transform("margins", logistic).alias("scores"))
+
+
+def partial_scores(model: BoostedTreesModel, rows: DataFrame, rounds: Sequence[int] | None = None) -> DataFrame:
+    """(kept columns, iteration, score): ``running_scores`` as rows, for reports; the curves below use the arrays."""
+    rounds = list(rounds) if rounds is not None else list(range(1, model.getNumTrees + 1))
+    df = running_scores(model, rows, rounds)
+    spread = df.select(*[c for c in df.columns if c != "scores"], F.posexplode("scores").alias("at", "score"))
+    return spread.withColumn("iteration", F.element_at(F.lit(rounds), F.col("at") + 1)).drop("at")
+
+
+def round_figures(scored: DataFrame, rounds: Sequence[int], threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
+    """set, iteration, precision, recall, loss from (set, label, scores): one element-wise sum over all rows, then unpivoted."""
+    n, y, t = len(rounds), F.col("label") == 1, F.lit(threshold)
+    one = lambda c: F.transform("scores", lambda p: F.when(c(p), F.lit(1.0)).otherwise(F.lit(0.0)))
+    parts = F.concat(one(lambda p: (p >= t) & y), one(lambda p: (p >= t) & ~y), one(lambda p: (p < t) & y),
+                     F.transform("scores", lambda p: BO.logloss(F.col("label"), p)))
+    sums = scored.select("set", array_to_vector(parts).alias("v")).groupBy("set").agg(Summarizer.sum(F.col("v")).alias("s"), F.count(F.lit(1)).alias("rows"))
+    at = sums.select("set", "rows", vector_to_array("s").alias("s"), F.posexplode(F.lit(list(rounds))).alias("at", "iteration"))
+    tp, fp, fn, loss = (F.element_at("s", F.col("at") + 1 + k * n) for k in range(4))
+    return at.select("set", "iteration", (tp / (tp + fp + F.lit(K.CURVE_EPS))).alias("precision"),
+                     (tp / (tp + fn + F.lit(K.CURVE_EPS))).alias("recall"), (loss / F.col("rows")).alias("loss"))
 
 
 def round_auc(scores: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ import os
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.session import ensure_checkpoint_dir
@@ -60,9 +59,5 @@ def save_model(model, path: str) -> str:
     return path
 
 
-def load_gbt(path: str) -> GBTClassificationModel:
-    return GBTClassificationModel.load(path)
-
-
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)

@@ -366,3 +366,45 @@ def _rounded():
 
 
 _rounded()
+
+# --- scoring and curves over given trees ------------------------------------------------------
+def _num(c):
+    return f"coalesce(CAST({c} AS DOUBLE), 0.0)"
+
+
+_TREES = [
+    f"(CASE WHEN {_num('biaya')} <= 15000000 THEN -0.375 ELSE 0.625 END)",
+    f"(CASE WHEN {_num('lama_rawat')} <= 40 THEN -0.3125 ELSE 0.5 END)",
+    f"(CASE WHEN {_num('usia')} <= 48 THEN CASE WHEN {_num('diagfkrtl_sekunder_counts')} <= 2 THEN -0.1875 ELSE 0.125 END "
+    f"WHEN {_num('proc_count')} <= 3 THEN 0.0 ELSE 0.34375 END)",
+    f"(CASE WHEN {_num('proc_count')} <= 5 THEN -0.125 ELSE 0.25 END)",
+]
+
+
+def _trees_p(n):
+    return f"(1.0 / (1.0 + exp(-CAST({' + '.join(_TREES[:n])} AS DOUBLE))))"
+
+
+_P4 = _trees_p(4)
+_SCORED = f"id, {_P4} AS fraud_probability, CAST({_P4} >= CAST({T!r} AS DOUBLE) AS INTEGER) AS is_fraud, {_conf(_P4)} AS confidence_score"
+Q["score_batch_model"] = S.features_with(CLAIMS_P4, MAIN2, FEAT2) + f"SELECT {_SCORED} FROM feat2"
+Q["score_nested_stream"] = Q["score_nested"]
+Q["score_nested_model"] = S.features_with(*_nested_ctes()) + f"SELECT {_SCORED}, {_explain.replace(LOGIT, _P4)} AS explanation FROM feat3 JOIN nraw USING (id)"
+Q["score_stream_model"] = Q["score_nested_model"]
+Q["csv_report"] = Q["score_batch_model"] + " WHERE id % 97 <> 0 AND id % 89 <> 0 AND id % 83 <> 0"
+Q["csv_rejects"] = W() + (
+    "SELECT CASE WHEN id % 97 = 0 OR id % 83 = 0 THEN 'unparsable' ELSE 'no id' END AS reason, count(*) AS n, CAST(sum(id_peserta) AS BIGINT) AS members "
+    "FROM claims WHERE id % 97 = 0 OR id % 83 = 0 OR id % 89 = 0 GROUP BY 1")
+PS = ("ps AS (" + " UNION ALL ".join(
+    f"SELECT s.split AS \"set\", f.id, f.label, {n} AS iteration, {_trees_p(n)} AS score FROM feat f JOIN spl s ON f.id = s.id WHERE s.split IN ('train', 'val')"
+    for n in (1, 2, 3, 4)) + ")")
+Q["partial_scores"] = S.features_with(SPLIT, PS) + "SELECT * FROM ps"
+_tp, _fp, _fn = ("count(*) FILTER (WHERE score >= 0.6 AND label = 1)", "count(*) FILTER (WHERE score >= 0.6 AND label <> 1)", "count(*) FILTER (WHERE score < 0.6 AND label = 1)")
+Q["learning_curve"] = S.features_with(SPLIT, PS) + (
+    f'SELECT "set", iteration, {_tp} / ({_tp} + {_fp} + CAST(1e-10 AS DOUBLE)) AS precision, {_tp} / ({_tp} + {_fn} + CAST(1e-10 AS DOUBLE)) AS recall FROM ps GROUP BY 1, 2')
+Q["round_loss"] = S.features_with(SPLIT, PS) + 'SELECT "set", iteration, avg(CASE WHEN label = 1 THEN -ln(score) ELSE -ln(1 - score) END) AS loss FROM ps GROUP BY 1, 2'
+Q["round_auc"] = S.features_with(SPLIT, PS) + (
+    'SELECT "set", iteration, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (rs - P * (P + 1) / 2.0) / (CAST(P AS DOUBLE) * N) END AS roc_auc FROM ('
+    'SELECT "set", iteration, count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N, coalesce(sum(r) FILTER (WHERE label = 1), 0) AS rs FROM ('
+    'SELECT "set", iteration, label, rank() OVER (PARTITION BY "set", iteration ORDER BY score) + (count(*) OVER (PARTITION BY "set", iteration, score) - 1) / 2.0 AS r '
+    'FROM ps) GROUP BY 1, 2)')

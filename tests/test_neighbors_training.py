@@ -48,13 +48,8 @@ def test_oversample_sizes(spark):
     assert (syn >= mins.min(axis=0) - 1e-9).all() and (syn <= mins.max(axis=0) + 1e-9).all()
 
 
-def test_best_round_patience():
-    assert TR.best_round([5, 4, 3, 3.5, 3.6, 2.0], patience=2) == 3
-    assert TR.best_round([5, 4, 3, 3.5, 3.6, 2.0], patience=10) == 6
-
-
-def test_curve_rounds(spark):
-    rounds = lambda n: spark.range(1).select(TR.curve_rounds(n)).first()[0]
+def test_curve_rounds():
+    rounds = TR.curve_rounds
     assert rounds(612)[:3] == [1, 13, 25] and rounds(612)[-1] == 612
     assert rounds(3) == [1, 2, 3]
 
