@@ -259,8 +259,52 @@ def test_all_training_windows_are_learnt_from():
     rng = np.random.default_rng(1)
     ids = [np.append(rng.integers(0, attention.IDS, n), attention.END) for n in (0, 1, 30, 31, 32, 34, 37, 90, 511, 2000)]
     seeds = np.arange(len(ids)) * 5
-    got = np.concatenate([attention.training_windows(ids, seeds, r) for r in range(attention.ROUNDS)])
+    got, turn = attention.training_windows(ids, seeds)
+    assert turn.min() >= 0 and turn.max() < attention.ROUNDS and (np.bincount(turn[-63:]) <= 4).all()  # the last text's 63 windows, over all rounds
     assert len(got) == sum(-(-len(x) // attention.WINDOW) for x in ids)
     targets = collections.Counter(got[:, 1:].ravel().tolist())
     want = collections.Counter(i for x in ids for i in x.tolist())
     assert all(targets[i] == c for i, c in want.items() if i != attention.END) and targets[attention.END] >= len(ids)
+
+
+def plain_score(model, classes, ids):
+    """The model's log10 probability of one text, token by token with plain loops."""
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    read = np.concatenate([[attention.END], ids])
+    step, total = attention.WINDOW - attention.OVERLAP, 0.0
+    for i, target in enumerate(ids):
+        start = 0 if i < attention.WINDOW else step * -(-(i - attention.WINDOW + 1) // step)
+        x = np.stack([w["embed"][classes.inputs[read[start + j]]] + w["place"][j] for j in range(i - start + 1)])
+        a = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(attention.WIDTH))
+        h = x[-1] + (a / a.sum()) @ (x @ w["v"]) @ w["o"]
+        g = h + np.maximum(h @ w["up"] + w["up_b"], 0) @ w["down"]
+        c = classes.first[target]
+        total += soft(g @ w["out"] + w["out_b"])[c] / np.log(10) + classes.inside[target]
+        if attention.OWN <= c < attention.TAIL:
+            total += soft(g @ w["in"][c - attention.OWN] + w["in_b"][c - attention.OWN])[classes.second[target]] / np.log(10)
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    classes = attention.Classes(rng.integers(0, 500, attention.IDS + 1).astype(float))
+    model = attention.Model(classes)
+    for k in ("q", "k", "out", "in"):
+        model.w[k] = model.w[k] * 20  # far from the start's even shares
+    common = np.flatnonzero(classes.first < attention.TAIL)
+    ids = [np.append(rng.choice(common, n), attention.END) for n in (0, 1, 20, 31, 32, 33, 58, 100)] + [np.append(rng.integers(0, attention.IDS, 70), attention.END)]
+    assert np.allclose(attention.text_scores(ids, model, classes), [plain_score(model, classes, x) for x in ids], rtol=1e-4)
+
+
+def test_language_model_beats_word_counts(spark):
+    got = attention.scored_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    score, base = got.where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert score > base + 0.03
+
+
+def test_language_model_without_training_texts(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:5]
+    got = attention.scored_texts(spark.createDataFrame([(k, "one two") for k in held], "doc_id long, text string")).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(True, 3, 0, 0)] * 5
+    assert all(abs(r.base_score - 3 * math.log10(1)) < 1e-12 and r.score < 0 for r in got)  # no counts: one word of no vocabulary
