@@ -18,15 +18,7 @@ def split_code(c: Column | str) -> dict[str, Column]:
     """
     c = F.col(c) if isinstance(c, str) else c
     parts = F.split(F.coalesce(c.cast("string"), F.lit(K.MISSING_TEXT)), "-", -1)
-    n = F.size(parts)
-    dash = F.lit("-")
-
-    def pick(i4: int, i3: int | None) -> Column:
-        three = parts.getItem(i3) if i3 is not None else dash
-        return F.when(n == 4, parts.getItem(i4)).when(n == 3, three).otherwise(dash)
-
-    return {"CMG": pick(0, 0), "tipekasus": pick(1, None),
-            "spesifikkasus": pick(2, 1), "severity": pick(3, 2)}
+    return {p: _pick(parts, p) for p in PART_NAMES}
 
 
 def kdsa_severity(c: Column) -> Column:

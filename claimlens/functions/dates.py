@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
-def as_timestamp(c: Column | str) -> Column:
-    """Accept timestamp, timestamp_ntz, date or text; text is parsed."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c
-
-
 def stay_days(start: Column | str, end: Column | str) -> Column:
     """Whole days between admission and discharge, floored (not calendar days).
 

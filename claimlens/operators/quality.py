@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.operators.prefix import stack
 
 
-def _missing(df: DataFrame, c: str):
+def missing_count(df: DataFrame, c: str) -> Column:
+    """Rows without a value in column ``c`` (NaN counts)."""
     col = F.col(f"`{c}`")
     dt = df.schema[c].dataType
     cond = col.isNull()
     if isinstance(dt, (T.DoubleType, T.FloatType)):
         cond = cond | F.isnan(col)
-    return F.count_if(cond).alias(c)
+    return F.count_if(cond)
 
 
 def missing_values(df: DataFrame) -> DataFrame:
     """(column, missing) for columns with at least one missing value (NaN counts)."""
-    counts = df.agg(*[_missing(df, c) for c in df.columns])
+    counts = df.agg(*[missing_count(df, c).alias(c) for c in df.columns])
     return stack(counts, df.columns, cast="bigint", name="column", value="missing").where(F.col("missing") > 0)
 
 

@@ -21,6 +21,7 @@ from claimlens.functions.text import clean_text, null_tokens
 from claimlens.operators import children as CH
 from claimlens.operators import encoding as EN
 from claimlens.operators import metrics as ME
+from claimlens.operators import observed as OB
 from claimlens.operators import overview as OV
 from claimlens.operators import quality as QA
 from claimlens.operators import sampling as SA
@@ -53,8 +54,8 @@ ROUND6: dict[str, list[str]] = {
     "score_stream": ["fraud_probability", "confidence_score"],
     "report_sink": ["fraud_probability", "confidence_score"],
     **{q: ["fraud_probability", "confidence_score"] for q in (
-        "score_batch_model", "score_nested_model", "score_nested_stream", "score_stream_model", "csv_report")},
-    "partial_scores": ["score"], "learning_curve": ["precision", "recall"], "round_loss": ["loss"], "round_auc": ["roc_auc"],
+        "score_batch_model", "stream_dedup", "score_nested_model", "score_nested_stream", "score_stream_model", "csv_report")},
+    "run_store": ["value"], "partial_scores": ["score"], "learning_curve": ["precision", "recall"], "round_loss": ["loss"], "round_auc": ["roc_auc"],
     "scan_csv": ["biaya"], "eval_sink": ["score"],
     "knn_minority": ["dist"],
     "oversample_embeddings": ["x_first", "x_last"],
@@ -247,6 +248,13 @@ def q_diag_primary(spark, sf):
     return CH.primary_diagnosis(CH.dedupe_rows(FX.diagnoses(spark, sf)))
 
 
+@query("diag_primary_kddiag")
+def q_diag_primary_kddiag(spark, sf):
+    """The same from a table that names its code column ``kddiag``."""
+    renamed = FX.diagnoses(spark, sf).withColumnRenamed("diag", "kddiag")
+    return CH.primary_diagnosis(CH.dedupe_rows(CH.normalise_diag_columns(renamed)))
+
+
 @query("diag_secondary")
 def q_diag_secondary(spark, sf):
     return CH.secondary_counts(CH.dedupe_rows(FX.diagnoses(spark, sf)))
@@ -325,6 +333,15 @@ def q_duplicates(spark, sf):
             .unionByName(QA.duplicate_rows(p).select(F.lit("procedures").alias("table_name"), "duplicate_records")))
 
 
+@query("observed_quality")
+def q_observed_quality(spark, sf):
+    """Counts of the claims, gathered while their feature table is written."""
+    c, d, p = _tables(spark, sf)
+    claims, seen = OB.observed(c)
+    FE.transform(claims, d, p, feature_params(spark, sf)).write.parquet(SK.work_dir(spark, "observed-features"))
+    return OB.counts(spark, seen)
+
+
 @query("label_share")
 def q_label_share(spark, sf):
     return QA.label_share(FX.claims(spark, sf))
@@ -505,6 +522,7 @@ def q_overview_imbalance(spark, sf):
 from claimlens.plans import artefact as AR  # noqa: E402
 from claimlens.plans import training as TR  # noqa: E402
 from claimlens.plans import trees as TE  # noqa: E402
+from claimlens.sources import runs as RU  # noqa: E402
 from claimlens.sources import sinks as SK  # noqa: E402
 
 CHECK_TRAIN = TR.TrainConfig(max_iter=24, max_depth=6, early_stop_rounds=5, oversample_k=5, step_size=0.3)
@@ -607,6 +625,18 @@ def q_round_loss(spark, sf):
     return round_table(spark, sf).select("set", "iteration", "loss")
 
 
+@query("run_store")
+def q_run_store(spark, sf):
+    """Curves of two runs (two of the given trees, then all), the second appended twice; the latest is read back."""
+    model, sets = curve_rows(spark, sf)
+    path = SK.work_dir(spark, "run-store")
+    for run, n in (("2024-01-01", 2), ("2024-01-02", 4), ("2024-01-02", 4)):
+        rounds = TR.curve_rounds(n)
+        figures = TR.round_figures(TR.running_scores(model, sets, rounds), rounds, CURVE_THRESHOLD)
+        RU.append(RU.figure_rows(figures), path, run)
+    return RU.latest(spark, path)
+
+
 @query("round_auc")
 def q_round_auc(spark, sf):
     return TR.round_auc(TR.partial_scores(*curve_rows(spark, sf)))
@@ -726,11 +756,13 @@ def q_scan_csv(spark, sf):
     return FE.transform(back, d, p, feature_params(spark, sf))
 
 
-def nested_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The nested claims as a stream of files."""
+def nested_stream(spark: SparkSession, sf: str, resent: bool = False) -> DataFrame:
+    """The nested claims as a stream of files; ``resent``: claims with an odd id come once more in later files."""
     path = SK.work_dir(spark, "nested-claims")
     nested = nested_table(spark, sf)
     nested.repartition(4).write.parquet(path)
+    if resent:
+        nested.where("id % 2 = 1").repartition(2).write.mode("append").parquet(path)
     return spark.readStream.schema(nested.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -741,6 +773,13 @@ def q_score_nested_stream(spark, sf):
     return ST.run_to_table(spark, out, "nested")
 
 
+@query("stream_dedup")
+def q_stream_dedup(spark, sf):
+    """Nested claims of which many are sent twice: each is scored once."""
+    stream = ST.first_sent(nested_stream(spark, sf, resent=True), "tgldatang", "4000 days")
+    return ST.run_to_table(spark, SC.score_nested(stream, feature_params(spark, sf)).drop("model_info"), "dedup")
+
+
 @query("score_stream_model")
 def q_score_stream_model(spark, sf):
     """The same stream through the artefact."""

@@ -408,3 +408,19 @@ Q["round_auc"] = S.features_with(SPLIT, PS) + (
     'SELECT "set", iteration, count(*) FILTER (WHERE label = 1) AS P, count(*) FILTER (WHERE label <> 1) AS N, coalesce(sum(r) FILTER (WHERE label = 1), 0) AS rs FROM ('
     'SELECT "set", iteration, label, rank() OVER (PARTITION BY "set", iteration ORDER BY score) + (count(*) OVER (PARTITION BY "set", iteration, score) - 1) / 2.0 AS r '
     'FROM ps) GROUP BY 1, 2)')
+Q["diag_primary_kddiag"] = Q["diag_primary"]
+Q["stream_dedup"] = Q["score_nested"]
+Q["run_store"] = S.features_with(SPLIT, PS) + (
+    f'SELECT "set", iteration, \'precision\' AS metric, {_tp} / ({_tp} + {_fp} + CAST(1e-10 AS DOUBLE)) AS value FROM ps GROUP BY 1, 2 UNION ALL '
+    f'SELECT "set", iteration, \'recall\', {_tp} / ({_tp} + {_fn} + CAST(1e-10 AS DOUBLE)) FROM ps GROUP BY 1, 2 UNION ALL '
+    'SELECT "set", iteration, \'loss\', avg(CASE WHEN label = 1 THEN -ln(score) ELSE -ln(1 - score) END) FROM ps GROUP BY 1, 2')
+Q["observed_quality"] = W() + (
+    "SELECT 'rows' AS metric, count(*) AS value FROM claims UNION ALL SELECT 'labelled', count(*) FILTER (WHERE label = 1) FROM claims UNION ALL "
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'missing:{c}', count(*) FILTER (WHERE {c} IS NULL) AS n FROM claims" for c in _claim_cols) + ") WHERE n > 0")
+_TYPES = dict.fromkeys(_claim_cols, "string") | {"id": "bigint", "id_peserta": "bigint", "biaya": "double", "usia": "int", "kelasrawat": "int", "label": "int",
+                                                 "tgldatang": "timestamp_ntz", "tglpulang": "timestamp_ntz"}
+Q["quality_report"] = W() + (
+    "SELECT (SELECT count(*) FROM claims) AS num_rows, " + f"{len(_claim_cols)} AS num_cols, "
+    "(SELECT count(*) FROM claims) - (SELECT count(*) FROM (SELECT DISTINCT * FROM claims)) AS duplicate_records, column_name, missing, data_type FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing, '{t}' AS data_type FROM claims" for c, t in _TYPES.items())
+    + ") WHERE missing > 0")
