@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.sources.runs import folder
+
 CORRUPT = "_corrupt_record"
 UNPARSABLE, NO_ID = "unparsable", "no id"
 
@@ -33,7 +35,7 @@ def rejects(rows: DataFrame) -> DataFrame:
 
 def write_batch(df: DataFrame, path: str, batch: str) -> None:
     """One batch of a table in folders by batch; written again, it replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    df.write.mode("overwrite").parquet(folder(path, "batch", batch))
 
 
 def scored_report(spark: SparkSession, source: str, schema: T.StructType, target: str, batch: str, score: Callable[[DataFrame], DataFrame]) -> tuple[str, str]:
