@@ -3,15 +3,17 @@
 1. Equal vectors form a class, searched once; of a class's ids only the ``k + 1`` smallest can ever rank, since equal scores go to smaller ids.
 2. Largest inner product becomes least distance: vectors are scaled by the largest norm and get one more component that
    brings all to norm 1; queries get 0 there.
-3. Centroids come from a hash-ordered sample of at most ``SAMPLE`` classes: k-means, then clusters that hold more than 1.5
-   times their share are split until lists are balanced. A graph links every centroid with its nearest; searches walk it
-   best-first, in memory, for a batch of vectors at a time.
+3. Lists follow the table: one for ``LIST_SIZE`` classes, up to ``MOST_LISTS``. Their centroids come from a hash-ordered sample of ``PER_LIST``
+   classes a list (``LEAST_SAMPLE`` at least): k-means over the sample, again inside each of its clusters, and clusters that hold more than 1.5
+   times their share are split until lists are balanced. A graph links every centroid with its nearest; searches walk it in memory.
 4. Every class goes to its nearest list and to those at most ``CLOSURE`` farther (``COPIES`` at most): boundary vectors stand in several.
-5. A query reads the lists whose centroids are at most ``1 + RATIO`` times as far as its nearest, and more while they hold fewer than k + 1 entries.
+5. A query reads all lists whose centroids are at most ``1 + ratio`` times as far as its nearest, however many, and more while they hold
+   fewer than ``COPIES * (k + 1)`` entries. The ratio is measured: ``TRIALS`` classes, first in hash order, are compared with the whole table, and the
+   ratio is the least one that reads lists holding the share ``AIM`` of their neighbours. So tables that cluster read few lists, others many.
 6. Lists are dealt into blocks of ``LIST_BLOCK`` entries and their queries into blocks of ``QUERY_BLOCK``; each pair of
    blocks is scored in one task, in double precision, and only its best k + 1 leave it.
 
-Sample, centroids and graph are bounded and independent of the table's size; lists grow, and then only their blocks multiply.
+Sample, centroids, graph and trials are bounded; beyond ``MOST_LISTS`` lists grow, and then only their blocks multiply.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a null
 id, nor vectors of another length than the most frequent one. Rows repeated with id and vector count once; a query's own id is never among its
@@ -28,11 +30,12 @@ from pyspark.sql.window import Window
 
 from .common import small_batches, stored
 
-SAMPLE = 16_384
-LIST_SIZE, MOST_LISTS = 200, 1024
+LIST_SIZE, MOST_LISTS = 200, 16_384
+PER_LIST, LEAST_SAMPLE = 16, 16_384
 COPIES, CLOSURE = 4, 0.1
-PROBES, RATIO = 96, 0.35
-LINKS, WIDTH = 16, 112
+TRIALS, AIM = 128, 0.97
+LINKS, WIDTH, ENTRIES = 16, 48, 128
+CELLS = 4 << 20  # rows times centroids that one step of a search marks
 LIST_BLOCK, QUERY_BLOCK = 2048, 512
 
 
@@ -91,43 +94,86 @@ def balanced_centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def list_centroids(x: np.ndarray, lists: int) -> np.ndarray:
+    """About ``lists`` centroids of the sample: in one step while they are few, else cluster by cluster."""
+    if lists <= 256 or len(x) <= lists:
+        return balanced_centroids(x, lists)
+    top = balanced_centroids(x, int(np.sqrt(lists)))
+    at = np.concatenate([_distances(x[i:i + 4096], top).argmin(1) for i in range(0, len(x), 4096)])
+    parts = [x[at == j] for j in range(len(top))]
+    return np.vstack([balanced_centroids(p, max(1, round(lists * len(p) / len(x)))) for p in parts if len(p)])
+
+
 class Graph:
-    """Centroids linked with their nearest; finds a batch's nearest centroids best-first."""
+    """Centroids linked with their nearest; finds near centroids of many vectors at a time."""
 
     def __init__(self, centroids: np.ndarray, links: int = LINKS):
-        self.c = centroids
+        self.c, self.squares = centroids, (centroids**2).sum(1)
         n = len(centroids)
-        near = np.argsort(_distances(centroids, centroids), axis=1, kind="stable")[:, 1:links + 1]
+        near = np.vstack([np.argsort(_distances(centroids[i:i + 512], centroids), axis=1, kind="stable")[:, 1:links + 1] for i in range(0, n, 512)])
         ring = (np.arange(n)[:, None] + np.array([1, n // 2])) % n  # keeps the graph in one piece
         self.links = np.hstack([near, ring])
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
+        self.entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(int))
 
     def nearest(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances) of up to ``width`` near centroids of each row, nearest first; -1 and inf where there are fewer."""
-        b, n = len(x), len(self.c)
-        width = min(width, n)
-        rows = np.arange(b)[:, None]
-        seen, open_ = np.zeros((b, n), bool), np.zeros((b, n), bool)
-        dist = np.full((b, n), np.inf)
-        dist[:, self.entries] = _distances(x, self.c[self.entries])
-        seen[:, self.entries] = open_[:, self.entries] = True
-        norms, squares = (x**2).sum(1)[:, None], (self.c**2).sum(1)
-        active = np.arange(b)
+        width, step = min(width, len(self.c)), max(1, CELLS // len(self.c))
+        parts = [self._best_first(x[i:i + step], width) for i in range(0, len(x), step)]
+        return tuple(np.vstack(p) for p in zip(*parts, strict=True)) if parts else (np.zeros((0, width), int), np.zeros((0, width)))
+
+    def _best_first(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pool of a row holds the ``width`` nearest centroids seen; its nearest one not yet expanded is, until none is left."""
+        b, norms = len(x), (x**2).sum(1)[:, None]
+        seen = np.zeros((b, len(self.c)), bool)
+        seen[:, self.entries] = True
+        d = _distances(x, self.c[self.entries])
+        first = np.argsort(d, axis=1, kind="stable")[:, :width]
+        pool, dist = np.full((b, width), -1), np.full((b, width), np.inf)
+        pool[:, :first.shape[1]], dist[:, :first.shape[1]] = self.entries[first], np.take_along_axis(d, first, 1)
+        todo, active = pool >= 0, np.arange(b)
         while len(active):
-            best = np.where(open_[active], dist[active], np.inf).argmin(1)
-            bound = np.partition(dist[active], width - 1, axis=1)[:, width - 1]
-            go = open_[active, best] & (dist[active, best] <= bound)
+            best = np.where(todo[active], dist[active], np.inf).argmin(1)
+            go = todo[active, best]
             active, best = active[go], best[go]
-            open_[active, best] = False
-            around = self.links[best]
+            todo[active, best] = False
+            around = self.links[pool[active, best]]
             fresh = ~seen[active[:, None], around]
-            d = norms[active] + squares[around] - 2 * np.einsum("bd,bld->bl", x[active], self.c[around])
-            dist[active[:, None], around] = np.where(fresh, np.maximum(d, 0), dist[active[:, None], around])
-            open_[active[:, None], around] |= fresh
             seen[active[:, None], around] = True
-        order = np.argsort(dist, axis=1, kind="stable")[:, :width]
-        found = np.sqrt(dist[rows, order])
-        return np.where(np.isinf(found), -1, order), found
+            d = np.maximum(norms[active] + self.squares[around] - 2 * np.einsum("bd,bld->bl", x[active], self.c[around]), 0)
+            twice = (around[:, :, None] == around[:, None, :]) & np.tri(around.shape[1], k=-1, dtype=bool)  # a link named before
+            d = np.where(fresh & ~twice.any(2), d, np.inf)
+            all_d = np.hstack([dist[active], d])
+            keep = np.argsort(all_d, axis=1, kind="stable")[:, :width]
+            dist[active] = np.take_along_axis(all_d, keep, 1)
+            pool[active] = np.take_along_axis(np.hstack([pool[active], around]), keep, 1)
+            todo[active] = np.take_along_axis(np.hstack([todo[active], np.isfinite(d)]), keep, 1)
+        return np.where(np.isinf(dist), -1, pool), np.sqrt(dist)
+
+    def within(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """Of each row the centroids at most ``1 + ratio`` times as far as its nearest: from near ones along links, all at a time, while new ones come."""
+        out: list[np.ndarray] = []
+        step = max(1, CELLS // len(self.c))
+        for i in range(0, len(x), step):
+            part = x[i:i + step]
+            at, d = self._best_first(part, min(WIDTH, len(self.c)))
+            reach = (d[:, 0] * (1 + ratio)) ** 2 + 1e-12
+            norms, seen = (part**2).sum(1), np.zeros((len(part), len(self.c)), bool)
+            inside = np.zeros_like(seen)
+            r, j = np.nonzero((at >= 0) & (d**2 <= reach[:, None]))
+            c = at[r, j]
+            seen[r, c] = inside[r, c] = True
+            while len(r):
+                pairs = np.unique((r[:, None] * len(self.c) + self.links[c]).ravel())
+                pairs = pairs[~seen.ravel()[pairs]]
+                r, c = np.divmod(pairs, len(self.c))
+                seen[r, c] = True
+                d2 = np.concatenate([norms[r[k:k + 65_536]] + self.squares[c[k:k + 65_536]]
+                                     - 2 * np.einsum("md,md->m", part[r[k:k + 65_536]], self.c[c[k:k + 65_536]]) for k in range(0, len(r), 65_536)] or [np.zeros(0)])
+                good = d2 <= reach[r]
+                r, c = r[good], c[good]
+                inside[r, c] = True
+            out += [np.flatnonzero(row) for row in inside]
+        return out
 
 
 def lifted(vectors: pd.Series, norm: float, query: bool) -> np.ndarray:
@@ -139,6 +185,35 @@ def lifted(vectors: pd.Series, norm: float, query: bool) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(1)))])
 
 
+def measured_ratio(classes: DataFrame, entries: DataFrame, graph: Graph, norm: float, k: int) -> float:
+    """The least ratio at which the trial classes' lists hold the share ``AIM`` of their k neighbours, found by comparing them with all classes."""
+    trials = classes.orderBy(F.xxhash64("embedding", F.lit(1)), "first_id").limit(TRIALS).select("cid", "embedding").toPandas()
+    q, own = np.array(trials["embedding"].tolist(), np.float64), trials["cid"].to_numpy()
+
+    def best(batches):
+        cids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for b in batches:
+            if len(b):
+                cid = b["cid"].to_numpy()
+                score = q @ np.array(b["embedding"].tolist(), np.float64).T
+                score[own[:, None] == cid[None]] = -np.inf
+                cids, scores = np.hstack([cids, np.tile(cid, (len(q), 1))]), np.hstack([scores, score])
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                cids, scores = np.take_along_axis(cids, at, 1), np.take_along_axis(scores, at, 1)
+        yield pd.DataFrame({"trial": np.repeat(np.arange(len(q)), cids.shape[1]), "cid": cids.ravel(), "score": scores.ravel()})
+
+    near = classes.select("cid", "embedding").mapInPandas(best, "trial int, cid long, score double").where("score > double('-infinity')")
+    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "cid"))
+    near = near.withColumn("place", place).where(F.col("place") <= k).select("trial", "cid")
+    held = entries.select("cid", "list").join(F.broadcast(near), "cid").toPandas()  # at most TRIALS * k * COPIES rows
+    if not len(held):
+        return 0.0
+    d = np.sqrt(_distances(lifted(trials["embedding"], norm, True), graph.c))
+    away = d[held["trial"], held["list"]] / np.maximum(d.min(1)[held["trial"]], 1e-12) - 1
+    least = held.assign(away=away).groupby(["trial", "cid"])["away"].min()
+    return float(np.quantile(least, AIM, method="higher"))
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -148,13 +223,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     n = classes.count()
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     norm = float(np.sqrt(classes.select(F.max(squares).alias("m")).first()["m"] or 1.0)) * (1 + 1e-12)
-    sample = classes.orderBy(F.xxhash64("embedding"), "first_id").limit(SAMPLE).select("embedding").toPandas()
     lists = int(np.clip(n // LIST_SIZE, 1, MOST_LISTS))
-    graph = Graph(balanced_centroids(lifted(sample["embedding"], norm, False), lists)) if n else None
+    size = max(LEAST_SAMPLE, PER_LIST * lists)
+    sample = classes.orderBy(F.xxhash64("embedding"), "first_id").limit(size).select("embedding").toPandas()
+    graph = Graph(list_centroids(lifted(sample["embedding"], norm, False), lists)) if n else None
 
     @F.pandas_udf("array<int>")
     def homes(v: pd.Series) -> pd.Series:
-        at, d = graph.nearest(lifted(v, norm, False), max(COPIES, 32))
+        at, d = graph.nearest(lifted(v, norm, False), 32)
         at, d = at[:, :COPIES], d[:, :COPIES]
         use = (at >= 0) & (d <= d[:, :1] * (1 + CLOSURE) + 1e-9)
         return pd.Series([a[u] for a, u in zip(at, use, strict=True)])
@@ -164,13 +240,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     sizes = {r["list"]: r["n"] for r in entries.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 2 * MOST_LISTS rows
     held = np.array([sizes.get(i, 0) for i in range(len(graph.c) if graph else 0)])
 
+    ratio = measured_ratio(classes, entries, graph, norm, k) if n else 0.0
+    enough = COPIES * (k + 1)
+
     @F.pandas_udf("array<int>")
     def probes(v: pd.Series) -> pd.Series:
-        at, d = graph.nearest(lifted(v, norm, True), WIDTH)
-        before = np.cumsum(np.where(at >= 0, held[at], 0), axis=1) - np.where(at >= 0, held[at], 0)
-        near = (d <= d[:, :1] * (1 + RATIO)) & (np.arange(at.shape[1]) < PROBES)
-        use = (at >= 0) & (near | (before < COPIES * (k + 1)))
-        return pd.Series([a[u] for a, u in zip(at, use, strict=True)])
+        x, out = lifted(v, norm, True), []
+        at, _ = graph.nearest(x, WIDTH)
+        for near, first in zip(graph.within(x, ratio), at, strict=True):
+            if held[near].sum() < enough:
+                first = first[first >= 0]
+                near = np.union1d(near, first[np.cumsum(held[first]) - held[first] < enough])
+            out.append(near if held[near].sum() >= enough else np.arange(len(held)))  # lists too thin: all
+        return pd.Series(out)
 
     query_rows = rows.where(F.col("vec_id") % every == 0).distinct().join(classes, "embedding").select("cid", F.col("vec_id").alias("query_id"))
     query_rows = stored(query_rows, "queries")
@@ -194,12 +276,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             return pd.DataFrame({"qid": [], "cid": [], "score": []})
         x, y = np.array(e["embedding"].tolist(), np.float64), np.array(q["query"].tolist(), np.float64)
         cid, approx = e["cid"].to_numpy(), y @ x.T
-        out = []
-        for i, qid in enumerate(q["qid"]):
-            cut = np.partition(approx[i], -(k + 1))[-(k + 1)] if len(cid) > k + 1 else -np.inf
-            at = np.flatnonzero(approx[i] >= cut - 1e-9 * (1 + abs(cut))) if np.isfinite(cut) else np.arange(len(cid))
-            out.append(pd.DataFrame({"qid": qid, "cid": cid[at], "score": (x[at] * y[i]).sum(axis=1)}))
-        return pd.concat(out)
+        keep = np.ones(approx.shape, bool)
+        if len(cid) > k + 1:
+            cut = np.partition(approx, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+            keep = ~(approx < cut - 1e-9 * (1 + np.abs(cut)))
+        r, c = np.nonzero(keep)
+        score = np.concatenate([(x[c[i:i + 65_536]] * y[r[i:i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)])
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[r], "cid": cid[c], "score": score})
 
     keys = ["list", "e", "q"]
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(best, "qid long, cid long, score double")

@@ -120,3 +120,38 @@ def test_centroid_graph_finds_the_nearest():
     want = np.argsort(neighbours._distances(x, centroids), axis=1)[:, :4]
     assert np.mean([len(set(a) & set(w)) / 4 for a, w in zip(at, want)]) > 0.95
     assert (np.diff(np.where(np.isinf(d), 1e9, d), axis=1) >= 0).all()
+
+
+@pytest.mark.parametrize("kind", ["clustered", "loose"])
+def test_recall_with_many_lists(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 8)
+    monkeypatch.setattr(neighbours, "LEAST_SAMPLE", 64)  # the sample follows the number of lists
+    rng = np.random.default_rng(4)
+    n, d = 6000, 24
+    x = rng.standard_normal((n, d)) if kind == "loose" else rng.standard_normal((60, d))[rng.integers(0, 60, n)] + 0.25 * rng.standard_normal((n, d))
+    x = np.float32(x)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    built = []
+    make = neighbours.Graph
+    monkeypatch.setattr(neighbours, "Graph", lambda c: built.append(make(c)) or built[-1])
+    got = {}
+    for r in neighbours.nearest(frame).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(built[0].c) >= 512
+    score = np.float64(x[::20]) @ np.float64(x).T
+    score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    assert all(len(got[20 * i]) == 20 for i in range(len(want)))
+    assert np.mean([len(got[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.9
+
+
+def test_range_search_reads_all_lists_in_reach():
+    rng = np.random.default_rng(5)
+    centroids = neighbours.list_centroids(rng.standard_normal((12_000, 12)), 600)
+    assert 560 <= len(centroids) <= 1300
+    graph, x = neighbours.Graph(centroids), rng.standard_normal((150, 12))
+    d = np.sqrt(neighbours._distances(x, centroids))
+    for ratio in (0.0, 0.2, 0.6):
+        found = graph.within(x, ratio)
+        want = [set(np.flatnonzero(r <= r.min() * (1 + ratio)).tolist()) for r in d]
+        assert sum(len(w & set(f.tolist())) for w, f in zip(want, found)) >= 0.97 * sum(map(len, want))
