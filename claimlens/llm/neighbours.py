@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import small_batches, stored
@@ -236,7 +237,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return pd.Series([a[u] for a, u in zip(at, use, strict=True)])
 
     entries = classes.withColumn("list", F.explode(homes("embedding"))) if n else classes.withColumn("list", F.lit(0))
-    entries = stored(entries.select("cid", "embedding", "list"), "posting-lists")
+    entries = stored(entries.select("cid", "first_id", "embedding", "list"), "posting-lists")
     sizes = {r["list"]: r["n"] for r in entries.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 2 * MOST_LISTS rows
     held = np.array([sizes.get(i, 0) for i in range(len(graph.c) if graph else 0)])
 
@@ -266,14 +267,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     blocks = dealt(entries, LIST_BLOCK, "n_e").join(dealt(queries, QUERY_BLOCK, "n_q"), "list")
     mine = F.pmod(F.xxhash64("cid", "list"), F.col("n_e")).cast("int").alias("e")
     every_q = F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q")
-    left = entries.join(blocks, "list").select("list", mine, every_q, "cid", "embedding")
+    left = entries.join(blocks, "list").select("list", mine, every_q, "cid", "first_id", "embedding")
     mine = F.pmod(F.xxhash64("qid", "list"), F.col("n_q")).cast("int").alias("q")
     every_e = F.explode(F.sequence(F.lit(0), F.col("n_e") - 1)).alias("e")
     right = queries.join(blocks, "list").select("list", every_e, mine, "qid", "query")
 
     def best(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(q):
-            return pd.DataFrame({"qid": [], "cid": [], "score": []})
+            return pd.DataFrame({"qid": [], "cid": [], "first_id": [], "score": []})
         x, y = np.array(e["embedding"].tolist(), np.float64), np.array(q["query"].tolist(), np.float64)
         cid, approx = e["cid"].to_numpy(), y @ x.T
         keep = np.ones(approx.shape, bool)
@@ -282,11 +283,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             keep = ~(approx < cut - 1e-9 * (1 + np.abs(cut)))
         r, c = np.nonzero(keep)
         score = np.concatenate([(x[c[i:i + 65_536]] * y[r[i:i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)])
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[r], "cid": cid[c], "score": score})
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[r], "cid": cid[c], "first_id": e["first_id"].to_numpy()[c], "score": score})
 
     keys = ["list", "e", "q"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(best, "qid long, cid long, score double")
-    found = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(classes.select("cid", "first_id"), "cid")
+    fields = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()), classes.schema["first_id"], T.StructField("score", T.DoubleType())])
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(best, fields)
+    found = found.groupBy("qid", "cid", "first_id").agg(F.max("score").alias("score"))  # a class that stands in several lists
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "first_id")
     top = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("qid", "cid", "score")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
