@@ -10,8 +10,9 @@
 5. A query reads all lists whose centroids are at most ``1 + ratio`` times as far as its nearest, however many, and more while they hold
    fewer than ``COPIES * (k + 1)`` entries. The ratio is measured: ``TRIALS`` classes, first in hash order, are compared with the whole table, and the
    ratio is the least one that reads lists holding the share ``AIM`` of their neighbours. So tables that cluster read few lists, others many.
-6. Lists are dealt into blocks of ``LIST_BLOCK`` entries and their queries into blocks of ``QUERY_BLOCK``; each pair of
-   blocks is scored in one task, in double precision, and only its best k + 1 leave it.
+6. Neighbouring lists stand in one cell (as many cells as the square root of the lists), a class once in each. Cells are dealt into blocks of
+   ``LIST_BLOCK`` entries and their queries into blocks of ``QUERY_BLOCK``; each pair of blocks is scored in one task, in double precision, a query
+   against the entries of its own lists, and only its best k + 1 leave it.
 
 Sample, centroids, graph and trials are bounded; beyond ``MOST_LISTS`` lists grow, and then only their blocks multiply.
 
@@ -105,6 +106,23 @@ def list_centroids(x: np.ndarray, lists: int) -> np.ndarray:
     return np.vstack([balanced_centroids(p, max(1, round(lists * len(p) / len(x)))) for p in parts if len(p)])
 
 
+def cells_of(centroids: np.ndarray) -> np.ndarray:
+    """The cell of each list: clusters of the centroids, as many as the square root of their number."""
+    count = max(1, int(np.sqrt(len(centroids))))
+    start = centroids[np.random.default_rng(7).choice(len(centroids), count, replace=False)]
+    return _means(centroids, start, 8)[1]
+
+
+def by_cell(chosen: list[np.ndarray], cell_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(row, cell, its lists) of the lists chosen for each row."""
+    rows, lists = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]), np.concatenate([np.zeros(0, int), *chosen]).astype(np.int32)
+    cells = cell_of[lists]
+    order = np.lexsort([cells, rows])
+    rows, cells, lists = rows[order], cells[order], lists[order]
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (cells[1:] != cells[:-1])][:len(rows)])
+    return rows[new], cells[new].astype(np.int32), np.split(lists, new[1:])
+
+
 class Graph:
     """Centroids linked with their nearest; finds near centroids of many vectors at a time."""
 
@@ -206,7 +224,7 @@ def measured_ratio(classes: DataFrame, entries: DataFrame, graph: Graph, norm: f
     near = classes.select("cid", "embedding").mapInPandas(best, "trial int, cid long, score double").where("score > double('-infinity')")
     place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "cid"))
     near = near.withColumn("place", place).where(F.col("place") <= k).select("trial", "cid")
-    held = entries.select("cid", "list").join(F.broadcast(near), "cid").toPandas()  # at most TRIALS * k * COPIES rows
+    held = entries.select("cid", F.explode("lists").alias("list")).join(F.broadcast(near), "cid").toPandas()  # at most TRIALS * k * COPIES rows
     if not len(held):
         return 0.0
     d = np.sqrt(_distances(lifted(trials["embedding"], norm, True), graph.c))
@@ -229,23 +247,34 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     sample = classes.orderBy(F.xxhash64("embedding"), "first_id").limit(size).select("embedding").toPandas()
     graph = Graph(list_centroids(lifted(sample["embedding"], norm, False), lists)) if n else None
 
-    @F.pandas_udf("array<int>")
-    def homes(v: pd.Series) -> pd.Series:
+    cell_of = cells_of(graph.c) if graph else None
+
+    def in_cells(rows: DataFrame, choose) -> DataFrame:
+        """``rows`` (with ``embedding``) in every cell that holds some of the lists chosen for them, with those ``lists``."""
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    at, cells, lists = by_cell(choose(b["embedding"]), cell_of)
+                    yield b.iloc[at].assign(cell=cells, lists=lists)
+
+        if graph is None:
+            return rows.withColumn("cell", F.lit(0)).withColumn("lists", F.array(F.lit(0)))
+        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("cell int, lists array<int>").fields]))
+
+    def homes(v: pd.Series) -> list[np.ndarray]:
         at, d = graph.nearest(lifted(v, norm, False), 32)
         at, d = at[:, :COPIES], d[:, :COPIES]
-        use = (at >= 0) & (d <= d[:, :1] * (1 + CLOSURE) + 1e-9)
-        return pd.Series([a[u] for a, u in zip(at, use, strict=True)])
+        return [a[u] for a, u in zip(at, (at >= 0) & (d <= d[:, :1] * (1 + CLOSURE) + 1e-9), strict=True)]
 
-    entries = classes.withColumn("list", F.explode(homes("embedding"))) if n else classes.withColumn("list", F.lit(0))
-    entries = stored(entries.select("cid", "first_id", "embedding", "list"), "posting-lists")
-    sizes = {r["list"]: r["n"] for r in entries.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 2 * MOST_LISTS rows
+    entries = stored(in_cells(classes.select("cid", "first_id", "embedding"), homes), "posting-lists")
+    sizes = entries.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
+    sizes = {r["list"]: r["n"] for r in sizes.collect()}  # at most 2 * MOST_LISTS rows
     held = np.array([sizes.get(i, 0) for i in range(len(graph.c) if graph else 0)])
 
     ratio = measured_ratio(classes, entries, graph, norm, k) if n else 0.0
     enough = COPIES * (k + 1)
 
-    @F.pandas_udf("array<int>")
-    def probes(v: pd.Series) -> pd.Series:
+    def probes(v: pd.Series) -> list[np.ndarray]:
         x, out = lifted(v, norm, True), []
         at, _ = graph.nearest(x, WIDTH)
         for near, first in zip(graph.within(x, ratio), at, strict=True):
@@ -253,42 +282,51 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 first = first[first >= 0]
                 near = np.union1d(near, first[np.cumsum(held[first]) - held[first] < enough])
             out.append(near if held[near].sum() >= enough else np.arange(len(held)))  # lists too thin: all
-        return pd.Series(out)
+        return out
 
     query_rows = rows.where(F.col("vec_id") % every == 0).distinct().join(classes, "embedding").select("cid", F.col("vec_id").alias("query_id"))
     query_rows = stored(query_rows, "queries")
     queries = classes.join(query_rows.select("cid").distinct(), "cid", "left_semi")
-    queries = queries.withColumn("list", F.explode(probes("embedding"))) if n else queries.withColumn("list", F.lit(0))
-    queries = stored(queries.select(F.col("cid").alias("qid"), F.col("embedding").alias("query"), "list"), "probes")
+    queries = in_cells(queries.select(F.col("cid").alias("qid"), "embedding"), probes).withColumnRenamed("embedding", "query").withColumnRenamed("lists", "reads")
+    queries = stored(queries, "probes")
 
     def dealt(counted: DataFrame, block: int, name: str) -> DataFrame:
-        return counted.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        return counted.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
 
-    blocks = dealt(entries, LIST_BLOCK, "n_e").join(dealt(queries, QUERY_BLOCK, "n_q"), "list")
-    mine = F.pmod(F.xxhash64("cid", "list"), F.col("n_e")).cast("int").alias("e")
+    blocks = dealt(entries, LIST_BLOCK, "n_e").join(dealt(queries, QUERY_BLOCK, "n_q"), "cell")
+    mine = F.pmod(F.xxhash64("cid", "cell"), F.col("n_e")).cast("int").alias("e")
     every_q = F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q")
-    left = entries.join(blocks, "list").select("list", mine, every_q, "cid", "first_id", "embedding")
-    mine = F.pmod(F.xxhash64("qid", "list"), F.col("n_q")).cast("int").alias("q")
+    left = entries.join(blocks, "cell").select("cell", mine, every_q, "cid", "first_id", "embedding", "lists")
+    mine = F.pmod(F.xxhash64("qid", "cell"), F.col("n_q")).cast("int").alias("q")
     every_e = F.explode(F.sequence(F.lit(0), F.col("n_e") - 1)).alias("e")
-    right = queries.join(blocks, "list").select("list", every_e, mine, "qid", "query")
+    right = queries.join(blocks, "cell").select("cell", every_e, mine, "qid", "query", "reads")
+
+    def marks(lists: pd.Series, named: np.ndarray) -> np.ndarray:
+        """Rows by lists: 1 where the row names the list."""
+        out, flat = np.zeros((len(lists), len(named) + 1), np.float32), np.concatenate(lists.tolist())
+        at = np.searchsorted(named, flat)
+        at = np.where(np.isin(flat, named), at, len(named))
+        out[np.repeat(np.arange(len(lists)), lists.map(len)), at] = 1
+        return out[:, :-1]
 
     def best(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(q):
             return pd.DataFrame({"qid": [], "cid": [], "first_id": [], "score": []})
         x, y = np.array(e["embedding"].tolist(), np.float64), np.array(q["query"].tolist(), np.float64)
-        cid, approx = e["cid"].to_numpy(), y @ x.T
-        keep = np.ones(approx.shape, bool)
+        named = np.unique(np.concatenate(q["reads"].tolist()))
+        keep = marks(q["reads"], named) @ marks(e["lists"], named).T > 0
+        cid, approx = e["cid"].to_numpy(), np.where(keep, y @ x.T, -np.inf)
         if len(cid) > k + 1:
             cut = np.partition(approx, -(k + 1), axis=1)[:, -(k + 1)][:, None]
-            keep = ~(approx < cut - 1e-9 * (1 + np.abs(cut)))
+            keep &= ~(approx < cut - 1e-9 * (1 + np.abs(cut)))
         r, c = np.nonzero(keep)
-        score = np.concatenate([(x[c[i:i + 65_536]] * y[r[i:i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)])
+        score = np.concatenate([(x[c[i:i + 65_536]] * y[r[i:i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)] or [np.zeros(0)])
         return pd.DataFrame({"qid": q["qid"].to_numpy()[r], "cid": cid[c], "first_id": e["first_id"].to_numpy()[c], "score": score})
 
-    keys = ["list", "e", "q"]
+    keys = ["cell", "e", "q"]
     fields = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()), classes.schema["first_id"], T.StructField("score", T.DoubleType())])
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(best, fields)
-    found = found.groupBy("qid", "cid", "first_id").agg(F.max("score").alias("score"))  # a class that stands in several lists
+    found = found.groupBy("qid", "cid", "first_id").agg(F.max("score").alias("score"))  # a class that stands in several cells
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "first_id")
     top = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("qid", "cid", "score")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
