@@ -38,7 +38,7 @@ COPIES, CLOSURE = 4, 0.1
 TRIALS, AIM = 128, 0.97
 LINKS, WIDTH, ENTRIES = 16, 48, 128
 CELLS = 4 << 20  # rows times centroids that one step of a search marks
-LIST_BLOCK, QUERY_BLOCK = 2048, 512
+LIST_BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
