@@ -28,6 +28,7 @@ from claimlens.operators import sampling as SA
 from claimlens.operators.impute import median_table, mode_table
 from claimlens.operators.prefix import exact_medians, modes, stack
 from claimlens.plans import features as FE
+from claimlens.plans import fitted_state as FS
 from claimlens.plans import scoring as SC
 from claimlens.session import kept, release_kept, tune_session
 from claimlens.sources import fixtures as FX
@@ -307,6 +308,19 @@ def q_fit_vocab(spark, sf):
     return EN.vocab_table(FE.clean_main(FX.claims(spark, sf)), "typefaskes")
 
 
+@query("merged_fit")
+def q_merged_fit(spark, sf):
+    """Modes, vocabulary and the medians' rank check, merged from the stored state of two batches, the second appended twice."""
+    c, d, _ = _tables(spark, sf)
+    path = SK.work_dir(spark, "fitted-state")
+    for batch, part in (("a", "id % 2 = 0"), ("b", "id % 2 <> 0"), ("b", "id % 2 <> 0")):
+        FS.append(c.where(part), d.where(part), path, batch)
+    within = FS.rank_checked(FS.median_values(c, d), FS.merged_medians(spark, path))
+    out = FS.merged_modes(spark, path).select(F.lit("mode").alias("kind"), "name", F.col("mode").alias("value"))
+    out = out.unionByName(FS.merged_vocabulary(spark, path).select(F.lit("vocabulary").alias("kind"), F.lit(FS.VOCABULARY).alias("name"), "value"))
+    return out.unionByName(within.select(F.lit("median within").alias("kind"), "name", F.col("within").cast("string").alias("value")))
+
+
 @query("features")
 def q_features(spark, sf):
     return feature_table(spark, sf)

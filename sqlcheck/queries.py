@@ -57,6 +57,12 @@ _base = [S.MAIN, S.DD, S.PRIM, S.SEC, S.DP, S.DPARTS, S.JD]
 Q["fit_modes"] = W(*_base) + " UNION ALL ".join(
     [f"SELECT '{c}' AS name, {S.mode_sql('main', c)} AS mode" for c in K.MODE_COLUMNS]
     + [f"SELECT 'diagfkrtl_letter' AS name, {S.mode_sql('jd', 'diagfkrtl_letter')} AS mode"])
+Q["merged_fit"] = W(*_base) + (
+    "SELECT 'mode' AS kind, name, mode AS value FROM (" + " UNION ALL ".join(
+        [f"SELECT '{c}' AS name, {S.mode_sql('main', c)} AS mode" for c in K.MODE_COLUMNS]
+        + [f"SELECT 'diagfkrtl_letter' AS name, {S.mode_sql('jd', 'diagfkrtl_letter')} AS mode"])
+    + ") UNION ALL SELECT DISTINCT 'vocabulary', 'typefaskes', typefaskes FROM main WHERE typefaskes IS NOT NULL "
+    "UNION ALL SELECT 'median within', n, 'true' FROM (VALUES ('biaya'), ('diagfkrtl_num'), ('diagfkrtl_sekunder_counts')) t(n)")
 Q["fit_medians"] = W(*_base) + " UNION ALL ".join(
     [f"SELECT 'biaya' AS name, {S.median_sql('main', 'biaya')} AS median",
      f"SELECT 'diagfkrtl_num' AS name, {S.median_sql('jd', 'diagfkrtl_num')} AS median",
