@@ -12,7 +12,7 @@ import datetime as _dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from claimlens.operators import encoding as EN
 from claimlens.operators import metrics as ME
 from claimlens.operators import neighbors as NB
 from claimlens.operators import sampling as SA
+from claimlens.operators import sparse as SP
 from claimlens.plans import boosting as BO
 from claimlens.plans.trees import BoostedTreesModel, logistic, margin_arrays
 
@@ -75,10 +76,10 @@ def prepare(features: DataFrame, facility_vocab: list[str], cfg: TrainConfig):
 def rebalanced(train_rows: DataFrame, cfg: TrainConfig) -> DataFrame:
     """id, label, features: synthetic minority rows up to the over-sampling ratio, then the majority cut to the other ratio.
 
-    The over-sampled rows are checkpointed, since cutting the majority reads them several times."""
-    rows = train_rows.select("id", "label", vector_to_array("features").alias("vec"))
-    more = NB.oversample(rows, cfg.oversample_k, cfg.oversample_ratio, seed=cfg.seed)
-    more = more.select("id", "label", array_to_vector("vec").alias("features")).checkpoint()
+    Vectors stay sparse throughout. The over-sampled rows are written once, since cutting the majority reads them several times."""
+    rows = train_rows.select("id", "label", SP.sparse("features").alias("features"))
+    more = NB.oversample(rows, cfg.oversample_k, cfg.oversample_ratio, vec_col="features", seed=cfg.seed)
+    more = SP.stored_vectors(more.select("id", "label", "features"), "features")
     return SA.undersample(more, ratio=cfg.undersample_ratio, seed=cfg.seed).select("id", "label", "features")
 
 

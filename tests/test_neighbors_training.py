@@ -84,3 +84,41 @@ def test_nested_claim_scoring(spark):
     assert out.is_fraud == 1 and 0.5 <= out.confidence_score <= 1.0
     assert "cost" in out.explanation and "14 days" in out.explanation and "secondary diagnoses 5" in out.explanation
     assert out.model_info.threshold == 0.0
+
+
+def test_sparse_oversampling_equals_dense(spark):
+    """Neighbours, synthetic rows and the stored vectors of sparse rows equal those of the dense rows, bit by bit."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from claimlens.operators import sparse as SP
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        x = np.where(rng.random(40) < 0.15, rng.normal(0, 10 ** rng.integers(0, 7), 40), 0.0)
+        if i % 10 == 0:
+            x = np.zeros(40)  # equal rows without any occupied slot
+        v = Vectors.dense(x) if i % 2 else Vectors.sparse(40, [(int(k), float(x[k])) for k in np.flatnonzero(x)])
+        rows.append((i, 1 if i < 60 else 0, v))
+    df = spark.createDataFrame(rows, ["id", "label", "features"])
+    dense = df.select("id", "label", vector_to_array("features").alias("vec"))
+    thin = df.select("id", "label", SP.sparse("features").alias("vec"))
+    assert {tuple(r) for r in NB.knn(dense, 7).collect()} == {tuple(r) for r in NB.knn(thin, 7).collect()}
+    want = {r.id: (r.label, r.is_synthetic, r.vec) for r in NB.oversample(dense, 7, ratio=0.9).collect()}
+    out = SP.stored_vectors(NB.oversample(thin, 7, ratio=0.9), "vec")
+    got = {r.id: (r.label, r.is_synthetic, r.vec) for r in out.collect()}
+    assert len(got) == 150 + 21 and got.keys() == want.keys()
+    for i, (label, synthetic, v) in got.items():
+        assert (label, synthetic) == want[i][:2] and v.toArray().tolist() == want[i][2]
+
+
+def test_rebalancing_ships_no_dense_array(spark, tmp_path):
+    """What crosses the shuffles of over-sampling is slots and values only."""
+    from pyspark.ml.linalg import Vectors
+
+    from claimlens.operators import sparse as SP
+    df = spark.createDataFrame([(i, int(i < 9), Vectors.sparse(100_000, [(i, 1.0), (99_999, float(i))])) for i in range(60)], ["id", "label", "features"])
+    out = NB.oversample(df.select("id", "label", SP.sparse("features").alias("vec")), 3, ratio=0.5)
+    assert out.select(F.max(F.size("vec.values"))).first()[0] <= 3
+    assert "vector_to_array" not in out._jdf.queryExecution().toString()
+    assert out.where("is_synthetic and vec.size = 100000").count() == 16
