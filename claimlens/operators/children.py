@@ -41,8 +41,8 @@ def secondary_counts(diag_dedup: DataFrame) -> DataFrame:
             .groupBy("id").agg(F.count(F.lit(1)).alias("diagfkrtl_sekunder_counts")))
 
 
-def diag_prepared(diag: DataFrame) -> DataFrame:
-    """Primary diagnosis per claim with its secondary count (0 when none).
+def diag_prepared(diag: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Primary diagnosis per claim with its secondary count (0 when none); ``by``: the columns that name a claim.
 
     One de-duplication and one per-claim aggregate: the latest level-1 code
     (``max_by`` ignores rows whose order key is null, i.e. other levels) and
@@ -50,14 +50,14 @@ def diag_prepared(diag: DataFrame) -> DataFrame:
     not appear, as with a left join from the primaries."""
     d = dedupe_rows(normalise_diag_columns(diag))
     lvl = F.col("levelid")
-    per_claim = d.groupBy("id").agg(
+    per_claim = d.groupBy(*by).agg(
         F.count_if(lvl == 1).alias("_n_primary"),
         F.max_by("diag", F.when(lvl == 1, F.col(ORD))).alias("diag"),
         F.count_if(lvl == 2).cast("bigint").alias("diagfkrtl_sekunder_counts"))
     return per_claim.where(F.col("_n_primary") > 0).drop("_n_primary")
 
 
-def proc_counts(proc: DataFrame) -> DataFrame:
+def proc_counts(proc: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """Distinct procedure rows per claim."""
-    return (proc.dropDuplicates().groupBy("id")
+    return (proc.dropDuplicates().groupBy(*by)
             .agg(F.count(F.lit(1)).alias("proc_count")))

@@ -68,10 +68,10 @@ def engineer(main: DataFrame) -> DataFrame:
     return split_code_columns(df).drop("dati2")
 
 
-def diag_parts(diag: DataFrame) -> DataFrame:
+def diag_parts(diag: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """Per-claim primary diagnosis letter / number and secondary count."""
-    dp = diag_prepared(diag).withColumn("diag", clean_diag("diag"))
-    return dp.select("id", "diagfkrtl_sekunder_counts",
+    dp = diag_prepared(diag, by).withColumn("diag", clean_diag("diag"))
+    return dp.select(*by, "diagfkrtl_sekunder_counts",
                      code_letter(F.col("diag")).alias("diagfkrtl_letter"),
                      code_number(F.col("diag")).cast("double").alias("diagfkrtl_num"))
 
@@ -124,8 +124,8 @@ def fit_parts(main: DataFrame, j: DataFrame, median: str) -> FeatureParams:
     )
 
 
-def proc_table(proc: DataFrame) -> DataFrame:
-    return proc_counts(proc)
+def proc_table(proc: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    return proc_counts(proc, by)
 
 
 def transform(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: FeatureParams) -> DataFrame:
@@ -136,9 +136,9 @@ def transform(claims: DataFrame, diag: DataFrame, proc: DataFrame, params: Featu
 CHILD_COLUMNS = ("diagfkrtl_letter", "diagfkrtl_num", "diagfkrtl_sekunder_counts", "proc_count")
 
 
-def with_child_tables(claims: DataFrame, dparts: DataFrame, pcounts: DataFrame) -> DataFrame:
-    """Claims with ``CHILD_COLUMNS`` from the per-claim child aggregates (id-unique tables); null where a claim has none."""
-    return claims.join(dparts, "id", "left").join(pcounts, "id", "left")
+def with_child_tables(claims: DataFrame, dparts: DataFrame, pcounts: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Claims with ``CHILD_COLUMNS`` from the per-claim child aggregates (unique by ``by``); null where a claim has none."""
+    return claims.join(dparts, list(by), "left").join(pcounts, list(by), "left")
 
 
 def with_child_lists(nested: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stream scoring equals batch scoring on the same claims."""
 
+from pyspark.sql import functions as F
+
 from claimlens.plans import scoring as SC
 from claimlens.queries import feature_params
 from claimlens.sources import fixtures as FX
@@ -35,3 +37,28 @@ def test_stream_drops_resent_claims(spark, tmp_path):
     out = ST.run_to_table(spark, stream).toPandas()
     n = FX.claims(spark, SF_SMALL).count()
     assert len(out) == n and out["id"].is_unique
+
+
+def test_children_in_streams_of_their_own(spark, tmp_path):
+    """Early and late child rows count, rows past the watermark do not, claims without children come with null figures, each claim once."""
+    def turn(name, rows, schema):
+        df = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.col("at") * 86400))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return df.schema
+
+    claims, diag, proc = "id long, at long", "id long, at long, diag string, levelid int, ord long", "id long, at long, proc string"
+    closing = 400
+    schemas = {}
+    for i, (c, d, p) in enumerate((
+        ([(1, 10), (2, 10)], [(1, 10, "A01", 1, 1), (3, 12, "B02", 1, 1)], [(1, 10, "x")]),              # a diagnosis before its claim
+        ([(3, 12)], [(1, 10, "C09", 1, 7), (1, 10, "D10", 2, 8), (1, 10, "D10", 2, 9)], [(1, 10, "y"), (1, 10, "y")]),  # after its claim
+        ([(-1, closing)], [(-1, closing, "Z99", 1, 1)], [(-1, closing, "z")]),
+        ([(-3, closing)], [(-3, closing, "Z99", 1, 1)], [(-3, closing, "z")]),  # the claims fall due
+        ([(-2, closing)], [(1, 10, "E11", 1, 99)], [(2, 10, "late")]),                                   # too late
+    )):
+        schemas = {"c": turn("c", c, claims), "d": turn("d", d, diag), "p": turn("p", p, proc)}
+    streams = [spark.readStream.schema(schemas[n]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in "cdp"]
+    rows = ST.with_streamed_children(*streams, time="at", delay="30 days")
+    assert rows.isStreaming
+    got = {r.id: (r.diagfkrtl_letter, r.diagfkrtl_num, r.diagfkrtl_sekunder_counts, r.proc_count) for r in ST.run_to_table(spark, rows, "late").collect()}
+    assert got == {1: ("C", 9.0, 1, 2), 2: (None, None, None, None), 3: ("B", 2.0, 0, None)}
