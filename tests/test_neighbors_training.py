@@ -122,3 +122,22 @@ def test_rebalancing_ships_no_dense_array(spark, tmp_path):
     assert out.select(F.max(F.size("vec.values"))).first()[0] <= 3
     assert "vector_to_array" not in out._jdf.queryExecution().toString()
     assert out.where("is_synthetic and vec.size = 100000").count() == 16
+
+
+def test_lsh_neighbours(spark):
+    """Recall on points without clusters, a crowd of copies split into parts, right distances, no rows."""
+    from claimlens.operators import lsh as LSH
+    rng = np.random.default_rng(8)
+    X = np.concatenate([rng.normal(size=(1200, 24)), np.full((300, 24), 2.0)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)] + [(9_999, None)], "id long, vec array<double>")
+    loose = df.where("id < 1200")
+    r = LSH.recall(LSH.lsh_knn(loose, 5, tables=24, target=128), NB.knn(loose, 5)).first()
+    assert r.n_links == 6000 and r.recall >= 0.9
+    got = LSH.lsh_knn(df, 5, tables=4, target=64).collect()
+    for row in got:
+        assert row.id != row.nb_id and abs(row.dist - np.sqrt(((X[row.id] - X[row.nb_id]) ** 2).sum())) < 1e-9
+    assert sum(row.dist == 0 and row.id >= 1200 for row in got) == 300 * 5
+    named = LSH.bucket_names(df.where("vec is not null").selectExpr("id", "vec").withColumn("features", LSH.array_to_vector("vec")), 4, 12, 2.0, 1)
+    held = LSH.buckets(named, 64).groupBy("bucket", "part").count().agg(F.max("count"), F.sum("count")).first()
+    assert held[0] <= 130 and held[1] == 1500 * 4  # parts by hash are not quite even
+    assert LSH.lsh_knn(df.where("id < 0"), 5).collect() == []
