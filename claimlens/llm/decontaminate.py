@@ -123,15 +123,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     )
 
 
-def proximity(postings: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """uid, iuid, start of windows whose two rarest terms stand at most ``slop`` words apart in any order.
+def proximity(postings: DataFrame, terms: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """uid, iuid, start of windows all of whose terms stand, in any order, within reach of one occurrence of the rarest of them.
 
-    Positions are cut into cells of ``slop + 1`` words; two places that near lie in one cell or in neighbours.
+    ``reach`` is the window's length less one, plus ``slop`` words. Positions are cut into cells longer than any reach, so two places within reach lie
+    in one cell or in neighbours. Lists are intersected from the rarest: the two rarest terms first, once for all windows that share them,
+    then each other term of the windows left. Exact matches are among them.
     """
-    cell = F.floor(F.col("pos") / (slop + 1))
-    first = postings.join(windows.select("iuid", "start", F.col("t1").alias("term"), F.col("t2")), "term")
-    first = first.select("uid", "iuid", "start", F.col("t2").alias("term"), F.col("pos").alias("pos1"),
-                         F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    second = postings.select("uid", "term", "pos", cell.alias("cell"))
-    near = first.join(second, ["uid", "term", "cell"]).where(F.abs(F.col("pos") - F.col("pos1")) <= slop)
-    return near.select("uid", "iuid", "start").distinct()
+    reach = F.col("length") - 1 + slop
+    size = (windows.select(F.max("length")).first()[0] or 1) + slop
+    cell = F.floor(F.col("pos") / size)
+    around = F.explode(F.array(cell - 1, cell, cell + 1))
+    lists = postings.where("term >= 0").select("uid", "term", F.col("pos").alias("at"), cell.alias("cell"))
+    pairs = windows.select(F.col("t1").alias("term"), "t2", "length").distinct()
+    first = postings.join(pairs, "term").select("uid", "pos", F.col("term").alias("t1"), F.col("t2").alias("term"), "length", around.alias("cell"))
+    near = first.join(lists, ["uid", "term", "cell"]).where(F.abs(F.col("at") - F.col("pos")) <= reach)
+    near = near.select("uid", "pos", "t1", F.col("term").alias("t2"), "length").distinct()
+    own = terms.select("iuid", "p", "term").join(windows.select("iuid", "start", "length"), "iuid")
+    own = own.where("p >= start and p < start + length").select("iuid", "start", "term").distinct()
+    own = own.withColumn("n_terms", F.count("*").over(Window.partitionBy("iuid", "start")))
+    places = near.join(windows.select("iuid", "start", "t1", "t2", "length"), ["t1", "t2", "length"]).select("uid", "iuid", "start", "length", "pos")
+    wanted = places.join(own, ["iuid", "start"]).withColumn("cell", around)
+    seen = wanted.join(lists, ["uid", "term", "cell"]).where(F.abs(F.col("at") - F.col("pos")) <= reach)
+    held = seen.select("uid", "iuid", "start", "pos", "term", "n_terms").distinct().groupBy("uid", "iuid", "start", "pos", "n_terms").agg(F.count("*").alias("n"))
+    return held.where("n = n_terms").select("uid", "iuid", "start").distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, slop: int, width: int = WIDTH) -> DataFrame:
+    """doc_id, item_id, start, exact: each window of an item that a document holds, word for word (``exact``) or by proximity."""
+    postings, terms, wins, hits = search(docs, benchmark, width)
+    found = proximity(postings, terms, wins, slop)
+    hit = hits.select("uid", "iuid", "shift", "p").distinct()
+    begun = wins.select("iuid", "start", "length").join(hit.select("uid", "iuid", "shift", F.col("p")), "iuid")
+    exact = begun.where("p >= start and p < start + length").groupBy("uid", "iuid", "start", "length", "shift").agg(F.count("*").alias("n"))
+    exact = exact.where("n = length").select("uid", "iuid", "start", F.lit(True).alias("exact")).distinct()
+    rows = postings.where("term = -1").select("uid", "doc_id")
+    ids = terms.select("iuid", "item_id").distinct()
+    out = found.join(exact, ["uid", "iuid", "start"], "left").join(rows, "uid").join(ids, "iuid")
+    return out.select("doc_id", "item_id", "start", F.coalesce("exact", F.lit(False)).alias("exact"))
