@@ -3,8 +3,10 @@
 Base detectors find e-mail addresses, IP addresses, card and phone numbers in the text as it stands. Then rewriting
 transducers run one after the other, each carrying for every output character the source characters it stands for:
 look-alike characters and digits of other scripts become ASCII and invisible characters vanish; digits spelled as words
-(four or more in a row) become digits, ``plus`` before them a plus sign; ``at`` and ``dot`` in brackets, or spelled out together,
-become ``@`` and ``.``. The base detectors run again on the result, and spans found there are mapped back to the source.
+(four or more in a row, or any amid the digits of a number) become digits, ``plus`` before them a plus sign; ``at`` and ``dot`` in
+brackets, or spelled out together, between blanks or inside one token between ``_`` or ``-``, become ``@`` and ``.``; blanks between single
+letters before an ``@`` and round its signs vanish. Spelled-out addresses need a last label from a fixed list or of two letters that are no common word;
+where only ``at`` is spelled, the local part must look like an account, since "look at firma.com" is plain speech. The base detectors run again on the result, and spans found there are mapped back to the source.
 A span that a base span of its kind already covers is not added. A text without any trigger skips the rewriting.
 
 Detection is linear in the text: starts inside a run that has failed are not tried again. Nothing is shuffled.
@@ -53,7 +55,8 @@ SPELLED = {w: str(d) for words in (
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 DOT_WORDS = ("dot", "punto", "punkt", "point")
 _DOT = rf"(?:{'|'.join(DOT_WORDS)})"
-_AT = r"(?:at|arroba|arobase)"
+AT_WORDS = ("at", "arroba", "arobase")
+_AT = rf"(?:{'|'.join(AT_WORDS)})"
 _GAP = rf"(?:[\s,_-]{{1,3}}|\s*\.\s*|\s+{_DOT}\s+)"
 RUN = re.compile(rf"(?:\bplus{_GAP})?\b{_WORD}(?:{_GAP}{_WORD}\b){{3,}}", re.IGNORECASE)
 RUN_PART = re.compile(rf"(plus)|({_WORD})\b|(\.|{_DOT})|[\s,_-]+", re.IGNORECASE)
@@ -65,12 +68,26 @@ BRACKETS = re.compile(rf"[\[({{<]\s?(?:@|\.|{_AT}|{_DOT})\s?[\])}}>]")
 # Last labels that make a spelled-out "at ... dot ..." an address, fixed values.
 TOP = ("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au ch at be jp cn in br ru pl se no dk fi pt mx ar"
        " app dev ai me tv xyz online site example test invalid local").split()
+# Two-letter labels count as a country's unless they are common words, fixed values.
+NOT_COUNTRY = "am an as by do he hi if is my of oh ok on or so to up we".split()
 _LABEL = r"[A-Za-z0-9-]+"
+_LAST = rf"(?:{'|'.join(TOP)}|(?!(?:{'|'.join(NOT_COUNTRY)})(?![A-Za-z]))[A-Za-z]{{2}})(?![A-Za-z0-9-])"
 SPELLED_OUT = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+((?:\s{_DOT}\s[A-Za-z0-9._%+-]+)*)(?:\s{_AT}\s|\s?@\s?){_LABEL}(?:(?:\s{_DOT}\s|\.){_LABEL})*"
-    rf"\s{_DOT}\s(?:{'|'.join(TOP)})(?![A-Za-z0-9-])", re.IGNORECASE)
-SPELLED_SIGN = re.compile(rf"\s({_AT})\s|\s?(@)\s?|\s{_DOT}\s", re.IGNORECASE)
-
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+((?:\s{{1,4}}{_DOT}\s{{1,4}}[A-Za-z0-9._%+-]+)*)(?:\s{{1,4}}{_AT}\s{{1,4}}|\s{{0,4}}@\s{{0,4}}){_LABEL}"
+    rf"(?:(?:\s{{1,4}}{_DOT}\s{{1,4}}|\.){_LABEL})*\s{{1,4}}{_DOT}\s{{1,4}}{_LAST}", re.IGNORECASE)
+SPELLED_SIGN = re.compile(rf"\s+({_AT})\s+|\s*(@)\s*|\s+{_DOT}\s+", re.IGNORECASE)
+# "jane.doe at firma.com": the dot stands as it is, so the local part must look like an account (it holds a digit or one of . _ + %).
+PLAIN_DOT = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z%+-]*[0-9._+%])[A-Za-z0-9._%+-]*[A-Za-z0-9](\s{{1,4}}{_AT}\s{{1,4}}){_LABEL}(?:\.{_LABEL})*\.{_LAST}", re.IGNORECASE)
+# "jane_at_firma_dot_com": one token, its signs between _ or -.
+TOKEN = re.compile(r"[A-Za-z0-9._%+-]+")
+JOINED_AT = re.compile(rf"(?<=[A-Za-z0-9])[_-]{{1,3}}{_AT}[_-]{{1,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
+JOINED_DOT = re.compile(rf"(?<=[A-Za-z0-9])[_-]{{1,3}}{_DOT}[_-]{{1,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
+JOINED_LAST = re.compile(_LAST, re.IGNORECASE)
+# "j a n e @ firma . com": single letters before the sign, or blanks round it and round the dots.
+SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])((?:[A-Za-z0-9] ){{2,63}}[A-Za-z0-9]|[A-Za-z0-9._%+-]+) ?@ ?{_LABEL}(?:(?: \. |\.){_LABEL})*(?: \. |\.){_LAST}")
+# Spelled digits between digits of a number.
+AMID = re.compile(rf"(?<=[0-9]){_GAP}{_WORD}(?:{_GAP}{_WORD}\b)*{_GAP}(?=[0-9])", re.IGNORECASE)
 
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
@@ -138,6 +155,28 @@ def spelled_digits(x: Carried) -> Carried:
     for run in RUN.finditer(x.text):
         for m in RUN_PART.finditer(x.text, run.start(), run.end()):
             edits.append((m.start(), m.end(), "+" if m[1] else SPELLED[m[2].lower()] if m[2] else "." if m[3] else ""))
+    x.rewrite(edits)
+    edits = []
+    for run in AMID.finditer(x.text):
+        edits += [(m.start(), m.end(), SPELLED[m[2].lower()] if m[2] else "." if m[3] else "") for m in RUN_PART.finditer(x.text, run.start(), run.end())]
+    return x.rewrite(edits)
+
+
+def joined_address(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """The rewriting of a token like jane_at_firma_dot_com; none for other tokens."""
+    at = JOINED_AT.search(text, start, end)
+    dots = list(JOINED_DOT.finditer(text, at.end(), end)) if at else []
+    tail = JOINED_LAST.match(text, dots[-1].end()) if dots else None
+    if not tail or tail.end() != end:
+        return []
+    signs = [*JOINED_DOT.finditer(text, start, at.start()), *dots]
+    return sorted([(at.start(), at.end(), "@"), *((d.start(), d.end(), ".") for d in signs)])
+
+
+def spaced_addresses(x: Carried) -> Carried:
+    edits = []
+    for m in SPACED.finditer(x.text):
+        edits += [(k, k + 1, "") for k in range(m.start(), m.end()) if x.text[k] == " "]
     return x.rewrite(edits)
 
 
@@ -150,11 +189,17 @@ def at_and_dot(x: Carried) -> Carried:
     for m in SPELLED_OUT.finditer(x.text):
         signs = list(SPELLED_SIGN.finditer(x.text, m.start(1), m.end()))
         edits += [(s.start(), s.end(), "@" if s[1] or s[2] else ".") for s in signs]
+    x.rewrite(edits)
+    x.rewrite([(m.start(1), m.end(1), "@") for m in PLAIN_DOT.finditer(x.text)])
+    low, edits = x.text.lower(), []
+    if any(f"{c}{w}{d}" in low for w in AT_WORDS for c in "_-" for d in "_-"):
+        for m in TOKEN.finditer(x.text):
+            edits += joined_address(x.text, m.start(), m.end())
     return x.rewrite(edits)
 
 
 def many_spelled(low: str) -> bool:
-    """Whether four digit words may stand in a row, dots between them aside."""
+    """Whether four digit words may stand in a row, dots between them aside, or one amid a number."""
     words = low.replace("-", " ").replace(",", " ").replace("_", " ").replace(".", " ").split()
     if SPELLED.keys().isdisjoint(words):
         return False
@@ -163,7 +208,7 @@ def many_spelled(low: str) -> bool:
         run = run + 1 if w in SPELLED else run if w in DOT_WORDS else 0
         if run == 4:
             return True
-    return False
+    return AMID.search(low) is not None
 
 
 def strange_characters(text: str) -> bool:
@@ -179,10 +224,12 @@ def strange_characters(text: str) -> bool:
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Spans of the rewritten text, mapped back; none if nothing in the text asks for rewriting."""
     low = text.lower()
-    signs = any(w in low for w in DOT_WORDS) or any(c in low for c in "[({<") and BRACKETS.search(low) is not None
+    signs = (any(w in low for w in DOT_WORDS) or any(c in low for c in "[({<") and BRACKETS.search(low) is not None
+             or PLAIN_DOT.search(text) is not None)
+    spaced = "@ " in low or " @" in low
     strange = strange_characters(text)
     spelled = many_spelled(low)
-    if not (signs or strange or spelled):
+    if not (signs or strange or spelled or spaced):
         return []
     x = Carried(text)
     if strange:
@@ -191,6 +238,8 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
         spelled_digits(x)
     if signs or strange:
         at_and_dot(x)
+    if spaced or strange:
+        spaced_addresses(x)
     if x.text == text:
         return []
     return [(x.first[s], k, x.last[e - 1]) for s, k, e in detect(x.text)]

@@ -122,11 +122,33 @@ def test_decontamination_without_items(spark, docs, rows):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "rare a a a uncommon"), (2, "rare a a a a a a a uncommon"), (3, "uncommon a rare")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "rare uncommon a a a a")], "item_id long, text string")
-    postings, _, wins, _ = decontaminate.search(docs, items)
-    near = decontaminate.proximity(postings, wins, 4).join(postings.where("term = -1").select("uid", "doc_id"), "uid")
-    assert {r.doc_id for r in near.collect()} == {1, 3}
+    """Exact and proximity matches against a search of every window at every occurrence of its rarest term."""
+    import random
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60))) for _ in range(30)] + ["a b c x d", "d c b a", "", None]
+    items = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 7))) for _ in range(12)] + ["a b c d", "zz a", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    width, slop = 4, 2
+    got = {tuple(r) for r in decontaminate.matches(docs, benchmark, slop, width).collect()}
+    count = collections.Counter(w for t in texts if t for w in t.split())
+    want = set()
+    for item, text in enumerate(items):
+        words = (text or "").split()
+        length = min(width, len(words))
+        for start in range(len(words) - length + 1 if words else 0):
+            window = words[start:start + length]
+            rarest = min(range(length), key=lambda k: (count[window[k]], k))
+            for doc, t in enumerate(texts):
+                own = (t or "").split()
+                reach = length - 1 + slop
+                near = any(set(window) <= set(own[max(0, i - reach):i + reach + 1]) for i, w in enumerate(own) if w == window[rarest])
+                exact = any(own[i:i + length] == window for i in range(len(own)))
+                if near:
+                    want.add((doc, item, start, exact))
+                assert near or not exact
+    assert got == want and {e for *_, e in want} == {True, False}
+    assert decontaminate.matches(docs, benchmark.where("item_id < 0"), slop).collect() == []
 
 
 def test_packing_round_trip(docs, rows, no_docs):
@@ -193,11 +215,18 @@ def test_pii_disguises_map_back_to_the_source():
         ("x jo [at] mail [dot] com y", "email", "jo [at] mail [dot] com"), ("jо.dое＠mail.com", "email", "jо.dое＠mail.com"),
         ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
         ("192 dot 168 dot 1 dot 10 here", "ip", "192 dot 168 dot 1 dot 10"), ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+        ("write jane at firma dot gr soon", "email", "jane at firma dot gr"), ("to jane at  firma   dot com.", "email", "jane at  firma   dot com"),
+        ("x jane_at_firma_dot_com y", "email", "jane_at_firma_dot_com"), ("x jane-at-firma-dot-co-dot-uk y", "email", "jane-at-firma-dot-co-dot-uk"),
+        ("ask jane.doe at firma.com now", "email", "jane.doe at firma.com"), ("is j a n e @ firma . com it", "email", "j a n e @ firma . com"),
+        ("call +1 555 oh one two 3456 now", "phone", "+1 555 oh one two 3456"), ("4111 one one one one 1111 one 111", "card", "4111 one one one one 1111 one 111"),
         ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
     ):
         assert [(pii.KINDS[k], text[s:e]) for s, k, e, _ in pii.all_spans(text)] == [(kind, span)]
-    for text in ("we met at the dot and left", "look at point a (b) [c]", "one two three", "é at home"):
+    for text in ("look at firma.com", "we saw it at 3 one day, 5 two", "look_at_the_dot_product", "a @ b", "meet me at home dot on", "Room 12 at site.plan",
+                 "we met at the dot and left", "look at point a (b) [c]", "one two three", "é at home"):
         assert pii.all_spans(text) == []
+    for piece in ("a_at_b_dot_", "a at b dot ", "1 one ", "a @ b . ", "a ", "a.1-at-"):
+        pii.all_spans(piece * 20_000)  # linear in repeated disguises
     assert pii.detect("a" * 200_000) == pii.detect("1" * 200_000) == []  # linear in long runs
 
 
