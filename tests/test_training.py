@@ -163,3 +163,26 @@ def test_trees_walk_and_save(spark, tmp_path):
     got = [r.probability for r in back.transform(rows).orderBy("id").collect()]
     assert np.allclose(got, 1 / (1 + np.exp(-np.array([-0.75, 2.25, 5.25]))))
     assert [r.p for r in TE.BoostedTreesModel(TE.Trees.of([])).transform(rows).selectExpr("probability as p").collect()] == [0.5] * 3
+
+
+def test_a_round_does_not_hold_the_plans_of_those_before(spark, monkeypatch):
+    """The plan that a tree is fitted on has the same size in every round up to the next checkpoint."""
+    sizes, fit = [], BO.DecisionTreeRegressor.fit
+
+    def measured(self, rows):
+        sizes.append(len(rows._jdf.queryExecution().executedPlan().toString()))
+        return fit(self, rows)
+
+    monkeypatch.setattr(BO.DecisionTreeRegressor, "fit", measured)
+    rows = spark.createDataFrame([(part, int(i % 10 > 5), 1.0, Vectors.dense([i % 10, i % 3])) for i in range(60) for part in (BO.FIT, "val")],
+                                 ["part", "label", "w", "features"])
+    r = BO.fit(rows, 2, BO.BoostConfig(max_iter=6, max_depth=2, step_size=0.3, column_share=1.0, min_leaf_weight=0.0))
+    assert r.fitted == 6 and max(sizes[1:]) < 2 * sizes[1]
+    assert r.losses["val"] == sorted(r.losses["val"], reverse=True)
+
+
+def test_slots_of_sparse_and_dense_vectors_are_picked_alike(spark):
+    v = [Vectors.sparse(5, [1, 3], [2.0, -1.0]), Vectors.dense([0.0, 2.0, 0.0, -1.0, 7.0]), Vectors.sparse(5, [], [])]
+    rows = spark.createDataFrame([(x,) for x in v], ["features"]).select(F.unwrap_udt("features").alias("v")).select("v.*").toPandas()
+    assert TE.picked(rows, np.array([1, 4])).tolist() == [[2.0, 0.0], [2.0, 7.0], [0.0, 0.0]]
+    assert TE.picked(rows, np.zeros(0, np.int64)).shape == (3, 0)
