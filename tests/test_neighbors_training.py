@@ -141,3 +141,27 @@ def test_lsh_neighbours(spark):
     held = LSH.buckets(named, 64).groupBy("bucket", "part").count().agg(F.max("count"), F.sum("count")).first()
     assert held[0] <= 130 and held[1] == 1500 * 4  # parts by hash are not quite even
     assert LSH.lsh_knn(df.where("id < 0"), 5).collect() == []
+
+
+def test_pairs_are_narrowed_by_products_and_measured_anew():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (300, 16)) + 1e6, np.full((3, 16), 1e6)])  # far from 0, with copies
+    same = np.eye(len(x), dtype=bool)
+    qi, mi, limit = NB._possible(x, x, same, 4, np.full(len(x), np.inf))
+    assert len(qi) < 10 * len(x) and not (qi == mi).any()
+    found = NB._distances(x, x, qi, mi)
+    for i in (0, 7, 299, 301):
+        d = np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1])
+        d[i] = np.inf
+        assert np.sort(found[qi == i])[:4].tolist() == np.sort(d)[:4].tolist()
+
+
+def test_knn_exact_in_small_pieces(spark, monkeypatch):
+    """Candidate rows leave a task in pieces, and members and queries meet in blocks."""
+    monkeypatch.setattr(NB, "EMIT_DOUBLES", 64)
+    monkeypatch.setattr(NB, "PAIR_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    X = np.concatenate([rng.normal(0, 1, (90, 6)), np.zeros((5, 6))])
+    ids = list(range(len(X)))
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, X)], "id long, vec array<double>")
+    assert {(r.id, r.nb_id, r.rank) for r in NB.knn(df, 6).collect()} == _brute(X, ids, 6)
