@@ -62,3 +62,18 @@ def test_children_in_streams_of_their_own(spark, tmp_path):
     assert rows.isStreaming
     got = {r.id: (r.diagfkrtl_letter, r.diagfkrtl_num, r.diagfkrtl_sekunder_counts, r.proc_count) for r in ST.run_to_table(spark, rows, "late").collect()}
     assert got == {1: ("C", 9.0, 1, 2), 2: (None, None, None, None), 3: ("B", 2.0, 0, None)}
+
+
+def test_stream_inputs_are_written_in_files_that_follow_the_rows(spark, monkeypatch, tmp_path):
+    from claimlens import queries as Q
+    from claimlens.sources import fixtures as FX
+    monkeypatch.setattr(Q, "STREAM_FILE_ROWS", 100)
+    monkeypatch.setattr(Q.SK, "work_dir", lambda spark, name: str(tmp_path / name))
+    Q.nested_stream(spark, SF_SMALL)
+    rows = spark.read.parquet(str(tmp_path / "nested-claims")).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in rows) <= 110 and sum(r["count"] for r in rows) == 1500
+    Q.child_streams(spark, SF_SMALL)
+    claims, diag, _ = FX.fixture_tables(spark, SF_SMALL)
+    back = spark.read.parquet(str(tmp_path / "diagnoses-stream")).where("id <> -1")
+    want = diag.join(claims.select("id", "tgldatang"), "id")
+    assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
