@@ -181,6 +181,15 @@ def test_run_tokens_equal_whole_texts():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_run_tokens_keep_each_word_once():
+    runs = packing.RunTokens(public_tokenizers.path(packing.VOCABULARY))
+    room = runs.room
+    first = runs(["Cost cost, cost. Préçis, Préçis"])
+    assert set(runs.known) == {b"Cost", b"cost", b",", b".", "Préçis".encode()}
+    left = runs.room
+    assert left < room and runs(["Cost cost, cost. Préçis, Préçis"]) == first and runs.room == left
+
+
 def base_spans(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
