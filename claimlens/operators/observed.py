@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.operators.quality import missing_count
 
 
-def observed(df: DataFrame, label: str = "label") -> tuple[DataFrame, Observation]:
-    """``df``, counted as it is read: rows, missing values of each column, rows labelled 1. The counts are there after the first action."""
+def observed(df: DataFrame, label: str = "label", leave_out: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """``df``, counted as it is read: rows, missing values of each column but ``leave_out``, rows labelled 1. The counts are there after
+    the first action."""
     seen = Observation()
-    counts = [F.count(F.lit(1)).alias("rows"), *[missing_count(df, c).alias(f"missing:{c}") for c in df.columns]]
+    counts = [F.count(F.lit(1)).alias("rows"), *[missing_count(df, c).alias(f"missing:{c}") for c in df.columns if c not in leave_out]]
     if label in df.columns:
         counts.append(F.count_if(F.col(label) == 1).alias("labelled"))
     return df.observe(seen, *counts), seen

@@ -39,3 +39,27 @@ def test_fixture_one_row_per_claim(spark):
     assert f.count() == n
     assert f.select("id").distinct().count() == n
     assert set(f.columns) == set(FE.FEATURE_COLUMNS)
+
+
+def test_features_read_claims_joined_once(spark, tmp_path):
+    """The joins are done once, for fitting and features alike: what is left is a projection, and nothing stays persisted.
+    Repeated and null keys and claims without children are rows as before."""
+    from claimlens import queries as Q
+    from claimlens.sources.tables import SCHEMAS
+    sf = str(tmp_path)
+    orders = [(k, 1 + k % 2, "O", 10.0 * k, None, "1-URGENT") for k in range(1, 30)] + [(5, 1, "O", 7.5, None, "2-HIGH"), (77, 2, "O", None, None, None)]
+    lines = [(k, p, s, n, 1.0, 1.0, 0.0, 0.0, "N", "O", None) for k in (*range(1, 25), None) for n, (p, s) in enumerate([(k or 1, 3), (7, 4), (7, 4), (20, 5)], 1)]
+    rows = {"orders": orders + [(None, 1, "O", 1.0, None, None)], "customer": [(1, "a", 1, 0.0, "AUTO"), (2, "b", 1, 0.0, None)], "lineitem": lines}
+    for t, r in rows.items():
+        spark.createDataFrame(r, SCHEMAS[t]).write.parquet(f"{sf}/{t}.parquet")
+    Q.release(spark)
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    got = Q.feature_table(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Exchange", "InMemoryTableScan"))
+    want, params = FE.build(*FX.fixture_tables(spark, sf))
+    assert Q.feature_params(spark, sf) == params
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 32
+    assert Q.split_features(spark, sf).count() == 32
+    Q.release(spark)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
