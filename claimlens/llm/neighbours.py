@@ -10,11 +10,12 @@
 5. A query reads all lists whose centroids are at most ``1 + ratio`` times as far as its nearest, however many, and more while they hold
    fewer than ``COPIES * (k + 1)`` entries. The ratio is measured: ``TRIALS`` classes, first in hash order, are compared with the whole table, and the
    ratio is the least one that reads lists holding the share ``AIM`` of their neighbours. So tables that cluster read few lists, others many.
-6. Neighbouring lists stand in one cell (as many cells as the square root of the lists), a class once in each. Cells are dealt into blocks of
-   ``LIST_BLOCK`` entries and their queries into blocks of ``QUERY_BLOCK``; each pair of blocks is scored in one task, in double precision, a query
-   against the entries of its own lists, and only its best k + 1 leave it.
+6. Neighbouring lists make a cell (as many cells as the square root of the lists). Queries whose nearest lists lie in the same cell stand in the
+   same block of about ``QUERY_BLOCK``; a class goes once to each block that reads one of its cells, there to one of ``STRIPES`` stripes. A task meets the
+   queries of a block and then the classes of a stripe in batches, which it scores in double precision, a query against the classes of its own lists,
+   and keeps the best k + 1 so far of each query. So ``STRIPES * (k + 1)`` rows a query leave the tasks, however large the table.
 
-Sample, centroids, graph and trials are bounded; beyond ``MOST_LISTS`` lists grow, and then only their blocks multiply.
+Sample, centroids, graph and trials are bounded; beyond ``MOST_LISTS`` lists grow, and then only their batches multiply.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a null
 id, nor vectors of another length than the most frequent one. Rows repeated with id and vector count once; a query's own id is never among its
@@ -38,7 +39,7 @@ COPIES, CLOSURE = 4, 0.1
 TRIALS, AIM = 128, 0.97
 LINKS, WIDTH, ENTRIES = 16, 48, 128
 CELLS = 4 << 20  # rows times centroids that one step of a search marks
-LIST_BLOCK, QUERY_BLOCK = 8192, 512
+QUERY_BLOCK, STRIPES = 2048, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -113,14 +114,16 @@ def cells_of(centroids: np.ndarray) -> np.ndarray:
     return _means(centroids, start, 8)[1]
 
 
-def by_cell(chosen: list[np.ndarray], cell_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(row, cell, its lists) of the lists chosen for each row."""
-    rows, lists = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]), np.concatenate([np.zeros(0, int), *chosen]).astype(np.int32)
-    cells = cell_of[lists]
-    order = np.lexsort([cells, rows])
-    rows, cells, lists = rows[order], cells[order], lists[order]
-    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (cells[1:] != cells[:-1])][:len(rows)])
-    return rows[new], cells[new].astype(np.int32), np.split(lists, new[1:])
+def query_blocks(held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell that holds so many queries: cells of few share a block, those above ``size`` have several."""
+    first, parts, block, room = np.zeros(len(held), int), np.maximum(1, -(-held // size)), -1, 0
+    for cell, n in enumerate(held):
+        if n > room or block < 0:
+            block, room = block + 1, size
+        first[cell] = block
+        block += parts[cell] - 1
+        room = room - n if parts[cell] == 1 else 0
+    return first, parts
 
 
 class Graph:
@@ -195,6 +198,46 @@ class Graph:
         return out
 
 
+class Best:
+    """The best ``k`` classes of each query of a block, among those that share a list with it, while classes come in batches."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, reads: list[np.ndarray], k: int):
+        self.ids, self.y, self.k = ids, queries, k
+        flat, rows = np.concatenate(reads), np.repeat(np.arange(len(ids)), [len(r) for r in reads])
+        self.named = np.unique(flat)
+        self.reads = np.zeros((len(self.named) + 1, len(ids)), bool)  # the last row stands for lists that no query reads
+        self.reads[np.searchsorted(self.named, flat), rows] = True
+        self.row, self.cid, self.first, self.score = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, cid: np.ndarray, first: np.ndarray, x: np.ndarray, lists: list[np.ndarray]) -> None:
+        flat, sizes = np.concatenate(lists), np.array([len(c) for c in lists])
+        at = np.searchsorted(self.named, flat)
+        at[self.named[np.minimum(at, len(self.named) - 1)] != flat] = len(self.named)
+        keep = np.logical_or.reduceat(self.reads[at], np.cumsum(sizes) - sizes)
+        approx = np.where(keep, x @ self.y.T, -np.inf)
+        beats = lambda cut: keep & ~(approx < cut - 1e-9 * (1 + np.abs(cut)))
+        good = beats(self.least)
+        if len(cid) > self.k and np.count_nonzero(good) > 4 * self.k * len(self.ids):
+            good = beats(np.maximum(self.least, np.partition(approx, -self.k, axis=0)[-self.k]))
+        c, r = np.nonzero(good)
+        score = np.concatenate([(x[c[i:i + 65_536]] * self.y[r[i:i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)] or [np.zeros(0)])
+        row, cid, first, score = (np.concatenate(p) for p in ((self.row, r), (self.cid, cid[c]), (self.first, first[c]), (self.score, score)))
+        order = np.lexsort([first, -score, row])
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[place < self.k]
+        self.least[row[place == self.k - 1]] = score[order][place[place < self.k] == self.k - 1]
+        self.row, self.cid, self.first, self.score = row[place < self.k], cid[order], first[order], score[order]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"qid": self.ids[self.row], "cid": self.cid, "first_id": self.first, "score": self.score})
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), np.float64)
+
+
 def lifted(vectors: pd.Series, norm: float, query: bool) -> np.ndarray:
     """Unit vectors whose distances rank inner products."""
     x = np.array(vectors.tolist(), np.float64)
@@ -245,36 +288,31 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     lists = int(np.clip(n // LIST_SIZE, 1, MOST_LISTS))
     size = max(LEAST_SAMPLE, PER_LIST * lists)
     sample = classes.orderBy(F.xxhash64("embedding"), "first_id").limit(size).select("embedding").toPandas()
-    graph = Graph(list_centroids(lifted(sample["embedding"], norm, False), lists)) if n else None
-
-    cell_of = cells_of(graph.c) if graph else None
-
-    def in_cells(rows: DataFrame, choose) -> DataFrame:
-        """``rows`` (with ``embedding``) in every cell that holds some of the lists chosen for them, with those ``lists``."""
-        def run(batches):
-            for b in batches:
-                if len(b):
-                    at, cells, lists = by_cell(choose(b["embedding"]), cell_of)
-                    yield b.iloc[at].assign(cell=cells, lists=lists)
-
-        if graph is None:
-            return rows.withColumn("cell", F.lit(0)).withColumn("lists", F.array(F.lit(0)))
-        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("cell int, lists array<int>").fields]))
+    graph = Graph(list_centroids(lifted(sample["embedding"], norm, False), lists) if n else np.zeros((1, 1)))
+    cell_of = cells_of(graph.c)
+    n_cells = int(cell_of.max()) + 1
 
     def homes(v: pd.Series) -> list[np.ndarray]:
         at, d = graph.nearest(lifted(v, norm, False), 32)
         at, d = at[:, :COPIES], d[:, :COPIES]
         return [a[u] for a, u in zip(at, (at >= 0) & (d <= d[:, :1] * (1 + CLOSURE) + 1e-9), strict=True)]
 
-    entries = stored(in_cells(classes.select("cid", "first_id", "embedding"), homes), "posting-lists")
+    def listed(batches):
+        for b in batches:
+            if len(b):
+                yield b.assign(lists=homes(b["embedding"]))
+
+    rows_of = classes.select("cid", "first_id", "embedding")
+    entries = stored(rows_of.mapInPandas(listed, T.StructType([*rows_of.schema.fields, *T.StructType.fromDDL("lists array<int>").fields])), "posting-lists")
     sizes = entries.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
     sizes = {r["list"]: r["n"] for r in sizes.collect()}  # at most 2 * MOST_LISTS rows
-    held = np.array([sizes.get(i, 0) for i in range(len(graph.c) if graph else 0)])
+    held = np.array([sizes.get(i, 0) for i in range(len(graph.c))])
 
     ratio = measured_ratio(classes, entries, graph, norm, k) if n else 0.0
     enough = COPIES * (k + 1)
 
-    def probes(v: pd.Series) -> list[np.ndarray]:
+    def probes(v: pd.Series) -> tuple[list[np.ndarray], np.ndarray]:
+        """The lists that queries read, and the cells of their nearest ones."""
         x, out = lifted(v, norm, True), []
         at, _ = graph.nearest(x, WIDTH)
         for near, first in zip(graph.within(x, ratio), at, strict=True):
@@ -282,51 +320,78 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 first = first[first >= 0]
                 near = np.union1d(near, first[np.cumsum(held[first]) - held[first] < enough])
             out.append(near if held[near].sum() >= enough else np.arange(len(held)))  # lists too thin: all
-        return out
+        return out, cell_of[at[:, 0]]
+
+    def probed(batches):
+        for b in batches:
+            if len(b):
+                reads, home = probes(b["query"])
+                yield b.assign(reads=reads, home=home)
 
     query_rows = rows.where(F.col("vec_id") % every == 0).distinct().join(classes, "embedding").select("cid", F.col("vec_id").alias("query_id"))
     query_rows = stored(query_rows, "queries")
     queries = classes.join(query_rows.select("cid").distinct(), "cid", "left_semi")
-    queries = in_cells(queries.select(F.col("cid").alias("qid"), "embedding"), probes).withColumnRenamed("embedding", "query").withColumnRenamed("lists", "reads")
-    queries = stored(queries, "probes")
-
-    def dealt(counted: DataFrame, block: int, name: str) -> DataFrame:
-        return counted.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-    blocks = dealt(entries, LIST_BLOCK, "n_e").join(dealt(queries, QUERY_BLOCK, "n_q"), "cell")
-    mine = F.pmod(F.xxhash64("cid", "cell"), F.col("n_e")).cast("int").alias("e")
-    every_q = F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q")
-    left = entries.join(blocks, "cell").select("cell", mine, every_q, "cid", "first_id", "embedding", "lists")
-    mine = F.pmod(F.xxhash64("qid", "cell"), F.col("n_q")).cast("int").alias("q")
-    every_e = F.explode(F.sequence(F.lit(0), F.col("n_e") - 1)).alias("e")
-    right = queries.join(blocks, "cell").select("cell", every_e, mine, "qid", "query", "reads")
-
-    def marks(lists: pd.Series, named: np.ndarray) -> np.ndarray:
-        """Rows by lists: 1 where the row names the list."""
-        out, flat = np.zeros((len(lists), len(named) + 1), np.float32), np.concatenate(lists.tolist())
-        at = np.searchsorted(named, flat)
-        at = np.where(np.isin(flat, named), at, len(named))
-        out[np.repeat(np.arange(len(lists)), lists.map(len)), at] = 1
-        return out[:, :-1]
-
-    def best(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(e) or not len(q):
-            return pd.DataFrame({"qid": [], "cid": [], "first_id": [], "score": []})
-        x, y = np.array(e["embedding"].tolist(), np.float64), np.array(q["query"].tolist(), np.float64)
-        named = np.unique(np.concatenate(q["reads"].tolist()))
-        keep = marks(q["reads"], named) @ marks(e["lists"], named).T > 0
-        cid, approx = e["cid"].to_numpy(), np.where(keep, y @ x.T, -np.inf)
-        if len(cid) > k + 1:
-            cut = np.partition(approx, -(k + 1), axis=1)[:, -(k + 1)][:, None]
-            keep &= ~(approx < cut - 1e-9 * (1 + np.abs(cut)))
-        r, c = np.nonzero(keep)
-        score = np.concatenate([(x[c[i:i + 65_536]] * y[r[i:i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)] or [np.zeros(0)])
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[r], "cid": cid[c], "first_id": e["first_id"].to_numpy()[c], "score": score})
-
-    keys = ["cell", "e", "q"]
+    queries = queries.select(F.col("cid").alias("qid"), F.col("embedding").alias("query"))
+    queries = stored(queries.mapInPandas(probed, T.StructType([*queries.schema.fields, *T.StructType.fromDDL("reads array<int>, home int").fields])), "probes")
+
+    at_home = {r["home"]: r["n"] for r in queries.groupBy("home").agg(F.count("*").alias("n")).collect()}  # one row a cell
+    first, parts = query_blocks(np.array([at_home.get(c, 0) for c in range(n_cells)]), QUERY_BLOCK)
+    n_blocks = int((first + parts).max())
+    of_home = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(n_cells)], "home int, first int, parts int")
+    block = (F.col("first") + F.pmod(F.xxhash64("qid"), F.col("parts"))).cast("int").alias("block")
+    queries = queries.join(F.broadcast(of_home), "home").select(block, "qid", "query", "reads")
+
+    def cells_read(batches):
+        for b in batches:
+            if len(b):
+                cells = cell_of[np.concatenate(b["reads"].tolist())]
+                pairs = np.unique(np.repeat(b["block"].to_numpy(np.int64), b["reads"].map(len)) * n_cells + cells)
+                yield pd.DataFrame({"block": pairs // n_cells, "cell": pairs % n_cells})
+
+    reading = np.zeros((n_cells, n_blocks), bool)
+    for r in queries.select("block", "reads").mapInPandas(cells_read, "block int, cell int").distinct().collect():  # at most a row for each block and cell
+        reading[r["cell"], r["block"]] = True
+
+    def routed(batches):
+        for b in batches:
+            if len(b):
+                sizes = b["lists"].map(len).to_numpy()
+                to = np.logical_or.reduceat(reading[cell_of[np.concatenate(b["lists"].tolist())]], np.cumsum(sizes) - sizes)
+                yield b.assign(blocks=[np.flatnonzero(t) for t in to])
+
+    left = entries.mapInPandas(routed, T.StructType([*entries.schema.fields, *T.StructType.fromDDL("blocks array<int>").fields]))
+    stripe = F.pmod(F.xxhash64("cid"), F.lit(STRIPES)).cast("int").alias("stripe")
+    left = left.select(F.explode("blocks").alias("block"), stripe, F.lit(1).alias("kind"), F.col("cid").alias("id"), "first_id", "embedding", "lists")
+    stripe = F.explode(F.sequence(F.lit(0), F.lit(STRIPES - 1))).alias("stripe")
+    none = F.lit(0).cast(classes.schema["first_id"].dataType).alias("first_id")
+    right = queries.select("block", stripe, F.lit(0).alias("kind"), F.col("qid").alias("id"), none, F.col("query").alias("embedding"), F.col("reads").alias("lists"))
+
+    def best(batches):
+        """Of each block and stripe, its queries come first, then its classes."""
+        key, waiting, pool = None, [], None
+        for b in batches:
+            tags = b[["block", "stripe", "kind"]].to_numpy()
+            for at in np.split(np.arange(len(b)), np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1 if len(b) else []):
+                if not len(at):
+                    continue
+                part, tag = b.iloc[at], tuple(tags[at[0]])
+                if tag[:2] != key:
+                    if pool:
+                        yield pool.rows()
+                    key, waiting, pool = tag[:2], [], None
+                if tag[2] == 0:
+                    waiting.append(part)
+                    continue
+                if pool is None:
+                    q = pd.concat(waiting)
+                    pool, waiting = Best(q["id"].to_numpy(), matrix(q["embedding"]), q["lists"].tolist(), k + 1), []
+                pool.add(part["id"].to_numpy(), part["first_id"].to_numpy(), matrix(part["embedding"]), part["lists"].tolist())
+        if pool:
+            yield pool.rows()
+
     fields = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()), classes.schema["first_id"], T.StructField("score", T.DoubleType())])
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(best, fields)
-    found = found.groupBy("qid", "cid", "first_id").agg(F.max("score").alias("score"))  # a class that stands in several cells
+    dealt = left.unionByName(right).repartition("block", "stripe").sortWithinPartitions("block", "stripe", "kind")
+    found = dealt.mapInPandas(best, fields)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "first_id")
     top = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("qid", "cid", "score")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")

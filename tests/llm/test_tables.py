@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from claimlens.llm import neighbours, url_filter, warc
 from claimlens.llm.common import filesystem, scratch
@@ -145,6 +146,56 @@ def test_recall_with_many_lists(spark, monkeypatch, kind):
     assert np.mean([len(got[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.9
 
 
+def test_rows_scored_grow_with_the_queries(spark, monkeypatch):
+    """Loose vectors, whose queries read a fixed share of the table: rows that leave the scoring tasks grow as the table does, not as its square."""
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 8)
+    monkeypatch.setattr(neighbours, "LEAST_SAMPLE", 64)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 32)
+    scored = []
+    for owner, name in ((type(spark.range(1)), "mapInPandas"), (PandasCogroupedOps, "applyInPandas")):
+        def watched(*args, make=getattr(owner, name), **kwargs):
+            out = make(*args, **kwargs)
+            if out.columns == ["qid", "cid", "first_id", "score"]:
+                scored.append(out)
+            return out
+        monkeypatch.setattr(owner, name, watched)
+    x = np.float32(np.random.default_rng(6).standard_normal((4800, 16)))
+    for n in (1200, 4800):
+        neighbours.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:n])], "vec_id long, embedding array<float>"))
+    few, many = (df.count() for df in scored)
+    assert few >= 60 * 21 and many >= 240 * 21
+    assert many <= 5 * few
+
+
+def test_best_of_batches_equals_all_pairs():
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(-3, 4, (900, 4)).astype(float), rng.integers(-3, 4, (40, 4)).astype(float)  # many ties
+    lists = [np.unique(rng.integers(0, 30, rng.integers(1, 4))) for _ in x]
+    reads = [np.unique(rng.integers(0, 40, rng.integers(1, 12))) for _ in y]
+    first = rng.permutation(900)
+    for size in (1, 7, 300, 900):
+        pool = neighbours.Best(np.arange(100, 140), y, reads, 6)
+        for lo in range(0, 900, size):
+            pool.add(np.arange(lo, min(lo + size, 900)), first[lo:lo + size], x[lo:lo + size], lists[lo:lo + size])
+        got = sorted(pool.rows().itertuples(index=False, name=None))
+        want = []
+        for q in range(40):
+            near = sorted((-float(x[i] @ y[q]), int(first[i]), i) for i in range(900) if set(lists[i]) & set(reads[q]))[:6]
+            want += [(100 + q, i, f, -s) for s, f, i in near]
+        assert got == sorted(want)
+
+
+def test_query_blocks():
+    held = np.array([0, 3, 3, 0, 25, 10, 1, 0, 4])
+    first, parts = neighbours.query_blocks(held, 10)
+    blocks = {}
+    for c, n in enumerate(held):
+        for b in range(first[c], first[c] + parts[c]):
+            blocks[b] = blocks.get(b, 0) + n / parts[c]
+    assert sorted(blocks) == list(range(len(blocks))) and max(blocks.values()) <= 10 and len(blocks) == 6
+    assert neighbours.query_blocks(np.zeros(3, int), 10)[0].tolist() == [0, 0, 0]
+
+
 def test_range_search_reads_all_lists_in_reach():
     rng = np.random.default_rng(5)
     centroids = neighbours.list_centroids(rng.standard_normal((12_000, 12)), 600)
