@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -293,6 +294,48 @@ def test_attention_gradients_and_windows():
         model.w[name][at] += 1e-5
 
 
+def test_training_step_makes_few_array_calls():
+    """A step's time lies in products of whole batches, not in calls for each class, weight or window."""
+    rng = np.random.default_rng(3)
+    classes = attention.Classes(1e5 // (np.arange(attention.IDS + 1) + 1.0))
+    step = attention.Adam(attention.Model(classes), 0.01)
+    common = np.flatnonzero(classes.first < attention.TAIL)
+    ids = rng.choice(common, (attention.BATCH, attention.WINDOW + 1))
+    batch = classes.inputs[ids[:, :-1]], classes.first[ids[:, 1:]], classes.second[ids[:, 1:]], np.ones((attention.BATCH, attention.WINDOW), bool)
+    step(*batch)
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        step(*batch)
+    finally:
+        sys.setprofile(None)
+    assert step.step == 2 and calls[0] < 350
+
+
+def test_adam_equals_plain_steps():
+    rng = np.random.default_rng(4)
+    classes = attention.Classes(rng.integers(0, 500, attention.IDS + 1).astype(float))
+    model, plain = attention.Model(classes), attention.Model(classes)
+    step = attention.Adam(model, 0.02)
+    m, v = ({k: np.zeros(x.shape) for k, x in plain.w.items()} for _ in range(2))
+    for n in range(1, 4):
+        ids = rng.integers(0, attention.IDS, (5, attention.WINDOW + 1))
+        batch = classes.inputs[ids[:, :-1]], classes.first[ids[:, 1:]], classes.second[ids[:, 1:]], rng.random((5, attention.WINDOW)) < 0.9
+        plain.load(model.flat())
+        step(*batch)
+        for k, g in plain.gradients(*batch).items():
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.001 * (np.float64(g) ** 2 - v[k])
+            want = plain.w[k] - 0.02 * (1 - 0.999**n) ** 0.5 / (1 - 0.9**n) * m[k] / (np.sqrt(v[k]) + 1e-8)
+            assert np.allclose(model.w[k], want, atol=1e-4), k
+    again = attention.Adam(attention.Model(classes), 0.02).load(step.flat(), 3)
+    assert (again.flat() == step.flat()).all() and (again.model.flat() == model.flat()).all()
+
+
 def test_all_training_windows_are_learnt_from():
     rng = np.random.default_rng(1)
     ids = [np.append(rng.integers(0, attention.IDS, n), attention.END) for n in (0, 1, 30, 31, 32, 34, 37, 90, 511, 2000)]
