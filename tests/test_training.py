@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
@@ -12,6 +13,7 @@ from claimlens import queries as Q
 from claimlens.plans import artefact as AR
 from claimlens.plans import boosting as BO
 from claimlens.plans import features as FE
+from claimlens.plans import histograms as HI
 from claimlens.plans import scoring as SC
 from claimlens.plans import training as TR
 from claimlens.plans import trees as TE
@@ -186,3 +188,88 @@ def test_slots_of_sparse_and_dense_vectors_are_picked_alike(spark):
     rows = spark.createDataFrame([(x,) for x in v], ["features"]).select(F.unwrap_udt("features").alias("v")).select("v.*").toPandas()
     assert TE.picked(rows, np.array([1, 4])).tolist() == [[2.0, 0.0], [2.0, 7.0], [0.0, 0.0]]
     assert TE.picked(rows, np.zeros(0, np.int64)).shape == (3, 0)
+
+
+def test_registered_training_has_the_full_settings(spark, monkeypatch):
+    """Nothing of the recipe is left out: 1,000 rounds, 30 levels, patience 100, the reference's rate and neighbours."""
+    seen = []
+    monkeypatch.setattr(Q.TR, "train", lambda rows, vocab, cfg=None: seen.append(cfg or TR.TrainConfig()))
+    monkeypatch.setattr(Q, "_TRAINED", {})
+    Q.trained(spark, SF_SMALL)
+    c = seen[0]
+    assert c == TR.TrainConfig() and (c.max_iter, c.max_depth, c.early_stop_rounds, c.oversample_k, c.step_size) == (1000, 30, 100, 858, 0.05377367769556463)
+
+
+def test_tasks_that_meet_grow_the_trees_of_one_task(spark, monkeypatch):
+    """Several tasks, sparse and dense vectors, and few cells at a time give the same trees and losses."""
+    x, y, part, rows = xor_rows(spark)
+    cfg = BO.BoostConfig(max_iter=7, max_depth=5, step_size=0.3, column_share=0.8, alpha=0.2, reg_lambda=0.5)
+    one = BO.fit(rows, 5, cfg)
+    monkeypatch.setattr(BO, "TASK_ROWS", 100)
+    thin = spark.createDataFrame([(part[k], int(y[k]), 1.0, Vectors.sparse(5, range(5), x[k].tolist()) if k % 3 else Vectors.dense(x[k])) for k in range(len(y))],
+                                 ["part", "label", "w", "features"]).repartition(5)
+    many = BO.fit(thin, 5, cfg)
+    assert many.fitted == one.fitted == 7
+    for k in ("train", "val"):
+        assert np.allclose(many.losses[k], one.losses[k], rtol=0, atol=1e-9)
+    assert np.allclose(many.model.trees.outputs(x[:, many.model.trees.slots()]), one.model.trees.outputs(x[:, one.model.trees.slots()]), atol=1e-9)
+
+
+def local_grower(x, y, cfg, kind=0):
+    """A grower over dense (1) or sparse (0) rows in this process."""
+    v = [(kind, None, None, r.tolist()) if kind else (0, len(r), np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in x]
+    struct = pa.array([dict(zip(("type", "size", "indices", "values"), r, strict=True)) for r in v],
+                      pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
+    part, w = np.array(["fit"] * len(x), object), np.ones(len(x))
+    seen = HI.Summary(x.shape[1])
+    seen.add(part, w, struct, "fit")
+    layout = HI.Layout.of(seen, cfg.max_bins)
+    g = HI.held(iter([HI.block(0, layout, part, y, w, struct, x.shape[1])]), layout, "fit")[0]
+    g.total = lambda m: np.array(m, float)
+    return g
+
+
+def test_splits_are_the_best_by_brute_force(monkeypatch):
+    """One-hot groups share columns; the root's split has the greatest gain of all cuts between values, at any number of cells."""
+    rng = np.random.default_rng(4)
+    x = np.zeros((300, 40))
+    x[np.arange(300), rng.integers(0, 20, 300)] = 1.0                      # one group
+    x[np.arange(300), 20 + rng.integers(0, 15, 300)] = 1.0                 # another
+    x[:, 35:] = rng.integers(-2, 4, (300, 5)) * np.array([1, 2, 1, 5, 0.5])  # few values, 0 among them
+    y = ((x[:, 3] + x[:, 25] > 0) | (x[:, 36] > 2)).astype(int)
+    cfg = BO.BoostConfig(max_depth=4, alpha=0.3, reg_lambda=0.0, step_size=1.0)
+    g, grads, h = local_grower(x, y, cfg), 0.5 - y, np.full(300, 0.25)
+
+    def score(a, b):
+        return max(0.0, abs(a) - 0.3) ** 2 / b
+
+    best = max(score(grads[m].sum(), h[m].sum()) + score(grads[~m].sum(), h[~m].sum()) for s in range(40) for v in np.unique(x[:, s])[:-1]
+               for m in [x[:, s] <= v] if h[m].sum() >= 1 and h[~m].sum() >= 1)
+    assert len(g.layout.cells) < 12
+    tree = g.tree(range(40), cfg)
+    m = x[:, tree[0][0]] <= tree[0][1]
+    assert score(grads[m].sum(), h[m].sum()) + score(grads[~m].sum(), h[~m].sum()) == pytest.approx(best)
+    walked = TE.Trees.of([tree])
+    assert np.allclose(walked.outputs(x[:, walked.slots()])[:, 0], g.margin)  # rows moved by numbers go where their values go
+    monkeypatch.setattr(HI, "CELLS", 64)
+    again = local_grower(x, y, cfg, kind=1)
+    again.tree(range(40), cfg)
+    assert np.allclose(again.margin, g.margin)
+
+
+def test_many_values_are_cut_at_weighted_quantiles(monkeypatch):
+    monkeypatch.setattr(HI, "KEPT", 64)
+    v = np.random.default_rng(2).normal(size=20_000)
+    seen = HI.Summary(1)
+    for part in np.array_split(v, 7):
+        seen.take(HI.weighed(np.zeros(len(part), np.int64), part, np.ones(len(part))))
+        seen.reduce()
+    seen.weight = float(len(v))
+    cuts = HI.Layout.of(seen, 7).cuts
+    assert len(cuts) == 7 and np.allclose([(v <= c).mean() for c in cuts], np.arange(1, 8) / 8, atol=0.05)
+
+
+def test_a_small_class_is_oversampled_from_its_other_rows(spark):
+    rows = spark.createDataFrame([(i, int(i < 8), Vectors.dense([float(i), float(i % 3)])) for i in range(108)], ["id", "label", "features"])
+    got = {r["label"]: r["count"] for r in TR.rebalanced(rows, TR.TrainConfig()).groupBy("label").count().collect()}
+    assert got == {1: 19, 0: int(19 / TR.TrainConfig().undersample_ratio)}
